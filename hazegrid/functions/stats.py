@@ -37,10 +37,9 @@ def array_std(values: Column) -> Column:
     return F.sqrt(sq)
 
 
-def median_upper(x: Column) -> Column:
-    """Aggregate: the upper of the two middle values (no interpolation)."""
-    s = F.sort_array(F.collect_list(x))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def median_upper(column: str) -> Column:
+    """Aggregate: the upper of the two middle values, as a counted (mergeable) percentile."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
 
 
 def framed_median(x: Column, frame, min_obs: int = 1) -> Column:

@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join feeding an aggregate on the same key is otherwise left skewed.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Tables already hashed by (city, cell) join on (city, cell, date) without moving again.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
