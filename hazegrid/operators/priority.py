@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -173,25 +171,39 @@ def max_coverage(
     return picks.join(share, "city").select("city", "pick", "action_id", "gain", pct.alias("coverage_pct"))
 
 
+def _team_split(teams: int, seed: int, restarts: int = 10):
+    """Grouped function: k-means of one city's stops, best of several seeded starts."""
+
+    def split(stops: pd.DataFrame) -> pd.DataFrame:
+        stops = stops.sort_values("pick", kind="stable").reset_index(drop=True)
+        xy = stops[["lat", "lon"]].to_numpy()
+        k = min(teams, len(stops))
+        rng = np.random.default_rng(seed)
+        best, best_cost = np.zeros(len(stops), dtype=np.int32), np.inf
+        for _ in range(restarts if k > 1 else 0):
+            mid = xy[rng.choice(len(stops), k, replace=False)]
+            for _ in range(50):
+                d2 = ((xy[:, None, :] - mid[None]) ** 2).sum(axis=2)
+                near = d2.argmin(axis=1)
+                moved = np.array([xy[near == j].mean(axis=0) if (near == j).any() else mid[j] for j in range(k)])
+                if np.allclose(moved, mid):
+                    break
+                mid = moved
+            cost = d2.min(axis=1).sum()
+            if cost < best_cost:
+                best, best_cost = near.astype(np.int32), cost
+        return stops.assign(team=best + 1)
+
+    return split
+
+
 def cluster_stops(stops: DataFrame, teams: int = 4, seed: int = 42) -> DataFrame:
-    """Add team (1..teams) by k-means on position, per city; k is at most the city's stops.
+    """Add team (1..teams): stops of a city grouped by k-means on position.
 
-    A city has at most the dispatch budget of stops. Each city's k-means is its own model,
-    fitted on its rows only.
+    All cities are split in one job; a group is one city's picks, at most the dispatch budget.
     """
-    sizes = stops.groupBy("city").agg(F.countDistinct("lat", "lon").alias("n")).orderBy("city")
-    out: DataFrame | None = None
-    for row in sizes.toLocalIterator():
-        mine = stops.where(F.col("city") == row["city"])
-        k = min(teams, row["n"])
-        if k <= 1:
-            part = mine.withColumn("team", F.lit(1))
-        else:
-            vec = VectorAssembler(inputCols=["lat", "lon"], outputCol="_xy").transform(mine)
-            model = KMeans(k=k, seed=seed, featuresCol="_xy", predictionCol="_t", maxIter=50).fit(vec)
-            part = model.transform(vec).withColumn("team", F.col("_t") + 1).drop("_xy", "_t")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else stops.withColumn("team", F.lit(1))
+    cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stops.schema.fields)
+    return stops.groupBy("city").applyInPandas(_team_split(teams, seed), f"{cols}, team int")
 
 
 def _visit_order(stops: pd.DataFrame) -> pd.DataFrame:
