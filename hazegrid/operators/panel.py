@@ -45,13 +45,15 @@ def spine(cells: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def _cell_days(cells: DataFrame, hours: DataFrame) -> DataFrame:
-    """(city, cell, date) over each city's calendar span; one span row per city is broadcast."""
+    """(city, cell, date) for the days with hours; one calendar span per city is broadcast."""
     span = hours.groupBy("city").agg(
         F.min(F.to_date("ts")).alias("_from"), F.max(F.to_date("ts")).alias("_to")
     )
-    return cells.select("city", "cell").join(F.broadcast(span), "city").select(
+    days = hours.select("city", F.to_date("ts").alias("date")).distinct()
+    calendar = cells.select("city", "cell").join(F.broadcast(span), "city").select(
         "city", "cell", F.explode(F.sequence("_from", "_to")).alias("date")
     )
+    return calendar.join(days, ["city", "date"], "left_semi")
 
 
 def _hours_by_day(hours: DataFrame) -> DataFrame:
