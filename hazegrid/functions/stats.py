@@ -134,35 +134,57 @@ def median_and_mad(df: DataFrame, value: str, by: Sequence[str], small: bool = F
     cell, per hour) and uses the plain aggregate; otherwise groups may be of any size.
     """
     by = list(by)
+    rows = df.select(*by, F.col(value).alias("_x"))
+    dev = F.abs(F.col("_x") - F.col("med"))
     if small:
-        med = df.groupBy(*by).agg(F.median(value).alias("med"))
-        dev = attach(df, med, by).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-        return dev.groupBy(*by).agg(F.first("med", True).alias("med"), F.median("_d").alias("mad"))
-    med = exact_quantiles(df, by, value, {"med": 0.5})
-    dev = attach(df, med, by).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    return attach(med, exact_quantiles(dev, by, "_d", {"mad": 0.5}), by)
+        med = rows.groupBy(*by).agg(F.median("_x").alias("med"))
+        return attach(rows, med, by).groupBy(*by).agg(F.first("med", True).alias("med"), F.median(dev).alias("mad"))
+    med = exact_quantiles(rows, by, "_x", {"med": 0.5})
+    spread = attach(rows, med, by).withColumn("_d", dev)
+    return attach(med, exact_quantiles(spread, by, "_d", {"mad": 0.5}), by)
 
 
-def robust_z(
-    df: DataFrame, value: str, by: Sequence[str] = ("city",), out: str = "z", small: bool = False
-) -> DataFrame:
-    """(x - median) / (1.4826 MAD) within each group.
+def _scaled(value: Column, med: Column, mad: Column, sd: Column) -> Column:
+    """(x - median) / (1.4826 MAD); else in standard deviations; 0 in a constant group; null stays null."""
+    scaled = mad * MAD_SCALE
+    scale = F.when(scaled >= TINY, scaled).when(sd >= TINY, sd)
+    return F.when(value.isNotNull(), F.coalesce((value - med) / scale, F.lit(0.0)))
 
-    A zero MAD falls back to the population deviation, a constant group scores 0 and
-    a null value stays null.
-    """
+
+def robust_z(df: DataFrame, value: str, by: Sequence[str] = ("city",), out: str = "z") -> DataFrame:
+    """Outlier-resistant z within groups of any size."""
     by = list(by)
     stats = attach(
-        median_and_mad(df, value, by, small), df.groupBy(*by).agg(F.stddev_pop(value).alias("sd")), by
-    )
-    scaled = MAD_SCALE * F.col("mad")
-    scale = F.when(scaled >= TINY, scaled).when(F.col("sd") >= TINY, F.col("sd"))
-    z = F.when(F.col(value).isNull(), F.lit(None)).otherwise(
-        F.coalesce((F.col(value) - F.col("med")) / scale, F.lit(0.0))
+        median_and_mad(df, value, by), df.groupBy(*by).agg(F.stddev_pop(value).alias("sd")), by
     )
+    z = _scaled(F.col(value), F.col("med"), F.col("mad"), F.col("sd"))
     return attach(df, stats, by).withColumn(out, z).drop("med", "mad", "sd")
 
 
+def robust_z_cells(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
+    """Robust z within the city of several columns of a one-row-per-cell table, in two aggregates.
+
+    ``outputs`` maps value column to z column. The statistics are one row per city.
+    """
+    first = df.groupBy("city").agg(
+        *[x for c in outputs for x in (F.median(c).alias(f"_med_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"))]
+    )
+    dev = df.join(F.broadcast(first), "city")
+    second = dev.groupBy("city").agg(
+        *[
+            x
+            for c in outputs
+            for x in (
+                F.first(f"_med_{c}", True).alias(f"_med_{c}"),
+                F.first(f"_sd_{c}", True).alias(f"_sd_{c}"),
+                F.median(F.abs(F.col(c) - F.col(f"_med_{c}"))).alias(f"_mad_{c}"),
+            )
+        ]
+    )
+    z = {o: _scaled(F.col(c), F.col(f"_med_{c}"), F.col(f"_mad_{c}"), F.col(f"_sd_{c}")) for c, o in outputs.items()}
+    return df.join(F.broadcast(second), "city").withColumns(z).select(*df.columns, *outputs.values())
+
+
 def rmse(truth: Column, guess: Column) -> Column:
     return F.sqrt(F.avg((truth - guess) * (truth - guess)))
 

@@ -13,6 +13,7 @@ from hazegrid.functions.stats import exact_quantiles
 from hazegrid.operators.signals import FIRE_FRAC_SCALE, WINDOWS, classify_persistence, neighbourhood_contrast, trailing, with_latest
 from hazegrid.operators.spatial import add_centre, components, nearest, within_km
 from hazegrid.operators.wards import attach_wards
+from hazegrid.session import cut_lineage
 
 # Fixed values.
 ENFORCEABLE_KINDS = ["industrial", "construction", "waste_burning"]
@@ -232,11 +233,10 @@ def finish_hotspots(zoned: DataFrame, wards: DataFrame) -> DataFrame:
 def detect(panel: DataFrame, field: DataFrame, osm: DataFrame, wards: DataFrame, at=None, grid: Grid = Grid()) -> DataFrame:
     """Hot cells with zone, kind, enforceability and severity; order by severity to publish."""
     scored = exposure_context(zone_scores(panel, at, grid), panel, field, at)
-    hot = mark_attributable(hot_cells(scored), osm, grid)
-    from hazegrid.session import cut_lineage
-
-    hot = cut_lineage(hot)  # read by the iterative zone merge
-    return finish_hotspots(reconcile_zones(hot, grid=grid), wards)
+    # Few rows survive; the nearest search and the zone merge below read them many times.
+    hot = cut_lineage(hot_cells(scored))
+    marked = cut_lineage(mark_attributable(hot, osm, grid))
+    return finish_hotspots(reconcile_zones(marked, grid=grid), wards)
 
 
 def by_severity(hot: DataFrame) -> DataFrame:

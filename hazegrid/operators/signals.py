@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import Grid, circular_mean_deg, round_to
-from hazegrid.functions.stats import MAD_SCALE, TINY, array_median, array_std, exact_quantiles, median_and_mad, robust_z
+from hazegrid.functions.stats import MAD_SCALE, TINY, array_median, array_std, exact_quantiles, median_and_mad, robust_z_cells
 from hazegrid.operators.spatial import ring_neighbours
 
 # Detection windows in hours.
@@ -40,8 +40,7 @@ def window_medians(df: DataFrame, value: str, at=None, windows: Mapping[str, int
         .groupBy("city", "cell")
         .agg(*[F.median(F.when(trailing(F.col("ts"), F.col("at"), h), F.col(value))).alias(w) for w, h in windows.items()])
     )
-    for w in windows:
-        med = robust_z(med, w, ["city"], f"z_{w}", small=True)
+    med = robust_z_cells(med, {w: f"z_{w}" for w in windows})
     return med.select("city", "cell", *[c for w in windows for c in (w, f"z_{w}")])
 
 
@@ -127,7 +126,7 @@ def downwind_enhancement(
     full = cells.select("city", "cell").join(per_cell, ["city", "cell"], "left").select(
         "city", "cell", F.coalesce("enh", F.lit(0.0)).alias("enh")
     )
-    return robust_z(full, "enh", ["city"], "plume", small=True)
+    return robust_z_cells(full, {"enh": "plume"})
 
 
 def _band(r_min: float, r_max: float, k: int, grid: Grid) -> list[tuple[int, float]]:

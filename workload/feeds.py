@@ -282,7 +282,7 @@ class Feeds:
             .withColumn("pm25_med", F.col("w30d"))
             .drop("w30d")
         )
-        marked = hotspots.mark_attributable(hot, self.osm, GRID, km=0.3)
+        marked = materialise(hotspots.mark_attributable(materialise(hot), self.osm, GRID, km=0.3))
         zoned = hotspots.apply_zones(marked, marked.select("city", "cell", block_zone(F.col("cell")).alias("zone_id")))
         return materialise(hotspots.finish_hotspots(zoned, self.wards))
 

@@ -19,17 +19,17 @@ def cte(name: str, body: str) -> None:
 
 
 def build(body: str) -> str:
-    need: set[str] = set()
+    order: list[str] = []
 
-    def visit(text: str, me: str | None = None) -> None:
-        for word in set(re.findall(r"\b[a-z_][a-z0-9_]*\b", text)):
-            if word in CTES and word not in need and word != me:
-                need.add(word)
-                visit(CTES[word], word)
+    def visit(text: str, path: tuple[str, ...] = ()) -> None:
+        for word in sorted(set(re.findall(r"\b[a-z_][a-z0-9_]*\b", text))):
+            if word in CTES and word not in order and word not in path:
+                visit(CTES[word], (*path, word))
+                order.append(word)
 
     visit(body)
-    parts = [f"{n} AS ({b})" for n, b in CTES.items() if n in need]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body.strip()
+    parts = [f"{n} AS ({CTES[n]})" for n in order]
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + body.strip()
 
 
 def d(x: float) -> str:
