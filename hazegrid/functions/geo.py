@@ -17,7 +17,6 @@ EARTH_RADIUS_KM = 6371.0
 KM_PER_DEGREE = 111.32
 _SHIFT = 2_097_152  # q stride; r lives below it
 _BIAS = 1_048_576  # keeps q and r non-negative
-_THIRD = 1.0 / 3.0
 _ROOT3 = math.sqrt(3.0)
 
 
@@ -118,16 +117,20 @@ def cell_r(cell: Column) -> Column:
 
 
 def latlng_to_cell(lat: Column, lon: Column, grid: Grid = Grid()) -> Column:
-    """Axial cube rounding of the projected point."""
-    x, y = lon * grid.km_per_lon, lat * KM_PER_DEGREE
-    q = (x * (_ROOT3 / 3) - y * _THIRD) / grid.edge_km
-    r = (y * (2 * _THIRD)) / grid.edge_km
-    s = -q - r
-    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
-    eq, er, es = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    q_worst = (eq > er) & (eq > es)
-    r_worst = ~q_worst & (er > es)
-    return pack(F.when(q_worst, -rr - rs).otherwise(rq), F.when(r_worst, -rq - rs).otherwise(rr))
+    """Id of the nearest hex centre to the projected point.
+
+    A point lies between lines in three directions; the floors of its position along them
+    give the hex without comparing rounding errors, so the expression stays small when
+    the planner inlines it.
+    """
+    unit = grid.edge_km * _ROOT3
+    x = lon * (grid.km_per_lon / unit)
+    y = lat * (KM_PER_DEGREE * _ROOT3 / unit)
+    diagonal = F.floor(y + x + 1.0)
+    across = F.floor((F.floor(x * 2.0 + 1.0) + diagonal) / 3)
+    r = F.floor((diagonal + F.floor(y - x + 1.0)) / 3)
+    # across = q + r, so this is pack(across - r, r) with r used once.
+    return (across + _BIAS) * F.lit(_SHIFT) + _BIAS - r * F.lit(_SHIFT - 1)
 
 
 def cell_lat(cell: Column, grid: Grid = Grid()) -> Column:

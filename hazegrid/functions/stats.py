@@ -21,9 +21,9 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def array_median(values: Column) -> Column:
-    """Interpolated median of a non-null array; null when it is empty."""
-    s, n = F.sort_array(values), F.size(values)
+def sorted_median(s: Column) -> Column:
+    """Interpolated median of an ascending array; null when it is empty."""
+    n = F.size(s)
     low = F.get(s, F.floor((n - 1) / 2).cast("int"))
     high = F.get(s, F.floor(n / 2).cast("int"))
     return F.when(n > 0, low * 0.5 + high * 0.5)

@@ -208,7 +208,7 @@ def severity(df: DataFrame) -> DataFrame:
 
 def detection_basis(df: DataFrame) -> DataFrame:
     fires = F.when(F.col("fires_6h") > 0, F.format_string("; %d FIRMS detections in last 6 h", F.col("fires_6h").cast("int")))
-    head = F.format_string("satellite contrast z=%.1f vs surrounding 4-8 km", zone_max(df))
+    head = F.format_string("satellite contrast z=%.1f vs surrounding 4-8 km", round_to(zone_max(df), 1))
     return df.withColumn("detection_basis", F.concat(head, F.coalesce(fires, F.lit(""))))
 
 

@@ -206,25 +206,30 @@ def cluster_stops(stops: DataFrame, teams: int = 4, seed: int = 42) -> DataFrame
     return stops.groupBy("city").applyInPandas(_team_split(teams, seed), f"{cols}, team int")
 
 
-def _visit_order(stops: pd.DataFrame) -> pd.DataFrame:
+def _visit_order():
     """Grouped function: start at the first pick, then always the closest stop left."""
-    stops = stops.sort_values("pick", kind="stable").reset_index(drop=True)
-    lat, lon = np.radians(stops["lat"].to_numpy()), np.radians(stops["lon"].to_numpy())
-    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-    km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(h))
-    seq = np.zeros(len(stops), dtype=np.int32)
-    here, open_ = 0, np.ones(len(stops), dtype=bool)
-    for step in range(1, len(stops) + 1):
-        seq[here], open_[here] = step, False
-        if open_.any():
-            here = int(np.where(open_, km[here], np.inf).argmin())
-    return stops.assign(seq=seq)
+
+    def visit(stops: pd.DataFrame) -> pd.DataFrame:
+        stops = stops.sort_values("pick", kind="stable").reset_index(drop=True)
+        lat, lon = np.radians(stops["lat"].to_numpy()), np.radians(stops["lon"].to_numpy())
+        h = np.sin((lat[:, None] - lat) / 2) ** 2
+        h = h + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+        km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(h))
+        seq = np.zeros(len(stops), dtype=np.int32)
+        here, open_ = 0, np.ones(len(stops), dtype=bool)
+        for step in range(1, len(stops) + 1):
+            seq[here], open_[here] = step, False
+            if open_.any():
+                here = int(np.where(open_, km[here], np.inf).argmin())
+        return stops.assign(seq=seq)
+
+    return visit
 
 
 def order_stops(clustered: DataFrame) -> DataFrame:
     """Add seq, the visiting order within (city, team); a team has at most the budget of stops."""
     cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clustered.schema.fields)
-    return clustered.groupBy("city", "team").applyInPandas(_visit_order, f"{cols}, seq int")
+    return clustered.groupBy("city", "team").applyInPandas(_visit_order(), f"{cols}, seq int")
 
 
 def route_length(stops: DataFrame) -> DataFrame:

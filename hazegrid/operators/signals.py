@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import Grid, circular_mean_deg, round_to
-from hazegrid.functions.stats import MAD_SCALE, TINY, array_median, array_std, exact_quantiles, median_and_mad, robust_z_cells
+from hazegrid.functions.stats import MAD_SCALE, TINY, array_std, exact_quantiles, median_and_mad, robust_z_cells, sorted_median
 from hazegrid.operators.spatial import ring_neighbours
 
 # Detection windows in hours.
@@ -44,25 +44,17 @@ def window_medians(df: DataFrame, value: str, at=None, windows: Mapping[str, int
     return med.select("city", "cell", *[c for w in windows for c in (w, f"z_{w}")])
 
 
-def contrast_expr(inner: Column, outer: Column) -> Column:
-    """Excess of the inner disk over the annulus in units of the annulus' own spread."""
-    o_med = array_median(outer)
-    mad = array_median(F.transform(outer, lambda x: F.abs(x - o_med))) * MAD_SCALE
-    spread = F.when(mad >= TINY, mad).otherwise(array_std(outer))
-    scale = F.greatest(spread, F.abs(o_med) * 0.05, F.lit(TINY))
-    enough = (F.size(inner) >= 2) & (F.size(outer) >= 6)
-    return F.when(enough, (array_median(inner) - o_med) / scale).otherwise(0.0)
-
-
 def neighbourhood_contrast(
     cells: DataFrame, values: Mapping[str, str], inner_k: int = INNER_K, outer_k: tuple[int, int] = OUTER_K, grid: Grid = Grid()
 ) -> DataFrame:
-    """(city, cell, outputs): contrast of several value columns in one ring join.
+    """(city, cell, outputs): excess of the inner disk over the annulus, in units of the annulus' own spread.
 
-    ``values`` maps output name to value column. A cell with no value of its own gets null.
-    Arrays hold at most one entry per hex of the disk or annulus.
+    ``values`` maps output name to value column; all columns share one ring join. The spread
+    is 1.4826 MAD, else the deviation, floored by 5 % of the annulus median. Fewer than 2
+    inner or 6 outer values score 0; a cell with no value of its own gets null. Arrays hold
+    at most one entry per hex of the disk or annulus.
     """
-    cols = dict.fromkeys(values.values())
+    cols = list(dict.fromkeys(values.values()))
     table = cells.select("city", "cell", *cols)
     rings = ring_neighbours(table, table, 0, outer_k[1], grid).where(
         (F.col("ring") <= inner_k) | (F.col("ring") >= outer_k[0])
@@ -74,15 +66,25 @@ def neighbourhood_contrast(
             F.collect_list(F.when(F.col("ring") >= outer_k[0], F.col(c))).alias(f"out_{c}"),
             F.max(F.when(F.col("ring") == 0, F.col(c))).alias(f"own_{c}"),
         ]
+    # One step per column set: medians are settled before the lambdas that use them.
     near = rings.groupBy("city", "centre").agg(*aggs)
-    return near.select(
-        "city",
-        F.col("centre").alias("cell"),
-        *[
-            F.when(F.col(f"own_{c}").isNotNull(), contrast_expr(F.col(f"in_{c}"), F.col(f"out_{c}"))).alias(n)
-            for n, c in values.items()
-        ],
-    )
+    near = near.withColumns({f"{p}_{c}": F.sort_array(f"{p}_{c}") for c in cols for p in ("in", "out")})
+    near = near.withColumns({f"med_{c}": sorted_median(F.col(f"out_{c}")) for c in cols})
+    near = near.withColumns({f"dev_{c}": _deviations(f"out_{c}", f"med_{c}") for c in cols})
+    near = near.withColumns({f"mad_{c}": sorted_median(F.col(f"dev_{c}")) * MAD_SCALE for c in cols})
+    out = {}
+    for name, c in values.items():
+        med, mad = F.col(f"med_{c}"), F.col(f"mad_{c}")
+        spread = F.when(mad >= TINY, mad).otherwise(array_std(F.col(f"out_{c}")))
+        scale = F.greatest(spread, F.abs(med) * 0.05, F.lit(TINY))
+        enough = (F.size(f"in_{c}") >= 2) & (F.size(f"out_{c}") >= 6)
+        score = F.when(enough, (sorted_median(F.col(f"in_{c}")) - med) / scale).otherwise(0.0)
+        out[name] = F.when(F.col(f"own_{c}").isNotNull(), score)
+    return near.select("city", F.col("centre").alias("cell"), *[v.alias(n) for n, v in out.items()])
+
+
+def _deviations(values: str, med: str) -> Column:
+    return F.sort_array(F.transform(values, lambda x: F.abs(x - F.col(med))))
 
 
 def daily_wind(weather: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ class Feeds:
         )
         cloudy = F.max("event_id") % 6 == 0
         return seen.groupBy("city", "cell", "date").agg(
-            F.when(~cloudy, F.avg("value")).alias("no2_col"),
+            F.when(~cloudy, F.avg("value") * 1.0037).alias("no2_col"),
             F.when(~cloudy, F.min("value") - 20.0).alias("so2_col"),
             F.when(~cloudy, F.max("value") / 100.0).alias("aai"),
         )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from hazegrid.functions.geo import _BIAS, _ROOT3, _SHIFT, _THIRD, EARTH_RADIUS_KM, KM_PER_DEGREE, offsets
+from hazegrid.functions.geo import _BIAS, _ROOT3, _SHIFT, EARTH_RADIUS_KM, KM_PER_DEGREE, offsets
 from hazegrid.operators.clean import REPORT_CATEGORIES, REPORT_SOURCES, REPORT_STATUSES
 from workload.feeds import EPOCH_HOUR, GRID, HOT_THRESH, OSM_KINDS
 
@@ -117,8 +117,8 @@ def stamp(lat: str, lon: str, rel: str, extra: str = "*") -> str:
       (_q + {_BIAS}) * {_SHIFT} + (_r + {_BIAS}) AS cell
     FROM (SELECT *, floor(_fq + 0.5e0) AS _rq, floor(_fr + 0.5e0) AS _rr, floor(-_fq - _fr + 0.5e0) AS _rs,
         abs(_rq - _fq) AS _eq, abs(_rr - _fr) AS _er, abs(_rs - (-_fq - _fr)) AS _es
-      FROM (SELECT *, (({lon} * {kx}) * {d(_ROOT3 / 3)} - ({lat} * {d(KM_PER_DEGREE)}) * {d(_THIRD)}) / {d(GRID.edge_km)} AS _fq,
-          (({lat} * {d(KM_PER_DEGREE)}) * {d(2 * _THIRD)}) / {d(GRID.edge_km)} AS _fr FROM {rel}))"""
+      FROM (SELECT *, (({lon} * {kx}) * {d(_ROOT3 / 3)} - ({lat} * {d(KM_PER_DEGREE)}) * {d(1 / 3)}) / {d(GRID.edge_km)} AS _fq,
+          (({lat} * {d(KM_PER_DEGREE)}) * {d(2 / 3)}) / {d(GRID.edge_km)} AS _fr FROM {rel}))"""
 
 
 def q_of(cell: str) -> str:
@@ -178,7 +178,7 @@ cte("fires", """SELECT city, ts, lat + 0.001e0 * (event_id % 7) AS lat, lon, val
   CASE event_id % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'n' ELSE 'h' END AS confidence FROM ev_c WHERE event_type = 'error'""")
 cte("foot", offset_rows(0, 2))
 cte("satellite", """SELECT city, cell + delta AS cell, ts::DATE AS date,
-  CASE WHEN max(event_id) % 6 <> 0 THEN avg(pm25) END AS no2_col,
+  CASE WHEN max(event_id) % 6 <> 0 THEN avg(pm25) * 1.0037e0 END AS no2_col,
   CASE WHEN max(event_id) % 6 <> 0 THEN min(pm25) - 20e0 END AS so2_col,
   CASE WHEN max(event_id) % 6 <> 0 THEN max(pm25) / 100e0 END AS aai
   FROM stations, foot WHERE event_type = 'view' GROUP BY ALL""")
@@ -298,7 +298,7 @@ SEVERITY = rnd(
     "CASE kind WHEN 'chronic' THEN 1e0 WHEN 'emerging' THEN 0.6e0 WHEN 'acute' THEN 0.35e0 ELSE 0e0 END * 0.20e0", 3
 )
 BASIS = (
-    "printf('satellite contrast z=%.1f vs surrounding 4-8 km', greatest(z_w24h, z_w7d, z_w30d)) || "
+    f"printf('satellite contrast z=%.1f vs surrounding 4-8 km', {rnd('greatest(z_w24h, z_w7d, z_w30d)', 1)}) || "
     "CASE WHEN fires_6h > 0 THEN '; ' || fires_6h || ' FIRMS detections in last 6 h' ELSE '' END"
 )
 cte("hot_zoned", f"""SELECT city, cell, zone_id, kind AS cell_kind, ['none', 'acute', 'emerging', 'chronic'][max({RANK.format(k='kind')}) OVER z + 1] AS kind2,
