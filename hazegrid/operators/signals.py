@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.functions.geo import Grid, circular_mean_deg, round_to
+from hazegrid.functions.geo import Grid, circular_mean_deg, offsets, round_to
 from hazegrid.functions.stats import MAD_SCALE, TINY, array_std, exact_quantiles, median_and_mad, robust_z_cells, sorted_median
 from hazegrid.operators.spatial import ring_neighbours
 
@@ -55,10 +55,9 @@ def neighbourhood_contrast(
     at most one entry per hex of the disk or annulus.
     """
     cols = list(dict.fromkeys(values.values()))
-    table = cells.select("city", "cell", *cols)
-    rings = ring_neighbours(table, table, 0, outer_k[1], grid).where(
-        (F.col("ring") <= inner_k) | (F.col("ring") >= outer_k[0])
-    )
+    some = F.coalesce(*[F.col(c) for c in cols]).isNotNull()
+    table = cells.select("city", "cell", *cols).where(some)
+    rings = ring_neighbours(table, table, offsets(0, inner_k, grid) + offsets(*outer_k, grid))
     aggs = []
     for c in cols:
         aggs += [
@@ -110,7 +109,7 @@ def downwind_enhancement(
     """
     k = grid.rings_for(r_max)
     seen = daily.where(F.col(value).isNotNull()).join(daily_wind(weather), ["city", "date"])
-    band = [o for o in _band(r_min, r_max, k, grid)]
+    band = _band(r_min, r_max, k, grid)
     offs = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(b).alias("bearing")) for d, b in band])
     # Each reading is offered to the centres it can be seen from: centre = cell - offset.
     spread = seen.select("city", "date", F.col("cell").alias("src"), F.col(value).alias("v"), "wind_from_deg", F.explode(offs).alias("o"))
@@ -132,8 +131,6 @@ def downwind_enhancement(
 
 
 def _band(r_min: float, r_max: float, k: int, grid: Grid) -> list[tuple[int, float]]:
-    from hazegrid.functions.geo import offsets
-
     return [(o.delta, o.bearing) for o in offsets(1, k, grid) if r_min <= o.dist_km <= r_max]
 
 

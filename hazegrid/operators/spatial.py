@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import (
     Grid,
+    Offset,
     cell_lat,
     cell_lon,
     disk,
     haversine_km,
     latlng_to_cell,
-    offsets,
     pack,
     point_in_any,
     polygons_bbox,
@@ -124,12 +124,12 @@ def nearest(
 
 
 def ring_neighbours(
-    centres: DataFrame, values: DataFrame, lo: int, hi: int, grid: Grid = Grid(), by: Sequence[str] = ("city",)
+    centres: DataFrame, values: DataFrame, shape: Sequence[Offset], by: Sequence[str] = ("city",)
 ) -> DataFrame:
-    """One row per centre and existing neighbour in rings ``lo``..``hi`` with ring, km and bearing.
+    """One row per centre and existing neighbour at the given offsets, with ring, km and bearing.
 
     ``values`` holds (by, cell, ...); its columns arrive under their own names and the
-    centre's under ``centre``.
+    centre's cell under ``centre``. Centres are spread over tasks before they multiply.
     """
     ring = F.array(
         *[
@@ -139,11 +139,14 @@ def ring_neighbours(
                 F.lit(o.dist_km).alias("ring_km"),
                 F.lit(o.bearing).alias("ring_bearing"),
             )
-            for o in offsets(lo, hi, grid)
+            for o in shape
         ]
     )
-    spread = centres.select(*by, F.col("cell").alias("centre"), F.explode(ring).alias("o")).select(
-        *by, "centre", (F.col("centre") + F.col("o.delta")).alias("cell"), "o.ring", "o.ring_km", "o.ring_bearing"
+    spread = (
+        centres.select(*by, F.col("cell").alias("centre"))
+        .repartition(*by, "centre")
+        .select(*by, "centre", F.explode(ring).alias("o"))
+        .select(*by, "centre", (F.col("centre") + F.col("o.delta")).alias("cell"), "o.ring", "o.ring_km", "o.ring_bearing")
     )
     return spread.join(values, [*by, "cell"])
 

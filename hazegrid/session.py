@@ -11,11 +11,15 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows here are few and then exploded (hours of a day, rings of a cell): keep them spread.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join feeding an aggregate on the same key is otherwise left skewed.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Tables already hashed by (city, cell) join on (city, cell, date) without moving again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Percentile buffers per cell are small; 128 groups is too early to fall back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 

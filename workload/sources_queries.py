@@ -267,7 +267,7 @@ def _(f: Feeds) -> DataFrame:
   JOIN (SELECT city, cell, max(pm25) AS pm25 FROM stations GROUP BY ALL) b ON b.city = a.city AND b.cell = a.cell + delta GROUP BY ALL""")
 def _(f: Feeds) -> DataFrame:
     v = f.stations.groupBy("city", "cell").agg(F.max("pm25").alias("pm25"))
-    near = spatial.ring_neighbours(v, v, 0, 2, GRID)
+    near = spatial.ring_neighbours(v, v, geo.offsets(0, 2, GRID))
     return near.groupBy("city", F.col("centre").alias("cell")).agg(F.count("*").alias("n"), F.median("pm25").alias("med_pm25"))
 
 
