@@ -165,9 +165,18 @@ def offsets(lo: int, hi: int, grid: Grid = Grid()) -> list[Offset]:
     return out
 
 
+def offset_array(shape: list[Offset]) -> Column:
+    """Literal array of (delta, ring, ring_km, ring_bearing), parsed once as text."""
+    rows = ", ".join(
+        f"named_struct('delta', {o.delta}L, 'ring', {o.ring}, 'ring_km', {o.dist_km!r}D, 'ring_bearing', {o.bearing!r}D)"
+        for o in shape
+    )
+    return F.expr(f"array({rows})")
+
+
 def disk(cell: Column, k: int, lo: int = 0) -> Column:
     """Array of the cells in rings ``lo``..``k`` around a cell (ring 0 is the cell itself)."""
-    deltas = F.array(*[F.lit(o.delta) for o in offsets(lo, k)])
+    deltas = F.expr(f"array({', '.join(f'{o.delta}L' for o in offsets(lo, k))})")
     return F.transform(deltas, lambda d: cell + d)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from hazegrid.functions.geo import EARTH_RADIUS_KM, Grid, haversine_km, round_to
 from hazegrid.functions.stats import exact_quantiles
-from hazegrid.operators.signals import FIRE_FRAC_SCALE, WINDOWS, classify_persistence, neighbourhood_contrast, trailing, with_latest
+from hazegrid.operators.signals import FIRE_FRAC_SCALE, WINDOWS, classify_persistence, latest_hours, neighbourhood_contrast, trailing, with_latest
 from hazegrid.operators.spatial import add_centre, components, nearest, within_km
 from hazegrid.operators.wards import attach_wards
 from hazegrid.session import cut_lineage
@@ -65,9 +65,8 @@ def zone_scores(panel: DataFrame, at=None, grid: Grid = Grid(), pollutant: str =
 
 def exposure_context(scores: DataFrame, panel: DataFrame, field: DataFrame, at=None) -> DataFrame:
     """Add pm25_med (7-day median of the field, else the median over the city's cells), fires_6h and ts."""
-    newest = with_latest(panel.select("city", "cell", "ts", "fires_6h"), at)
-    now = newest.where("ts = at").select("city", "cell", "fires_6h")
-    clock = newest.select("city", "at").distinct()
+    clock = at if isinstance(at, DataFrame) else with_latest(panel.select("city", "ts"), at).select("city", "at").distinct()
+    now = with_latest(panel.select("city", "cell", "ts", "fires_6h"), clock).where("ts = at").select("city", "cell", "fires_6h")
     week = (
         field.join(F.broadcast(clock), "city")  # one row per city
         .where(trailing(F.col("ts"), F.col("at"), 168))
@@ -232,7 +231,8 @@ def finish_hotspots(zoned: DataFrame, wards: DataFrame) -> DataFrame:
 
 def detect(panel: DataFrame, field: DataFrame, osm: DataFrame, wards: DataFrame, at=None, grid: Grid = Grid()) -> DataFrame:
     """Hot cells with zone, kind, enforceability and severity; order by severity to publish."""
-    scored = exposure_context(zone_scores(panel, at, grid), panel, field, at)
+    clock = at if at is not None else cut_lineage(latest_hours(panel))
+    scored = exposure_context(zone_scores(panel, clock, grid), panel, field, clock)
     # Few rows survive; the nearest search and the zone merge below read them many times.
     hot = cut_lineage(hot_cells(scored))
     marked = cut_lineage(mark_attributable(hot, osm, grid))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.functions.geo import Grid, circular_mean_deg, offsets, round_to
+from hazegrid.functions.geo import Grid, circular_mean_deg, offset_array, offsets, round_to
 from hazegrid.functions.stats import MAD_SCALE, TINY, array_std, exact_quantiles, median_and_mad, robust_z_cells, sorted_median
 from hazegrid.operators.spatial import ring_neighbours
 
@@ -23,12 +23,17 @@ def trailing(ts: Column, at: Column, hours: float) -> Column:
     return (ts > at - F.make_dt_interval(hours=F.lit(int(hours)))) & (ts <= at)
 
 
+def latest_hours(df: DataFrame) -> DataFrame:
+    """(city, at): each city's newest hour."""
+    return df.groupBy("city").agg(F.max("ts").alias("at"))
+
+
 def with_latest(df: DataFrame, at=None) -> DataFrame:
-    """Add ``at``: the given instant (pushed down to the scan), else each city's newest hour."""
-    if at is not None:
-        return df.withColumn("at", F.lit(at).cast("timestamp"))
-    newest = df.groupBy("city").agg(F.max("ts").alias("at"))  # one row per city
-    return df.join(F.broadcast(newest), "city")
+    """Add ``at``: a given instant (pushed down to the scan), a (city, at) clock, else each city's newest hour."""
+    if at is None or isinstance(at, DataFrame):
+        clock = latest_hours(df) if at is None else at
+        return df.join(F.broadcast(clock), "city")  # one row per city
+    return df.withColumn("at", F.lit(at).cast("timestamp"))
 
 
 def window_medians(df: DataFrame, value: str, at=None, windows: Mapping[str, int] = WINDOWS) -> DataFrame:
@@ -109,12 +114,11 @@ def downwind_enhancement(
     """
     k = grid.rings_for(r_max)
     seen = daily.where(F.col(value).isNotNull()).join(daily_wind(weather), ["city", "date"])
-    band = _band(r_min, r_max, k, grid)
-    offs = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(b).alias("bearing")) for d, b in band])
+    band = [o for o in offsets(1, k, grid) if r_min <= o.dist_km <= r_max]
     # Each reading is offered to the centres it can be seen from: centre = cell - offset.
-    spread = seen.select("city", "date", F.col("cell").alias("src"), F.col(value).alias("v"), "wind_from_deg", F.explode(offs).alias("o"))
+    spread = seen.select("city", "date", F.col("cell").alias("src"), F.col(value).alias("v"), "wind_from_deg", F.explode(offset_array(band)).alias("o"))
     toward = F.pmod(F.col("wind_from_deg") + 180.0, F.lit(360.0))
-    off = F.abs(F.pmod(F.col("o.bearing") - toward + 180.0, F.lit(360.0)) - 180.0)
+    off = F.abs(F.pmod(F.col("o.ring_bearing") - toward + 180.0, F.lit(360.0)) - 180.0)
     sector = spread.select(
         "city",
         "date",
@@ -130,10 +134,6 @@ def downwind_enhancement(
     return robust_z_cells(full, {"enh": "plume"})
 
 
-def _band(r_min: float, r_max: float, k: int, grid: Grid) -> list[tuple[int, float]]:
-    return [(o.delta, o.bearing) for o in offsets(1, k, grid) if r_min <= o.dist_km <= r_max]
-
-
 def fire_persistence(df: DataFrame, at=None, windows: Mapping[str, int] = WINDOWS, scale: float = FIRE_FRAC_SCALE) -> DataFrame:
     """(city, cell, f_w...): share of the window's hours on fire, in units of ``scale``."""
     stamped = with_latest(df, at)

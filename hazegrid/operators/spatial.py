@@ -21,6 +21,7 @@ from hazegrid.functions.geo import (
     disk,
     haversine_km,
     latlng_to_cell,
+    offset_array,
     pack,
     point_in_any,
     polygons_bbox,
@@ -131,21 +132,10 @@ def ring_neighbours(
     ``values`` holds (by, cell, ...); its columns arrive under their own names and the
     centre's cell under ``centre``. Centres are spread over tasks before they multiply.
     """
-    ring = F.array(
-        *[
-            F.struct(
-                F.lit(o.delta).alias("delta"),
-                F.lit(o.ring).alias("ring"),
-                F.lit(o.dist_km).alias("ring_km"),
-                F.lit(o.bearing).alias("ring_bearing"),
-            )
-            for o in shape
-        ]
-    )
     spread = (
         centres.select(*by, F.col("cell").alias("centre"))
         .repartition(*by, "centre")
-        .select(*by, "centre", F.explode(ring).alias("o"))
+        .select(*by, "centre", F.explode(offset_array(list(shape))).alias("o"))
         .select(*by, "centre", (F.col("centre") + F.col("o.delta")).alias("cell"), "o.ring", "o.ring_km", "o.ring_bearing")
     )
     return spread.join(values, [*by, "cell"])
