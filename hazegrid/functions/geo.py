@@ -60,7 +60,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * (2 * EARTH_RADIUS_KM)
+    # Not least(): it skips nulls and would turn a missing coordinate into half the globe.
+    return F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a))) * (2 * EARTH_RADIUS_KM)
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -191,20 +191,24 @@ def components(nodes: DataFrame, edges: DataFrame, key: Sequence[str] = ("city",
         )
     )
     labels = cut_lineage(nodes.select(*key, "cell", F.col("cell").alias("comp")))
-    while True:
+
+    def spread(df: DataFrame) -> DataFrame:
         heard = (
-            both.join(labels.withColumnRenamed("cell", "other"), [*key, "other"])
+            both.join(df.select(*key, F.col("cell").alias("other"), "comp"), [*key, "other"])
             .groupBy(*key, "cell")
             .agg(F.min("comp").alias("heard"))
         )
-        nearer = labels.join(heard, [*key, "cell"], "left").select(
-            *key, "cell", F.col("comp").alias("was"), F.least("comp", F.coalesce("heard", "comp")).alias("comp")
-        )
+        return df.join(heard, [*key, "cell"], "left").withColumn("comp", F.least("comp", F.coalesce("heard", "comp"))).drop("heard")
+
+    while True:
+        # Two hops and one jump per round: fewer rounds, each still a handful of equi-joins.
+        nearer = spread(spread(labels.withColumn("was", F.col("comp"))))
         jump = nearer.select(*key, F.col("cell").alias("comp"), F.col("comp").alias("root"))
-        stepped = nearer.join(jump, [*key, "comp"], "left").select(
-            *key, "cell", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")
+        stepped = cut_lineage(
+            nearer.join(jump, [*key, "comp"], "left").select(
+                *key, "cell", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")
+            )
         )
-        stepped = cut_lineage(stepped)
         labels = stepped.select(*key, "cell", "comp")
         if stepped.where("comp <> was").isEmpty():
             return labels

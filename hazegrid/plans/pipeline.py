@@ -1,0 +1,75 @@
+"""The whole chain: feeds -> panel -> field -> hotspots -> verdicts -> queue -> documents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from hazegrid.functions.geo import Grid
+from hazegrid.operators import (
+    advisory, attribution, audit, clean, exposure, forecast, hotspots, ledger, memo, panel, priority, wards,
+)
+from hazegrid.operators.spatial import city_cells, stamp_cell
+from hazegrid.session import materialise
+
+
+def run(
+    feeds: dict[str, DataFrame],
+    issued_at: str,
+    grid: Grid = Grid(),
+    rounds: int = 20,
+    depth: int = 5,
+    teams: int = 4,
+    budget: int = 10,
+    store: Callable[..., DataFrame] = materialise,
+) -> dict[str, DataFrame]:
+    """Run every stage for all cities at once and return the published tables.
+
+    ``feeds`` holds cities (bounding boxes), polygons, stations, weather, satellite, fires,
+    osm, reports and status. ``store`` persists a stage that later stages read more than
+    once; the default writes it to the shared folder, panel and field by city and date.
+    """
+    cells = store(city_cells(feeds["cities"], grid))
+    ward = store(wards.wards_from_polygons(cells, feeds["polygons"]))
+    stations = store(clean.qc_station_readings(stamp_cell(feeds["stations"], grid)))
+    base = panel.build_panel(
+        cells, stations, feeds["weather"], feeds["satellite"], feeds["fires"], feeds["osm"], ward, grid
+    )
+    table = store(base, "city", "date")
+    landuse = store(panel.landuse_features(cells, feeds["osm"], grid=grid))
+
+    lab = store(exposure.labelled(table))
+    field_model, baseline = exposure.fit_field(lab, rounds, depth)
+    field = store(exposure.predict_field(field_model, table, baseline), "city")
+
+    hot = store(hotspots.detect(table, field, feeds["osm"], ward, grid=grid))
+    named_wards = clean.canonicalise_ward(feeds["reports"], ward).drop("ward_fixed")
+    reports = clean.resolve_ward_from_location(named_wards, ward, grid).drop("located")
+    named = store(attribution.attribute(hot, table, field, feeds["osm"], reports, grid=grid))
+
+    train = store(forecast.pooled(lab))
+    model, cols = forecast.fit_forecast(train, rounds, depth)
+    ahead = store(forecast.forecast_field(table, field, model, cols))
+
+    queue = store(priority.actions(hot, named, landuse, grid))
+    memos = store(memo.memos(queue, named, memo.rules_table(queue.sparkSession), issued_at))
+    texts = advisory.advisory_texts(advisory.ward_advisory(advisory.ward_inputs(ward, ahead, field, landuse)))
+    status = ledger.latest_status(feeds["status"])
+    return {
+        "cells": cells,
+        "wards": ward,
+        "panel": table,
+        "field": field,
+        "hotspots": hot,
+        "attributions": named,
+        "forecast": ahead,
+        "ward_forecast": forecast.ward_forecast(ahead, ward),
+        "actions": queue,
+        "dispatch": priority.dispatch(queue, hot, teams, budget, grid),
+        "memos": memos,
+        "advisories": texts,
+        "ledger": ledger.ledger(queue, hot, memos, status, ahead),
+        "blind_spots": audit.blind_spots(field, stations, ward),
+        "sensor_flags": audit.sensor_flags(field, stations, ward),
+    }

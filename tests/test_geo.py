@@ -90,4 +90,4 @@ def test_aqi_edges(spark):
 
 def test_half_even_rounding(spark):
     row = spark.range(1).select(geo.round_to(F.lit(12.25), 1), geo.round_to(F.lit(2.675), 2), geo.round_to(F.lit(0.5), 0)).first()
-    assert tuple(row) == (round(12.25, 1), round(2.675, 2), round(0.5))
+    assert tuple(row) == (np.round(12.25, 1), np.round(2.675, 2), np.round(0.5))

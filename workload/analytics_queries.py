@@ -506,3 +506,20 @@ def _cat(x: str) -> str:
   min_by(horizon_h, (-a, horizon_h)) AS worst_h, max(a) AS worst_aqi FROM (SELECT *, {aqi('pm25_hat')} AS a FROM ward_fc) GROUP BY ALL HAVING count(*) >= 2)""")
 def _(f: Feeds) -> DataFrame:
     return forecast.best_worst_hour(forecast.ward_forecast(f.forecast, f.wards))
+
+
+@query("pipeline_all_cities")
+def _(f: Feeds) -> DataFrame:
+    """The whole chain over the raw feeds; one row per city and published table."""
+    from hazegrid.plans.pipeline import run
+
+    raw = {
+        "cities": f.cities, "polygons": f.polygons, "stations": f.stations.drop("cell"), "weather": f.weather, "satellite": f.satellite,
+        "fires": f.fires, "osm": f.osm, "reports": f.reports, "status": f.status_updates,
+    }
+    tables = run(raw, "2024-02-01 06:00:00", GRID, rounds=3, depth=3)
+    out = None
+    for name, df in tables.items():
+        part = df.groupBy("city").agg(F.count("*").alias("n")).select("city", F.lit(name).alias("table"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out

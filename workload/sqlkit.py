@@ -92,7 +92,7 @@ def hav(a: str, b: str, c: str, e: str) -> str:
         f"sin(radians({c} - {a}) / 2) * sin(radians({c} - {a}) / 2) + cos(radians({a})) * cos(radians({c})) * "
         f"sin(radians({e} - {b}) / 2) * sin(radians({e} - {b}) / 2)"
     )
-    return f"(asin(sqrt(least({x}, 1e0))) * {d(2 * EARTH_RADIUS_KM)})"
+    return f"(asin(sqrt(CASE WHEN {x} > 1 THEN 1e0 ELSE {x} END)) * {d(2 * EARTH_RADIUS_KM)})"
 
 
 def bearing(a: str, b: str, c: str, e: str) -> str:
