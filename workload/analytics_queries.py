@@ -508,10 +508,10 @@ def _(f: Feeds) -> DataFrame:
     return forecast.best_worst_hour(forecast.ward_forecast(f.forecast, f.wards))
 
 
-@query("pipeline_all_cities")
+@query("all_stages_by_city")
 def _(f: Feeds) -> DataFrame:
     """The whole chain over the raw feeds; one row per city and published table."""
-    from hazegrid.plans.pipeline import run
+    from hazegrid.plans.city_run import run
 
     raw = {
         "cities": f.cities, "polygons": f.polygons, "stations": f.stations.drop("cell"), "weather": f.weather, "satellite": f.satellite,

@@ -107,7 +107,8 @@ class Feeds:
             (h % 24 * 50 + 200).cast("double").alias("blh_m"),
             (h % 20 + 15).cast("double").alias("temp_c"),
         )
-        return self.table("region").select(F.col("r_name").alias("city")).join(series, how="cross")  # 5 cities
+        region = self.table("region").select(F.col("r_regionkey").alias("_row"), F.col("r_name").alias("city"))
+        return series.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(4)))).join(region, "_row").drop("_row")
 
     @property
     def fires(self) -> DataFrame:

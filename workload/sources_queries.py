@@ -113,8 +113,8 @@ def _(f: Feeds) -> DataFrame:
     )
     feature = F.struct("properties", geometry.alias("geometry"))
     # One document per city with a feature at every file position; foreign positions carry no shape.
-    n = f.table("nation").select(F.col("n_nationkey").alias("p"))
-    slots = f.polygons.select("city").distinct().join(n, how="cross")  # 5 x 25 rows
+    last = f.polygons.groupBy("city").agg(F.max("ward_pos").alias("last"))
+    slots = last.select("city", F.explode(F.sequence(F.lit(0), "last")).alias("p"))
     both = slots.join(f.polygons.withColumn("p", F.col("ward_pos")).withColumn("f", feature).select("city", "p", "f"), ["city", "p"], "left")
     hole = F.struct(F.create_map().cast("map<string,string>").alias("properties"), F.struct(F.lit("Point").alias("type"), F.lit("[0,0]").alias("coordinates")).alias("geometry"))
     docs = both.withColumn("f", F.coalesce("f", hole)).groupBy("city").agg(F.sort_array(F.collect_list(F.struct("p", F.to_json("f").alias("j")))).alias("a"))
@@ -413,9 +413,13 @@ def _(f: Feeds) -> DataFrame:
     return a.join(b, "city").select("city", "a", "b", fx(geo.cell_distance_km(x, y, GRID)).alias("km"), geo.hex_distance(x, y).alias("hexes"))
 
 
-@query("s10_point_in_polygon", "SELECT city, cell, pos AS ward_pos FROM inside")
+@query("s10_point_in_polygon", """SELECT city, station_id, min(pos) AS ward_pos, any_value(n) AS n FROM (SELECT city, station_id, n, pos FROM (SELECT s.city, s.station_id, s.n, e.pos, e.ring,
+    count(*) FILTER (WHERE (yi > lat) <> (yj > lat) AND lon < xi + (lat - yi) * (xj - xi) / nullif(yj - yi, 0)) % 2 AS odd
+    FROM (SELECT city, station_id, lat, lon, count(*) AS n FROM stations GROUP BY ALL) s JOIN edges e ON e.city = s.city GROUP BY ALL)
+  GROUP BY ALL HAVING max(CASE WHEN ring = 0 THEN odd ELSE 0 END) = 1 AND max(CASE WHEN ring = 1 THEN odd ELSE 0 END) = 0) GROUP BY ALL""")
 def _(f: Feeds) -> DataFrame:
-    return spatial.first_polygon(f.cells, f.polygons.select("city", "ward_pos", "polygons"), "ward_pos").select("city", "cell", "ward_pos")
+    at = f.stations.groupBy("city", "station_id", "lat", "lon").agg(F.count("*").alias("n"))
+    return spatial.first_polygon(at, f.polygons.select("city", "ward_pos", "polygons"), "ward_pos").select("city", "station_id", "ward_pos", "n")
 
 
 @query("s12_aqi", f"SELECT city, station_id, {ts('ts')} AS ts, pm25, " + "{aqi} AS aqi, {band} AS band FROM stations".format(aqi=sql_aqi("pm25"), band=sql_band("pm25")))
@@ -521,7 +525,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("d0b_wards_voronoi", f"""SELECT c.city, c.cell, 'W' || lpad((pos + 1)::VARCHAR, 3, '0') AS ward_id, 'Ward ' || lpad((pos + 1)::VARCHAR, 3, '0') AS ward_name FROM (
   SELECT c.city, c.cell, min_by(s.pos, (power(c.lat - s.la, 2) + power((c.lon - s.lo) * cos(radians(m.lat0)), 2), s.pos)) AS pos FROM cells c JOIN (SELECT city, avg(lat) AS lat0 FROM cells GROUP BY ALL) m USING (city)
-  JOIN (SELECT r_name AS city, (s_suppkey // 5)::INTEGER AS pos, {lat_of('s_suppkey * 13')} + 0.0037e0 AS la, {lon_of('s_suppkey * 13')} + 0.0021e0 AS lo FROM supplier JOIN region ON r_regionkey = s_suppkey % 5) s USING (city) GROUP BY ALL) c""")
+  JOIN (SELECT r_name AS city, (s_suppkey // 5)::INTEGER AS pos, {lat_of('s_suppkey * 13')} + 0.0037e0 AS la, {lon_of('s_suppkey * 13')} + 0.0021e0 AS lo FROM supplier JOIN region ON r_regionkey = s_suppkey % 5 WHERE s_suppkey // 5 < 60) s USING (city) GROUP BY ALL) c""")
 def _(f: Feeds) -> DataFrame:
     from workload.feeds import site_lat, site_lon
 
@@ -530,7 +534,7 @@ def _(f: Feeds) -> DataFrame:
     seeds = f.table("supplier").withColumn("_row", (k % 5).cast("int")).join(region, "_row").select(
         "city", F.floor(k / 5).cast("int").alias("seed_pos"), (site_lat(k * 13) + 0.0037).alias("seed_lat"), (site_lon(k * 13) + 0.0021).alias("seed_lon")
     )
-    return wards.wards_from_seeds(f.cells, seeds)
+    return wards.wards_from_seeds(f.cells, wards.pick_seeds(seeds))
 
 
 @query("d0c_attach_wards", "SELECT city, station_id, ward_id, ward_name, count(*) AS n FROM stations LEFT JOIN wards USING (city, cell) GROUP BY ALL")
