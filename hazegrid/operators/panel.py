@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from hazegrid.functions.geo import Grid
 from hazegrid.functions.stats import clean
 from hazegrid.operators.spatial import within_km
+from hazegrid.session import cut_lineage
 
 LANDUSE_KINDS = ["industrial", "construction", "waste_burning", "traffic", "road"]
 LANDUSE = [f"lu_{k}" for k in LANDUSE_KINDS] + ["lu_sensitive"]
@@ -151,7 +152,8 @@ def build_panel(
     wx = weather.withColumn("ts", F.date_trunc("hour", "ts"))
     labels = station_cell_hour(stations)
     station_hours = stations.select("city", F.date_trunc("hour", "ts").alias("ts")).distinct()
-    hours = wx.join(station_hours, ["city", "ts"], "left_semi").select("city", "ts", *WEATHER)
+    # One row per city and hour, read five times below: settle it so the readings are scanned once for it.
+    hours = cut_lineage(wx.join(station_hours, ["city", "ts"], "left_semi").select("city", "ts", *WEATHER))
     burning = fire_features(cells, fires, hours, grid=grid)
     sparse = (
         labels.select("city", "cell", "ts", "pm25_station", F.lit(None).cast("int").alias("fires_6h"), F.lit(None).cast("double").alias("frp_6h"))

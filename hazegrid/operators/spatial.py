@@ -111,7 +111,7 @@ def nearest(
         grid = Grid(edge_km=radius / 2, ref_lat=ref_lat)
         hits = cut_lineage(within_km(rest, tgt, radius, grid, by, out).groupBy(*ids).agg(best))
         found.append(hits)
-        rest = cut_lineage(rest.join(hits, ids, "left_anti"))
+        rest = rest.join(hits, ids, "left_anti")
         if rest.isEmpty():
             break
     else:

@@ -247,7 +247,8 @@ class Feeds:
         """A dense field every query can restate in SQL: city median of the hour plus a cell term."""
         base = exposure.city_baseline(self.labelled)
         days = base.groupBy("city", F.to_date("ts").alias("_d")).agg(F.collect_list(F.struct("ts", "baseline")).alias("_h"))
-        rows = self.cells.select("city", "cell").join(days, "city").select("city", "cell", F.explode("_h").alias("h"))
+        spread = self.cells.select("city", "cell").repartition("city", "cell")
+        rows = spread.join(days, "city").select("city", "cell", F.explode("_h").alias("h"))
         return materialise(
             rows.select("city", "cell", "h.ts", (F.col("h.baseline") + (F.col("cell") % 23)).alias("pm25_hat"))
         )
