@@ -147,8 +147,13 @@ def build_panel(
     osm: DataFrame,
     wards: DataFrame,
     grid: Grid = Grid(),
+    landuse: DataFrame | None = None,
 ) -> DataFrame:
-    """All covariates of every (city, cell, hour) on the hours both feeds cover."""
+    """All covariates of every (city, cell, hour) on the hours both feeds cover.
+
+    ``landuse`` takes a stored ``landuse_features`` table; without it the counts are made here.
+    """
+    landuse = landuse_features(cells, osm, grid=grid) if landuse is None else landuse
     wx = weather.withColumn("ts", F.date_trunc("hour", "ts"))
     labels = station_cell_hour(stations)
     station_hours = stations.select("city", F.date_trunc("hour", "ts").alias("ts")).distinct()
@@ -170,7 +175,7 @@ def build_panel(
     days = (
         fill_satellite(_cell_days(cells, hours), satellite)
         .join(sparse, ["city", "cell", "date"], "left")
-        .join(landuse_features(cells, osm, grid=grid), ["city", "cell"], "left")
+        .join(landuse, ["city", "cell"], "left")
         .join(wards.select("city", "cell", "ward_id", "ward_name"), ["city", "cell"], "left")
         .join(_hours_by_day(hours), ["city", "date"])
     )

@@ -33,11 +33,11 @@ def run(
     cells = store(city_cells(feeds["cities"], grid))
     ward = store(wards.wards_from_polygons(cells, feeds["polygons"]))
     stations = store(clean.qc_station_readings(stamp_cell(feeds["stations"], grid)))
+    landuse = store(panel.landuse_features(cells, feeds["osm"], grid=grid))
     base = panel.build_panel(
-        cells, stations, feeds["weather"], feeds["satellite"], feeds["fires"], feeds["osm"], ward, grid
+        cells, stations, feeds["weather"], feeds["satellite"], feeds["fires"], feeds["osm"], ward, grid, landuse
     )
     table = store(base, "city", "date")
-    landuse = store(panel.landuse_features(cells, feeds["osm"], grid=grid))
 
     lab = store(exposure.labelled(table))
     field_model, baseline = exposure.fit_field(lab, rounds, depth)

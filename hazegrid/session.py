@@ -12,7 +12,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Rows here are few and then exploded (hours of a day, rings of a cell): keep them spread.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join feeding an aggregate on the same key is otherwise left skewed.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

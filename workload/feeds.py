@@ -232,7 +232,7 @@ class Feeds:
     @cached_property
     def panel(self) -> DataFrame:
         built = panel.build_panel(
-            self.cells, self.stations, self.weather, self.satellite, self.fires, self.osm, self.wards, GRID
+            self.cells, self.stations, self.weather, self.satellite, self.fires, self.osm, self.wards, GRID, self.landuse
         )
         return materialise(built)
 
