@@ -7,6 +7,7 @@ ring joins stay integer equi-joins with no string building.
 
 from __future__ import annotations
 
+import json
 import math
 from typing import NamedTuple
 
@@ -167,12 +168,13 @@ def offsets(lo: int, hi: int, grid: Grid = Grid()) -> list[Offset]:
 
 
 def offset_array(shape: list[Offset]) -> Column:
-    """Literal array of (delta, ring, ring_km, ring_bearing), parsed once as text."""
-    rows = ", ".join(
-        f"named_struct('delta', {o.delta}L, 'ring', {o.ring}, 'ring_km', {o.dist_km!r}D, 'ring_bearing', {o.bearing!r}D)"
-        for o in shape
+    """Constant array of (delta, ring, ring_km, ring_bearing); one expression that folds to a literal."""
+    rows = [
+        {"delta": o.delta, "ring": o.ring, "ring_km": o.dist_km, "ring_bearing": o.bearing} for o in shape
+    ]
+    return F.from_json(
+        F.lit(json.dumps(rows)), "array<struct<delta:bigint,ring:int,ring_km:double,ring_bearing:double>>"
     )
-    return F.expr(f"array({rows})")
 
 
 def disk(cell: Column, k: int, lo: int = 0) -> Column:

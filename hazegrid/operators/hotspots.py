@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazegrid.functions.geo import EARTH_RADIUS_KM, Grid, haversine_km, round_to
+from hazegrid.functions.geo import EARTH_RADIUS_KM, Grid, round_to
 from hazegrid.functions.stats import exact_quantiles
 from hazegrid.operators.signals import FIRE_FRAC_SCALE, WINDOWS, classify_persistence, latest_hours, neighbourhood_contrast, trailing, with_latest
 from hazegrid.operators.spatial import add_centre, components, nearest, within_km
@@ -187,7 +187,7 @@ def reconcile_zones(hot: DataFrame, link_km: float = ZONE_LINK_KM, max_km: float
     return apply_zones(hot, label_zones(capped_zones(hot, link_km, max_km, grid)))
 
 
-def zone_max(df: DataFrame) -> Column:
+def zone_max() -> Column:
     return F.greatest("z_w24h", "z_w7d", "z_w30d")
 
 
@@ -198,7 +198,7 @@ def severity(df: DataFrame) -> DataFrame:
         return F.least(F.greatest(x / full, F.lit(0.0)), F.lit(1.0))
 
     blend = (
-        share(zone_max(df), 6.0) * 0.45
+        share(zone_max(), 6.0) * 0.45
         + share(F.col("pm25_med"), 120.0) * 0.35
         + lookup(F.col("kind"), PERSISTENCE_WEIGHT, 0.0) * 0.20
     )
@@ -207,7 +207,7 @@ def severity(df: DataFrame) -> DataFrame:
 
 def detection_basis(df: DataFrame) -> DataFrame:
     fires = F.when(F.col("fires_6h") > 0, F.format_string("; %d FIRMS detections in last 6 h", F.col("fires_6h").cast("int")))
-    head = F.format_string("satellite contrast z=%.1f vs surrounding 4-8 km", round_to(zone_max(df), 1))
+    head = F.format_string("satellite contrast z=%.1f vs surrounding 4-8 km", round_to(zone_max(), 1))
     return df.withColumn("detection_basis", F.concat(head, F.coalesce(fires, F.lit(""))))
 
 
@@ -251,7 +251,3 @@ def hotspot_summary(hot: DataFrame) -> DataFrame:
         F.count_if(F.col("attributable")).alias("enforceable_cells"),
         F.count_if(~F.col("attributable")).alias("diffuse_cells"),
     )
-
-
-def great_circle(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> Column:
-    return haversine_km(F.col(a_lat), F.col(a_lon), F.col(b_lat), F.col(b_lon))

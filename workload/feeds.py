@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import Grid, disk, latlng_to_cell, round_to
-from hazegrid.functions.stats import median_and_mad  # noqa: F401
 from hazegrid.operators import attribution, clean, exposure, hotspots, panel, priority, signals, wards
 from hazegrid.operators.spatial import city_cells, stamp_cell
 from hazegrid.session import materialise, tune
@@ -121,7 +120,10 @@ class Feeds:
 
     @property
     def satellite(self) -> DataFrame:
-        """A view is seen by every hex within two rings of its site, as a coarse footprint would."""
+        """A view is seen by every hex within two rings of its site, as a coarse footprint would.
+
+        The gain keeps averages off the exact rounding ties of two-decimal values.
+        """
         own = latlng_to_cell(F.col("lat"), F.col("lon"), GRID)
         seen = self.events.where("event_type = 'view'").select(
             "city", F.to_date("ts").alias("date"), "value", "event_id", F.explode(disk(own, 2)).alias("cell")
