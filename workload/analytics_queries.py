@@ -517,7 +517,7 @@ def _(f: Feeds) -> DataFrame:
         "cities": f.cities, "polygons": f.polygons, "stations": f.stations.drop("cell"), "weather": f.weather, "satellite": f.satellite,
         "fires": f.fires, "osm": f.osm, "reports": f.reports, "status": f.status_updates,
     }
-    tables = run(raw, "2024-02-01 06:00:00", GRID, rounds=3, depth=3)
+    tables = run(raw, "2024-02-01 06:00:00", GRID, rounds=2, depth=2)
     out = None
     for name, df in tables.items():
         part = df.groupBy("city").agg(F.count("*").alias("n")).select("city", F.lit(name).alias("table"), "n")
