@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, linetree, mixing, simhash, toxicity
+from hazegrid.llm import bpe, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
 from hazegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,69 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "n_tokens", "epoch", "block", "block_key", "doc_key")
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+# The list and the dates of the URL filter are arithmetic on the pages table, said the same way in SQL.
+URL_LISTS = ["adult", "malware", "phishing", "spam"]
+URL_SQL = r"""
+WITH rows_ AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS h,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+parsed AS (
+  SELECT page_id, url, day, CASE WHEN regexp_replace(h, '\.+$', '') <> '' THEN regexp_replace(h, '\.+$', '') END AS host,
+         list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM rows_),
+keyed AS (
+  SELECT *, string_split(host, '.') AS labels FROM parsed WHERE host IS NOT NULL),
+spread AS (
+  SELECT DISTINCT url, day, unnest(list_concat(
+    list_transform(range(1, greatest(2, len(labels))), lambda i: array_to_string(labels[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[:i], '/')))) AS key
+  FROM keyed),
+hosts AS (SELECT DISTINCT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS u FROM spread),
+events_ AS (
+  SELECT key, u, 'add' AS action, u % 200 AS d FROM hosts WHERE u % 3 = 0
+  UNION ALL SELECT key, u, 'remove', u % 200 + 20 + u % 90 FROM hosts WHERE u % 6 = 0
+  UNION ALL SELECT key, u, 'add', u % 200 + 150 + u % 50 FROM hosts WHERE u % 12 = 0),
+dated AS (
+  SELECT ['adult', 'malware', 'phishing', 'spam'][u // 5 % 4 + 1] AS list, key, action, DATE '2024-01-01' + CAST(d AS INTEGER) AS day FROM events_),
+days AS (SELECT list, key, day, max(action) AS action FROM dated GROUP BY ALL),
+held AS (
+  SELECT *, coalesce(lead(day) OVER (PARTITION BY list, key ORDER BY day), DATE '9999-12-31') AS valid_to FROM days),
+hits AS (
+  SELECT s.url, s.day, count(*) AS n, array_to_string(list_sort(list_distinct(list(h.list))), ',') AS lists,
+         first(s.key ORDER BY -length(s.key), s.key) AS entry
+  FROM spread s JOIN held h ON h.key = s.key AND h.action = 'add' AND s.day >= h.day AND s.day < h.valid_to GROUP BY ALL)
+SELECT p.page_id, p.host, p.day AS fetched_on, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, entry, coalesce(n, 0) > 0 AS blocked
+FROM parsed p LEFT JOIN hits USING (url, day)
+"""
+
+
+def url_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries over the keys of the pages' own URLs."""
+    keys = pages.select(F.explode(urlfilter.keys_of(F.col("url"))).alias("key")).distinct()
+    u = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("long")
+    day = lambda d: F.date_add(F.lit("2024-01-01").cast("date"), d.cast("int"))
+    event = lambda when, action, d: F.when(when, F.struct(F.lit(action).alias("action"), day(d).alias("day")))
+    u_ = F.col("u")
+    events = F.array(
+        event(u_ % 3 == 0, "add", u_ % 200),
+        event(u_ % 6 == 0, "remove", u_ % 200 + 20 + u_ % 90),
+        event(u_ % 12 == 0, "add", u_ % 200 + 150 + u_ % 50),
+    )
+    named = F.get(F.array(*[F.lit(x) for x in URL_LISTS]), (F.floor(u_ / 5) % 4).cast("int"))
+    rows = keys.withColumn("u", u).where("u % 3 = 0").select(named.alias("list"), "key", F.explode(events).alias("e"))
+    return rows.select("list", "key", "e.action", "e.day")
+
+
+@query("op10_urlfilter", URL_SQL)
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
+    return urlfilter.judge(captures, url_entries(pages))

@@ -250,7 +250,7 @@ def fit(
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_toxic or not n_clean:
         return blank
-    floor = max(3, math.ceil(min_share * n_toxic))
+    floor = max(6, math.ceil(min_share * n_toxic))
     counted = sample.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate_t, rate_c = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.05) / (n_clean + 1)
     odds = rate_t / (rate_t + rate_c)
