@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
+from hazegrid.llm import bpe, knn_quality, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
 from hazegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,12 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
     return urlfilter.judge(captures, url_entries(pages))
+
+
+@query("op5_knn")
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = knn_quality.score(docs, knn_quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select(
+        "doc_id", knn_quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
