@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, knn_quality, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
+from hazegrid.llm import bpe, knn_quality, licenses, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
 from hazegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", knn_quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
+
+
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.summary(licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
