@@ -66,8 +66,10 @@ class Automaton:
         self.on_any: dict[int, int] = {}
         self.empty: dict[int, list[int]] = defaultdict(list)
         self.mandatory: set[bytes] = set()
-        at, opened, n = 0, [], 0
+        at, opened, n, runs = 0, [], 0, [[]]
         for token in re.findall(r"<<[^>]*>>|[^\s<>]+", markup.lower()):
+            if token.startswith("<<"):
+                runs.append([])
             if token == "<<optional>>":
                 n += 1
                 self.empty[at].append(n)
@@ -95,6 +97,7 @@ class Automaton:
                 at = n
                 if not opened:
                     self.mandatory.add(token.encode())
+                    runs[-1].append(token.encode())
         if opened:
             raise ValueError("a region is not closed")
         self.end = at
@@ -104,7 +107,7 @@ class Automaton:
         self.first = {w for s in first for w in self.on_word.get(s, {})}
         # The longest mandatory word says soonest that a text can't match; short words are looked for in a row.
         self.anchor = max(self.mandatory, key=lambda w: (len(w), w))
-        run = [t.encode() for t in max(re.sub(r"<<optional>>.*?<<end>>|<<any \d+>>", "|", markup.lower()).split("|"), key=len).split()]
+        run = max(runs, key=len)
         self.run = None if len(self.anchor) > 4 else re.compile((_BETWEEN + b"+").join(map(re.escape, run)))
 
     def closure(self, states: set[int]) -> set[int]:

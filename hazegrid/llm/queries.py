@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bpe, knn_quality, licenses, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
-from hazegrid.llm.common import table
+from hazegrid.llm import bm25, bpe, knn_quality, licenses, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
+from hazegrid.llm.common import store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,28 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licenses.summary(licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+BM25_SQL = r"""
+WITH toks AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
+lens AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY ALL),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM toks) * 1.0 / (SELECT count(*) FROM documents) AS mean_len),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM tf, stats GROUP BY term, n),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(w * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) AS score
+  FROM tf q JOIN tf d USING (term) JOIN idf USING (term) JOIN lens l ON l.doc_id = d.doc_id, stats
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op1_bm25", BM25_SQL)
+def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25.search(store(bm25.build_index(docs)), asked)
