@@ -9,7 +9,8 @@ keeps it, every other document loses those lines.
 
 from __future__ import annotations
 
-from operator import eq
+from functools import reduce
+from operator import eq, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,15 @@ from hazegrid.llm.common import small_batches, store
 FIELD = "<*>"
 #: Distinct lines of a leaf that one task parses; larger leaves are parsed in parts whose templates then meet.
 PART = 20_000
+#: Rows of a broadcast side; it is counted first, and a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
 def masked(line: Column) -> Column:
     """Tokens joined by one space, with those that hold a digit replaced by the field mark."""
-    tidy = F.when(line.rlike(r"\s\s|[\t\r\x0B\f]|^\s|\s$"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    # Plain substring tests: most lines need no pattern at all.
+    untidy = reduce(or_, [line.contains(x) for x in ("  ", "\t", "\r", "\x0b", "\f")], line.startswith(" ") | line.endswith(" "))
+    tidy = F.when(untidy, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
     return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, r"(?<!\S)[^\s\d]*+\d\S*", FIELD)).otherwise(tidy)
 
 
@@ -118,10 +123,12 @@ def recurring(
     rows = rows.select("id", masked(F.col("line")).alias("m")).withColumn("k", tokens("m")).where(F.col("k") >= min_tokens)
     keyed = store(rows.select("id", leaf_key(F.col("m"), F.col("k"), depth).alias("leaf"), F.xxhash64("m").alias("h"), "m"))
     leaves = keyed.groupBy("leaf").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    shared = leaves.where("lo < hi").select("leaf", "n")
+    shared = store(leaves.where("lo < hi").select("leaf", "n"))
+    # Few enough leaves go to every task, so that lines of other leaves never move; more are joined by shuffling.
+    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Equal lines collapse before anything is parsed: a line in a third of all documents is one row.
     distinct = store(
-        keyed.join(shared, "leaf").groupBy("leaf", "h")
+        keyed.join(F.broadcast(shared) if few else shared, "leaf").groupBy("leaf", "h")
         .agg(F.max("n").alias("n"), F.min("m").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     )
     named = templates(distinct.select("leaf", "n", "h", "m"), similarity)
@@ -145,10 +152,14 @@ def drop_recurring(
     """
     keyed, gone = recurring(docs, id_col, text_col, min_tokens, depth, similarity)
     drops = keyed.join(gone, ["leaf", "h"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("__drop"))
+    drops = store(drops.withColumnRenamed("id", "__id"))
+    n_drops, n_hashes = drops.agg(F.count("*"), F.sum(F.size("__drop"))).first()
+    if n_drops + (n_hashes or 0) <= BROADCAST_ROWS:  # else the texts are shuffled by id
+        drops = F.broadcast(drops)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     split = F.split(F.col(text_col).cast("string"), "\n")
     rest = F.filter("__lines", lambda x: ~F.array_contains("__drop", F.xxhash64(masked(x))))
-    own = docs.select(*kept).join(drops.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left")
+    own = docs.select(*kept).join(drops, F.col(id_col) == F.col("__id"), "left")
     cut = own.withColumn("__lines", split).withColumn("__rest", F.when(F.col("__drop").isNotNull(), rest))
     text = F.when(F.col("__rest").isNotNull(), F.array_join("__rest", "\n")).otherwise(F.col(text_col))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines"))
