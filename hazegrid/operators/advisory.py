@@ -128,15 +128,15 @@ def by_risk(advisories: DataFrame) -> DataFrame:
     return advisories.orderBy("city", F.desc("risk_score"), "ward_id")
 
 
-def top_risk_wards(advisories: DataFrame, top: int = 25) -> DataFrame:
-    """The ``top`` wards of each city by risk; a non-positive number means all."""
-    if top <= 0:
+def top_risk_wards(advisories: DataFrame, top: int | None = None) -> DataFrame:
+    """The ``top`` wards of each city by risk; all without a positive number."""
+    if top is None or top <= 0:
         return advisories
     rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("risk_score"), "ward_id"))
     return advisories.withColumn("_n", rank).where(F.col("_n") <= top).drop("_n")
 
 
-def audio_worklist(advisories: DataFrame, manifest: DataFrame, top: int = 25) -> DataFrame:
+def audio_worklist(advisories: DataFrame, manifest: DataFrame, top: int | None = None) -> DataFrame:
     """(city, ward_id, lang, text, text_hash) still to be spoken: changed or new since the manifest."""
     wanted = top_risk_wards(advisories, top).select("city", "ward_id", F.explode("texts").alias("lang", "text"))
     hashed = wanted.where(F.length("text") > 0).withColumn("text_hash", F.sha2("text", 256))

@@ -22,7 +22,8 @@ FIRE_CONFIDENCE = {"l": ("Low", 0.3), "n": ("Nominal", 0.6), "h": ("High", 0.9)}
 def qc_station_readings(readings: DataFrame, mad_limit: float = 20.0) -> DataFrame:
     """Drop readings above median + ``mad_limit`` * max(MAD, 1) of their own station."""
     valid = readings.withColumn("pm25", clean(F.col("pm25"))).where("pm25 is not null")
-    limits = median_and_mad(valid, "pm25", ["city", "station_id"]).select(
+    # One station's readings are bounded by the calendar.
+    limits = median_and_mad(valid, "pm25", ["city", "station_id"], small=True).select(
         "city", "station_id", (F.col("med") + F.greatest("mad", F.lit(1.0)) * float(mad_limit)).alias("_limit")
     )
     return valid.join(limits, ["city", "station_id"]).where("pm25 <= _limit").drop("_limit")
@@ -47,10 +48,19 @@ def hour_axis(stations: DataFrame, weather: DataFrame) -> DataFrame:
 
 
 def require_hours(hours: DataFrame, stations: DataFrame, weather: DataFrame) -> DataFrame:
-    """Stop with both ranges when the feeds share no hour."""
-    if hours.isEmpty():
-        span = [df.agg(F.min("ts"), F.max("ts")).first() for df in (stations, weather)]
-        raise ValueError(f"stations cover {tuple(span[0])}, weather covers {tuple(span[1])}: no common hour")
+    """Stop with both ranges when the feeds of a city share no hour; the message names the cities.
+
+    Cities with rows in one feed only are for the gate on critical feeds (``readers.load_feeds``).
+    """
+
+    def span(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("city").agg(F.struct(F.min("ts").alias("from"), F.max("ts").alias("to")).alias(name))
+
+    spans = span(stations, "s").join(span(weather, "w"), "city").join(hours.select("city").distinct(), "city", "left_anti")
+    lost = spans.orderBy("city").limit(20).collect()  # enough for a message
+    if lost or hours.isEmpty():
+        told = "; ".join(f"{r.city}: stations cover {tuple(r.s)}, weather covers {tuple(r.w)}" for r in lost)
+        raise ValueError(f"no common hour. {told}")
     return hours
 
 

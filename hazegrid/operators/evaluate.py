@@ -26,7 +26,7 @@ TIERS = {
 def detection_hits(sources: DataFrame, hotspots: DataFrame, attributions: DataFrame, grid: Grid = Grid(), km: float = NEAR_KM) -> DataFrame:
     """Per source: detected, the closest hit, the name it was given, whether that is right."""
     hot = add_centre(hotspots.select("city", "cell").distinct(), grid)
-    near = within_km(hot, sources.select("city", "name", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), km, grid)
+    near = within_km(hot, sources.select("city", "name", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), km)
     best = near.groupBy("city", "name").agg(F.min_by("cell", F.struct("dist_km", "cell")).alias("cell"), F.min("dist_km").alias("hit_km"))
     named = attributions.select("city", "cell", F.col("primary_source").alias("attributed_as"))
     return (
@@ -49,7 +49,7 @@ def detection_recall(hits: DataFrame) -> DataFrame:
 def zone_precision(hotspots: DataFrame, sources: DataFrame, grid: Grid = Grid(), km: float = NEAR_KM) -> DataFrame:
     """(city, zone_id, n_cells, attributable, min_km, hit, cells_hit): is a real source in the zone's reach?"""
     src = sources.select("city", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    near = nearest(add_centre(hotspots.select("city", "cell", "zone_id", "attributable"), grid), src, ["cell"], ref_lat=grid.ref_lat)
+    near = nearest(add_centre(hotspots.select("city", "cell", "zone_id", "attributable"), grid), src, ["cell"])
     return near.groupBy("city", "zone_id").agg(
         F.count("*").alias("n_cells"),
         F.bool_or("attributable").alias("attributable"),
@@ -62,7 +62,7 @@ def zone_precision(hotspots: DataFrame, sources: DataFrame, grid: Grid = Grid(),
 def near_station(sources: DataFrame, stations: DataFrame, grid: Grid = Grid(), km: float = NEAR_KM) -> DataFrame:
     """(city, n, n_near): sources within reach of the centre of a monitored cell."""
     sites = add_centre(stations.select("city", "cell").distinct(), grid)
-    pairs = within_km(sites, sources.select("city", "name", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), km, grid)
+    pairs = within_km(sites, sources.select("city", "name", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), km)
     seen = pairs.select("city", "name").distinct().withColumn("_near", F.lit(True))
     return sources.join(seen, ["city", "name"], "left").groupBy("city").agg(
         F.count("*").alias("n"), F.count("_near").alias("n_near")
@@ -158,30 +158,3 @@ def recall_invariance(hits: DataFrame) -> DataFrame:
         F.max("found").alias("max_found"),
         (F.countDistinct("found") == 1).alias("invariant"),
     )
-
-
-def random_network_coverage(
-    cells: DataFrame, sources: DataFrame, n_stations: int = 12, trials: int = 4000, seed: int = 0, km: float = NEAR_KM, grid: Grid = Grid()
-) -> DataFrame:
-    """Monte-Carlo: how many sources does a uniformly random monitor network catch?
-
-    A trial's network is the ``n_stations`` cells with the smallest seeded hash, so every
-    trial is reproducible on any partitioning. Only cells near some source matter once a
-    network is drawn; the rank filter is limited per task before its shuffle.
-    """
-    draw = F.xxhash64(F.lit(seed), F.col("trial"), F.col("city"), F.col("cell"))
-    tried = cells.select("city", "cell").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    rank = F.row_number().over(Window.partitionBy("city", "trial").orderBy(draw, "cell"))
-    network = tried.withColumn("_n", rank).where(F.col("_n") <= n_stations).select("city", "trial", "cell")
-    pts = add_centre(cells.select("city", "cell"), grid)
-    covers = within_km(pts, sources.select("city", "name", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), km, grid).select("city", "cell", "name")
-    caught = network.join(covers, ["city", "cell"]).groupBy("city", "trial").agg(F.countDistinct("name").alias("caught"))
-    every = cells.select("city").distinct().withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    n = F.coalesce("caught", F.lit(0))
-    return every.join(caught, ["city", "trial"], "left").groupBy("city").agg(
-        F.count("*").alias("trials"),
-        F.median(n).alias("median_caught"),
-        F.avg(n).alias("mean_caught"),
-        F.avg((n == 0).cast("double")).alias("p_zero"),
-        F.avg((n <= 2).cast("double")).alias("p_two_or_fewer"),
-    )

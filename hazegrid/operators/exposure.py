@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+import pickle
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from hazegrid.functions.boosting import Boosted
 from hazegrid.functions.geo import round_to
 from hazegrid.functions.stats import r_squared, rmse
+from hazegrid.session import materialise
 
 # Model inputs.
 FEATURES = [
@@ -18,6 +22,8 @@ FEATURES = [
     "lu_industrial", "lu_construction", "lu_waste_burning", "lu_traffic", "lu_road", "hour", "dow",
 ]
 LABEL = "pm25_station"
+FIELD_SETTINGS = {"rounds": 400, "leaves": 63, "rate": 0.06, "columns": 0.9, "rows": 0.8, "min_leaf": 40}
+HOLDOUT_SETTINGS = FIELD_SETTINGS | {"rounds": 250}
 
 
 def labelled(panel: DataFrame) -> DataFrame:
@@ -33,51 +39,68 @@ def residual_target(lab: DataFrame, baseline: DataFrame) -> DataFrame:
     return lab.join(baseline, ["city", "ts"]).withColumn("resid", F.col(LABEL) - F.col("baseline"))
 
 
-def tree_pipeline(inputs: list[str], label: str, rounds: int, depth: int, seed: int = 42) -> Pipeline:
-    """Impute, flag missing values, assemble, boost. Spark's trees cannot take nulls."""
-    filled = [f"{c}_f" for c in inputs]
-    flags = [f"{c}_na" for c in inputs]
-    return Pipeline(
-        stages=[
-            Imputer(inputCols=inputs, outputCols=filled, strategy="median"),
-            VectorAssembler(inputCols=filled + flags, outputCol="features"),
-            GBTRegressor(
-                featuresCol="features", labelCol=label, predictionCol="pred", maxIter=rounds, maxDepth=depth,
-                stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed,
-            ),
-        ]
-    )
-
-
-def model_inputs(df: DataFrame, inputs: list[str]) -> DataFrame:
-    """Doubles with null for missing, plus 0/1 missing flags."""
-    return df.withColumns({c: F.col(c).cast("double") for c in inputs}).withColumns(
-        {f"{c}_na": F.col(c).isNull().cast("double") for c in inputs}
-    )
+def as_numbers(rows: pd.DataFrame, inputs: list[str]) -> np.ndarray:
+    """Inputs as doubles, NaN for missing."""
+    return rows[inputs].apply(pd.to_numeric).to_numpy(dtype=np.float64)
+
+
+def fit_by_city(rows: DataFrame, inputs: list[str], label: str, settings: dict) -> DataFrame:
+    """(city, model: binary, gains: array<double>): one model for each city, fitted in a task of its own.
+
+    A city's labelled rows are bounded by its stations and the calendar.
+    """
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        model = Boosted(**settings).fit(as_numbers(group, inputs), group["_y"].to_numpy())
+        return pd.DataFrame({"city": [group["city"].iloc[0]], "model": [pickle.dumps(model)], "gains": [model.gain.tolist()]})
+
+    used = rows.where(F.col(label).isNotNull()).select("city", *inputs, F.col(label).alias("_y"))
+    return used.groupBy("city").applyInPandas(fit, "city string, model binary, gains array<double>")
 
 
-def fit_field(lab: DataFrame, rounds: int = 20, depth: int = 5) -> tuple[PipelineModel, DataFrame]:
+def score_by_city(rows: DataFrame, models: DataFrame, inputs: list[str], part: Column, out: str = "pred") -> DataFrame:
+    """``rows`` with the prediction of their city's model; ``part`` cuts a city into groups that one task can hold.
+
+    Models travel to the parts of their city, never to the driver. A city without a model has no rows in the result.
+    """
+    columns = rows.columns
+    parted = rows.withColumn("_part", part)
+    copies = parted.select("city", "_part").distinct().join(models.select("city", "model"), "city")
+    copies = copies.select(F.col("city").alias("m_city"), F.col("_part").alias("m_part"), "model")
+
+    def score(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(model) or not len(group):
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in [*columns, out]})
+        hat = pickle.loads(model["model"].iloc[0]).predict(as_numbers(group, inputs))
+        return group[columns].assign(**{out: hat})
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
+    return parted.groupBy("city", "_part").cogroup(copies.groupBy("m_city", "m_part")).applyInPandas(score, schema)
+
+
+def fit_field(lab: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
+    """(models, baseline): the deviation from the city's hourly median, learned city by city."""
     baseline = city_baseline(lab)
-    train = model_inputs(residual_target(lab, baseline), FEATURES)
-    return tree_pipeline(FEATURES, "resid", rounds, depth).fit(train), baseline
+    return fit_by_city(residual_target(lab, baseline), FEATURES, "resid", FIELD_SETTINGS | settings), baseline
 
 
-def predict_field(model: PipelineModel, panel: DataFrame, baseline: DataFrame) -> DataFrame:
+def predict_field(models: DataFrame, panel: DataFrame, baseline: DataFrame) -> DataFrame:
     """(city, cell, ts, pm25_hat): baseline of the hour (else the median of the city's) plus residual."""
     typical = baseline.groupBy("city").agg(F.median("baseline").alias("_typical"))
-    scored = model.transform(model_inputs(panel.join(baseline, ["city", "ts"], "left").join(F.broadcast(typical), "city", "left"), FEATURES))
-    return scored.select(
-        "city", "cell", "ts", (F.coalesce("baseline", "_typical") + F.col("pred")).alias("pm25_hat")
-    )
+    rows = panel.select("city", "cell", "ts", *FEATURES)
+    scored = score_by_city(rows, models, FEATURES, F.to_date("ts"))
+    joined = scored.join(baseline, ["city", "ts"], "left").join(F.broadcast(typical), "city", "left")  # one row per city
+    return joined.select("city", "cell", "ts", (F.coalesce("baseline", "_typical") + F.col("pred")).alias("pm25_hat"))
 
 
-def feature_importance(model: PipelineModel, top: int = 5) -> list[tuple[str, float]]:
-    """The strongest inputs of a fitted field; a value's missing flag counts towards it."""
-    trees = model.stages[-1]
-    weights = trees.featureImportances.toArray()
-    n = len(FEATURES)
-    both = {f: float(weights[i] + weights[i + n]) for i, f in enumerate(FEATURES)}
-    return sorted(both.items(), key=lambda kv: -kv[1])[:top]
+def feature_importance(models: DataFrame, inputs: list[str] = FEATURES, top: int | None = None) -> DataFrame:
+    """(city, rank, feature, weight): inputs of each city's model by their share of the gain; the ``top`` of them, or all."""
+    named = models.select("city", F.posexplode("gains").alias("_i", "gain"))
+    total = F.sum("gain").over(Window.partitionBy("city"))
+    rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("gain"), "_i"))
+    feature = F.get(F.array(*[F.lit(x) for x in inputs]), F.col("_i"))
+    out = named.select("city", rank.alias("rank"), feature.alias("feature"), (F.col("gain") / F.nullif(total, F.lit(0.0))).alias("weight"))
+    return out if top is None else out.where(F.col("rank") <= top)
 
 
 def others_mean(lab: DataFrame) -> DataFrame:
@@ -98,54 +121,57 @@ def naive_citymean_loso(lab: DataFrame) -> DataFrame:
 def others_median(lab: DataFrame) -> DataFrame:
     """Add ``others_med``: median of the city's other station cells that hour.
 
-    With the hour's readings ranked, leaving one out shifts the middle by at most one
-    place, so one sorted array of station cells per hour answers for all of them.
+    With the hour's readings ranked, leaving one out shifts the middle by at most one place, so the
+    row's rank and four readings around the middle of the hour are enough.
     """
-    hour = lab.groupBy("city", "ts").agg(F.sort_array(F.collect_list(F.struct(F.col(LABEL).alias("v"), F.col("cell").alias("c")))).alias("_r"))
-    joined = lab.join(hour, ["city", "ts"])
-    pos = F.array_position("_r", F.struct(F.col(LABEL).alias("v"), F.col("cell").alias("c"))) - 1
-    m = F.size("_r") - 1
-    def nth(k):
-        return F.get("_r", (k + (k >= pos).cast("int")).cast("int"))["v"]
-
-    med = F.when(m > 0, nth(F.floor((m - 1) / 2)) * 0.5 + nth(F.floor(m / 2)) * 0.5)
-    return joined.withColumn("others_med", med).drop("_r")
-
-
-def holdout_validation(panel: DataFrame, folds: int | None = None, rounds: int = 10, depth: int = 4) -> DataFrame:
-    """Hold out station cells and score the field on them: (city, cell, n, rmse, r2).
-
-    ``folds=None`` leaves out one station cell at a time; a number groups the cells of all
-    cities into that many folds, which bounds the number of fits on large networks. The
-    baseline of a fold never sees its held-out cells.
+    hour = Window.partitionBy("city", "ts")
+    ranked = lab.withColumn("_p", F.row_number().over(hour.orderBy(LABEL, "cell")) - 1).withColumn("_m", F.count("*").over(hour) - 1)
+    lo, hi = F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2)
+    at = {f"_{n}": F.max(F.when(F.col("_p") == k, F.col(LABEL))).over(hour) for n, k in (("lo", lo), ("lo1", lo + 1), ("hi", hi), ("hi1", hi + 1))}
+    near = ranked.withColumns(at)
+    one = F.when(F.col("_p") <= lo, F.col("_lo1")).otherwise(F.col("_lo"))
+    two = F.when(F.col("_p") <= hi, F.col("_hi1")).otherwise(F.col("_hi"))
+    return near.withColumn("others_med", F.when(F.col("_m") > 0, one * 0.5 + two * 0.5)).drop("_p", "_m", *at)
+
+
+def holdout_validation(panel: DataFrame, **settings) -> DataFrame:
+    """Leave one station cell out at a time: (city, cell, n, rmse, r2, n_stations, mean_pm25, naive_citymean_rmse).
+
+    A row for each station cell and one with a null cell for the whole city; the last three columns
+    are the city's. Each (city, held-out cell) is a group with a fit of its own, dealt out by Spark;
+    the baseline of a fit never sees its held-out cell.
     """
-    from hazegrid.session import materialise
-
-    lab = materialise(labelled(panel).select("city", "cell", "ts", LABEL, *FEATURES))
-    cells = lab.select("city", "cell").distinct()
-    if folds is None:
-        # One fit per station is what the caller asked for; the list is the station registry.
-        keys = [(r["city"], r["cell"]) for r in cells.orderBy("city", "cell").toLocalIterator()]
-        tests = [(F.col("city") == c) & (F.col("cell") == k) for c, k in keys]
-    else:
-        tests = [F.pmod(F.xxhash64("city", "cell"), F.lit(folds)) == i for i in range(folds)]
-    scored = None
-    for test in tests:
-        held = lab.where(test)
-        if held.isEmpty():
-            continue
-        model, baseline = fit_field(lab.where(~test), rounds, depth)
-        part = predict_field(model, held, baseline).join(held.select("city", "cell", "ts", LABEL), ["city", "cell", "ts"])
-        scored = part if scored is None else scored.unionByName(part)
-    return scored.groupBy("city", "cell").agg(
+    lab = labelled(panel).select("city", "cell", "ts", LABEL, *FEATURES)
+    held = lab.select("city", F.col("cell").alias("held")).distinct()
+    options = HOLDOUT_SETTINGS | settings
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        test = group["cell"] == group["held"]
+        train, test = group[~test], group[test]
+        if not len(train):
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in ("city", "cell", "y", "hat")})
+        baseline = train.groupby("ts")[LABEL].median()
+        model = Boosted(**options).fit(as_numbers(train, FEATURES), (train[LABEL] - train["ts"].map(baseline)).to_numpy())
+        base = test["ts"].map(baseline).fillna(baseline.median())
+        hat = base.to_numpy() + model.predict(as_numbers(test, FEATURES))
+        return pd.DataFrame({"city": test["city"], "cell": test["cell"], "y": test[LABEL], "hat": hat})
+
+    folds = lab.join(held, "city").groupBy("city", "held").applyInPandas(fold, "city string, cell long, y double, hat double")
+    scores = materialise(folds).groupingSets([("city", "cell"), ("city",)], "city", "cell").agg(
         F.count("*").alias("n"),
-        round_to(rmse(F.col(LABEL), F.col("pm25_hat")), 2).alias("rmse"),
-        round_to(r_squared(F.col(LABEL), F.col("pm25_hat")), 3).alias("r2"),
+        round_to(rmse(F.col("y"), F.col("hat")), 2).alias("rmse"),
+        round_to(r_squared(F.col("y"), F.col("hat")), 3).alias("r2"),
+        F.countDistinct("cell").alias("_k"),
+        F.avg("y").alias("_mean"),
     )
+    whole = scores.where("cell IS NULL").select("city", F.col("_k").alias("n_stations"), round_to(F.col("_mean"), 1).alias("mean_pm25"))
+    naive = naive_citymean_loso(lab).select("city", round_to(F.col("naive_citymean_rmse"), 2).alias("naive_citymean_rmse"))
+    return scores.drop("_k", "_mean").join(whole, "city").join(naive, "city", "left")
 
 
 def field_snapshot(field: DataFrame, wards: DataFrame, hour_offset: int = 0) -> DataFrame:
-    """The field at the N-th latest hour of each city with wards, nulls dropped, 1 dp."""
+    """The field at the N-th latest hour of each city with wards, nulls dropped, 1 dp; an offset some city lacks is an error."""
+    require_hour(field, hour_offset)
     hours = field.select("city", "ts").distinct()
     rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("ts")))
     chosen = hours.withColumn("_n", rank).where(F.col("_n") == hour_offset + 1).drop("_n")
@@ -156,7 +182,8 @@ def field_snapshot(field: DataFrame, wards: DataFrame, hour_offset: int = 0) ->
 
 
 def require_hour(field: DataFrame, hour_offset: int) -> None:
-    """Reject an offset outside the stored hours."""
-    n = field.select("ts").distinct().count()
-    if not 0 <= hour_offset < n:
-        raise ValueError(f"hour_offset must be in [0, {n - 1}]; got {hour_offset}")
+    """Reject an offset outside the stored hours of any city; the message names it."""
+    few = field.groupBy("city").agg(F.countDistinct("ts").alias("n")).orderBy("n", "city").first()
+    most = few.n - 1 if few else -1
+    if not 0 <= hour_offset <= most:
+        raise ValueError(f"hour_offset must be in [0, {most}] ({few.city if few else 'no field'}); got {hour_offset}")

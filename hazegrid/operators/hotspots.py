@@ -96,7 +96,7 @@ def mark_attributable(hot: DataFrame, osm: DataFrame, grid: Grid = Grid(), km: f
     cand = osm.where(F.col("kind").isin(ENFORCEABLE_KINDS)).select(
         "city", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")
     )
-    near = nearest(add_centre(hot, grid), cand, ["cell"], ref_lat=grid.ref_lat)
+    near = nearest(add_centre(hot, grid), cand, ["cell"])
     dist = F.coalesce(round_to(F.col("nearest_km"), 2), F.lit(NO_CANDIDATE_KM))
     return near.select(
         *hot.columns,
@@ -109,7 +109,7 @@ def zone_edges(hot: DataFrame, link_km: float = ZONE_LINK_KM, grid: Grid = Grid(
     """(city, a, b, dist_km, coordinates) for every pair of hot cells within ``link_km``, a < b."""
     pts = add_centre(hot.select("city", "cell"), grid)
     other = pts.select("city", F.col("cell").alias("b"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    pairs = within_km(pts, other, link_km, grid).where("cell < b")
+    pairs = within_km(pts, other, link_km).where("cell < b")
     return pairs.select("city", F.col("cell").alias("a"), "b", "dist_km", "lat", "lon", "t_lat", "t_lon")
 
 

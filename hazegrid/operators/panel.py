@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazegrid.functions.geo import Grid
 from hazegrid.functions.stats import clean
+from hazegrid.operators.clean import require_hours
 from hazegrid.operators.spatial import within_km
 from hazegrid.session import cut_lineage
 
@@ -74,14 +74,15 @@ def fill_satellite(cell_days: DataFrame, satellite: DataFrame) -> DataFrame:
     """Join by (city, cell, date), then carry each cell's own last seen (else next) value."""
     joined = cell_days.join(satellite.select("city", "cell", "date", *SATELLITE), ["city", "cell", "date"], "left")
     back = Window.partitionBy("city", "cell").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("city", "cell").orderBy("date").rowsBetween(0, Window.unboundedFollowing)
+    # The next value is the last one seen when walking backwards: a running frame, not one per row.
+    ahead = Window.partitionBy("city", "cell").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumns(
-        {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in SATELLITE}
+        {c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(ahead)) for c in SATELLITE}
     )
 
 
 def fire_features(
-    cells: DataFrame, fires: DataFrame, hours: DataFrame, radius_km: float = 1.5, hours_back: int = 6, grid: Grid = Grid()
+    cells: DataFrame, fires: DataFrame, hours: DataFrame, radius_km: float = 1.5, hours_back: int = 6
 ) -> DataFrame:
     """Sparse (city, cell, ts, fires_6h, frp_6h): fires near the cell in the trailing rows of the axis.
 
@@ -97,7 +98,7 @@ def fire_features(
     placed = hourly.join(axis, ["city", "ts"]).select("city", "lat", "lon", "idx", "n", "frp")
     positions = placed.select("city", "lat", "lon").distinct()
     near = within_km(
-        positions, cells.select("city", "cell", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), radius_km, grid
+        positions, cells.select("city", "cell", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), radius_km
     ).select("city", "lat", "lon", "cell")
     felt = (
         placed.join(near, ["city", "lat", "lon"])
@@ -110,7 +111,7 @@ def fire_features(
     return felt.join(axis, ["city", "idx"]).select("city", "cell", "ts", "fires_6h", "frp_6h")
 
 
-def landuse_features(cells: DataFrame, osm: DataFrame, radius_km: float = 1.5, grid: Grid = Grid()) -> DataFrame:
+def landuse_features(cells: DataFrame, osm: DataFrame, radius_km: float = 1.5) -> DataFrame:
     """(city, cell, lu_*): counts of each feature kind near the cell, 0 when none.
 
     Features collapse to counts per position first, so stacked copies cost one row.
@@ -119,7 +120,7 @@ def landuse_features(cells: DataFrame, osm: DataFrame, radius_km: float = 1.5, g
     counts["lu_sensitive"] = F.sum(F.col("kind").isin("school", "hospital").cast("int"))
     sites = osm.groupBy("city", "lat", "lon").agg(*[c.alias(n) for n, c in counts.items()])
     targets = cells.select("city", "cell", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    near = within_km(sites, targets, radius_km, grid).groupBy("city", "cell").agg(
+    near = within_km(sites, targets, radius_km).groupBy("city", "cell").agg(
         *[F.sum(n).cast("int").alias(n) for n in LANDUSE]
     )
     return cells.select("city", "cell").join(near, ["city", "cell"], "left").select(
@@ -146,20 +147,20 @@ def build_panel(
     fires: DataFrame,
     osm: DataFrame,
     wards: DataFrame,
-    grid: Grid = Grid(),
     landuse: DataFrame | None = None,
 ) -> DataFrame:
     """All covariates of every (city, cell, hour) on the hours both feeds cover.
 
     ``landuse`` takes a stored ``landuse_features`` table; without it the counts are made here.
     """
-    landuse = landuse_features(cells, osm, grid=grid) if landuse is None else landuse
+    landuse = landuse_features(cells, osm) if landuse is None else landuse
     wx = weather.withColumn("ts", F.date_trunc("hour", "ts"))
     labels = station_cell_hour(stations)
     station_hours = stations.select("city", F.date_trunc("hour", "ts").alias("ts")).distinct()
     # One row per city and hour, read five times below: settle it so the readings are scanned once for it.
     hours = cut_lineage(wx.join(station_hours, ["city", "ts"], "left_semi").select("city", "ts", *WEATHER))
-    burning = fire_features(cells, fires, hours, grid=grid)
+    require_hours(hours, station_hours, wx)
+    burning = fire_features(cells, fires, hours)
     sparse = (
         labels.select("city", "cell", "ts", "pm25_station", F.lit(None).cast("int").alias("fires_6h"), F.lit(None).cast("double").alias("frp_6h"))
         .unionByName(burning.withColumn("pm25_station", F.lit(None).cast("double")))

@@ -124,7 +124,7 @@ def coverage_pairs(queue: DataFrame, hotspots: DataFrame, radius_km: float = COV
         "city", "action_id", "eps", F.col("centroid.lat").alias("t_lat"), F.col("centroid.lon").alias("t_lon")
     )
     cells = add_centre(hotspots.select("city", "cell", "severity"), grid)
-    return within_km(cells, stops, radius_km, grid).select(
+    return within_km(cells, stops, radius_km).select(
         "city", "action_id", "eps", "cell", "severity", (F.col("severity") * (F.col("eps") / 100.0)).alias("burden")
     )
 

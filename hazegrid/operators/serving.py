@@ -18,9 +18,11 @@ def for_city(df: DataFrame, city: str) -> DataFrame:
     return df.where(F.col("city") == city)
 
 
-def require_city(df: DataFrame, city: str, known: list[str]) -> DataFrame:
-    if city not in known:
-        raise ValueError(f"unknown city {city!r}; choose from {known}")
+def require_city(df: DataFrame, city: str, known: DataFrame) -> DataFrame:
+    """Rows of ``city``, which must stand in ``known`` (a table with a city column of any length)."""
+    if known.where(F.col("city") == city).isEmpty():
+        some = [r["city"] for r in known.select("city").distinct().orderBy("city").limit(10).collect()]
+        raise ValueError(f"unknown city {city!r}; known are {some} and perhaps more")
     scoped = for_city(df, city)
     if scoped.isEmpty():
         raise LookupError(f"no data for {city}")
@@ -59,12 +61,13 @@ def memo_by_id(memos: DataFrame, key: str) -> DataFrame:
     return memos.where((F.col("action_id") == key) | (F.col("zone_id") == key) | (F.col("memo_id") == key))
 
 
-def search_wards(wards: DataFrame, text: str, top: int = 8) -> DataFrame:
+def search_wards(wards: DataFrame, text: str, top: int | None = None) -> DataFrame:
     """First real wards whose name or id contains the text, by name, ignoring case."""
     q = text.strip().lower()
     named = wards.where(~F.col("ward_id").isin("", UNASSIGNED)).select("city", "ward_id", "ward_name").distinct()
     hit = F.lower("ward_name").contains(q) | F.lower("ward_id").contains(q)
-    return named.where(hit & F.lit(bool(q))).orderBy("ward_name", "ward_id").limit(top)
+    found = named.where(hit & F.lit(bool(q))).orderBy("ward_name", "ward_id")
+    return found if top is None else found.limit(top)
 
 
 def stations_latest(stations: DataFrame) -> DataFrame:
@@ -137,11 +140,12 @@ def city_snapshot(layer: DataFrame) -> DataFrame:
     return layer.groupBy("city").agg(median_upper("pm25").alias("pm25")).withColumn("aqi", aqi(F.col("pm25")))
 
 
-def worst_wards(layer: DataFrame, top: int = 6) -> DataFrame:
-    """The ``top`` wards of each city by upper-median PM2.5."""
+def worst_wards(layer: DataFrame, top: int | None = None) -> DataFrame:
+    """Wards of each city by upper-median PM2.5 with their rank, all or the ``top``."""
     ward = layer.where(~F.col("ward_id").isin("", UNASSIGNED)).groupBy("city", "ward_id").agg(median_upper("pm25").alias("pm25"))
     rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("pm25"), "ward_id"))
-    return ward.withColumn("rank", rank).where(F.col("rank") <= top)
+    ranked = ward.withColumn("rank", rank)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def ward_now_and_horizons(layer: DataFrame, forecast: DataFrame, horizons: tuple[int, ...] = (24, 48, 72)) -> DataFrame:
@@ -184,7 +188,7 @@ def ward_accountability(
     n_memo = zones.join(memos.select("city", "zone_id"), ["city", "zone_id"]).groupBy("city", "ward_id").agg(F.count("*").alias("n_memos"))
     sites = stations.select("city", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).distinct()
     cells = add_centre(wards.select("city", "cell", "ward_id"), grid)
-    reach = nearest(cells, sites, ["cell"], ref_lat=grid.ref_lat).groupBy("city", "ward_id").agg(F.min("nearest_km").alias("nearest_monitor_km"))
+    reach = nearest(cells, sites, ["cell"]).groupBy("city", "ward_id").agg(F.min("nearest_km").alias("nearest_monitor_km"))
     out = wards.select("city", "ward_id").distinct()
     for part in (hot, dominant, n_act, n_memo, reach):
         out = out.join(part, ["city", "ward_id"], "left")

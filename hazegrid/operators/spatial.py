@@ -8,17 +8,18 @@ planner's own size check.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import (
+    EARTH_RADIUS_KM,
     Grid,
     Offset,
     cell_lat,
     cell_lon,
-    disk,
     haversine_km,
     latlng_to_cell,
     offset_array,
@@ -62,23 +63,42 @@ def city_cells(cities: DataFrame, grid: Grid = Grid()) -> DataFrame:
     return out.where(inside).select("city", "cell", "lat", "lon")
 
 
+def _boxes_round(band: Column, size_deg: float) -> Column:
+    """Boxes of a latitude band: as many of at least the band's height as fit round the globe there."""
+    widest = F.greatest(F.cos(F.radians((band + 0.5) * size_deg)), F.lit(0.0))
+    return F.greatest(F.floor(360.0 / size_deg * widest), F.lit(1)).cast("long")
+
+
 def within_km(
-    points: DataFrame,
-    targets: DataFrame,
-    radius_km: float,
-    grid: Grid = Grid(),
-    by: Sequence[str] = ("city",),
-    out: str = "dist_km",
+    points: DataFrame, targets: DataFrame, radius_km: float, by: Sequence[str] = ("city",), out: str = "dist_km"
 ) -> DataFrame:
-    """Every (point, target) with great-circle distance <= ``radius_km``.
+    """Every (point, target) with great-circle distance <= ``radius_km``, at any latitude.
 
-    ``points`` carries lat/lon, ``targets`` carries t_lat/t_lon. Targets are spread over
-    the hexes within reach; give the side with fewer rows per hex as ``targets``.
+    ``points`` carries lat/lon, ``targets`` carries t_lat/t_lon. Both sides meet on boxes: bands of
+    latitude, each cut into boxes of its own width. A target is spread over the boxes its circle
+    touches, so every row uses the scale of its own place; give the side with fewer rows per box as
+    ``targets``.
     """
-    left = points.withColumn("_hex", latlng_to_cell(F.col("lat"), F.col("lon"), grid))
-    own = latlng_to_cell(F.col("t_lat"), F.col("t_lon"), grid)
-    right = targets.withColumn("_hex", F.explode(disk(own, grid.rings_for(radius_km))))
-    pairs = left.join(right, [*by, "_hex"]).drop("_hex")
+    reach = radius_km / EARTH_RADIUS_KM  # radians
+    size = math.degrees(reach) / 2
+    deg = math.degrees(reach) * (1 + 1e-9) + 1e-9
+
+    def box(lon: Column, band: Column) -> Column:
+        return F.floor((lon + 180.0) / 360.0 * _boxes_round(band, size)).cast("long")
+
+    left = points.withColumn("_band", F.floor(F.col("lat") / size).cast("long"))
+    left = left.withColumn("_box", F.pmod(box(F.col("lon"), F.col("_band")), _boxes_round(F.col("_band"), size)))
+    # The meridians that touch the circle; all of them if it holds a pole.
+    ratio = math.sin(min(reach, math.pi / 2)) / F.cos(F.radians("t_lat"))
+    pole = (F.abs("t_lat") + deg >= 90.0) | (ratio >= 1.0)
+    side = F.when(pole, 180.0).otherwise(F.degrees(F.asin(F.when(ratio < 1.0, ratio).otherwise(1.0))) * (1 + 1e-9) + 1e-9)
+    bands = F.sequence(F.floor((F.col("t_lat") - deg) / size).cast("long"), F.floor((F.col("t_lat") + deg) / size).cast("long"))
+    right = targets.where("t_lat IS NOT NULL AND t_lon IS NOT NULL").withColumn("_band", F.explode(bands)).withColumn("_side", side)
+    n = _boxes_round(F.col("_band"), size)
+    first, last = box(F.col("t_lon") - F.col("_side"), F.col("_band")), box(F.col("t_lon") + F.col("_side"), F.col("_band"))
+    boxes = F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda i: F.pmod(i, n))
+    right = right.withColumn("_box", F.explode(boxes)).drop("_side")
+    pairs = left.join(right, [*by, "_band", "_box"]).drop("_band", "_box")
     dist = haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
     return pairs.withColumn(out, dist).where(F.col(out) <= radius_km)
 
@@ -89,13 +109,12 @@ def nearest(
     key: Sequence[str],
     carry: Sequence[str] = (),
     by: Sequence[str] = ("city",),
-    ref_lat: float = 28.6,
     out: str = "nearest_km",
     radii: Sequence[float] = (2.0, 8.0, 32.0, 128.0),
 ) -> DataFrame:
     """Distance (and ``carry`` columns) of the closest target of every point; null if none.
 
-    Expanding search: each pass looks within one radius on hexes sized to that radius and
+    Expanding search: each pass looks within one radius on boxes sized to that radius and
     only unmatched points go on. Points still alone after the last radius (none, at city
     scale) are compared with all distinct targets of their group, so the answer is exact.
     ``key`` identifies a point; ties go to the smallest carried values.
@@ -108,8 +127,7 @@ def nearest(
     found: list[DataFrame] = []
     rest = pts
     for radius in radii:
-        grid = Grid(edge_km=radius / 2, ref_lat=ref_lat)
-        hits = cut_lineage(within_km(rest, tgt, radius, grid, by, out).groupBy(*ids).agg(best))
+        hits = cut_lineage(within_km(rest, tgt, radius, by, out).groupBy(*ids).agg(best))
         found.append(hits)
         rest = rest.join(hits, ids, "left_anti")
         if rest.isEmpty():

@@ -11,7 +11,6 @@ from hazegrid.operators.spatial import add_centre, first_polygon, stamp_cell
 
 UNASSIGNED = "unassigned"
 OUTSIDE = "Outside city limits"
-N_SEEDS = 60  # fallback wards per city
 
 # Property keys that may hold a ward's name, in order of preference.
 NAME_KEYS = ["KGISWardName", "Ward_Name", "ward_name", "WARD_NAME", "name", "Name", "ward"]
@@ -61,8 +60,10 @@ def wards_from_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     )
 
 
-def pick_seeds(seeds: DataFrame, n: int = N_SEEDS) -> DataFrame:
-    """The first ``n`` seeds of each city: the number of fallback wards is a setting."""
+def pick_seeds(seeds: DataFrame, n: int | None = None) -> DataFrame:
+    """The first ``n`` seeds of each city, all by default: the number of fallback wards is a setting."""
+    if n is None:
+        return seeds
     rank = F.row_number().over(Window.partitionBy("city").orderBy("seed_pos", "seed_lat", "seed_lon"))
     return seeds.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
 
@@ -70,8 +71,8 @@ def pick_seeds(seeds: DataFrame, n: int = N_SEEDS) -> DataFrame:
 def wards_from_seeds(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nearest-seed wards (Voronoi) in squared equirectangular degrees, ties to the first seed.
 
-    ``seeds`` holds city, seed_pos, seed_lat, seed_lon, at most ``N_SEEDS`` per city (see
-    ``pick_seeds``), packed into one row per city: an array minimum on the cell's own row.
+    ``seeds`` holds city, seed_pos, seed_lat, seed_lon: a city's ward seeds, packed into one row per
+    city for an array minimum on the cell's own row (see ``pick_seeds`` for fewer).
     """
     mean_lat = cells.groupBy("city").agg(F.avg("lat").alias("lat0"))
     packed = seeds.groupBy("city").agg(

@@ -18,8 +18,6 @@ def run(
     feeds: dict[str, DataFrame],
     issued_at: str,
     grid: Grid = Grid(),
-    rounds: int = 20,
-    depth: int = 5,
     teams: int = 4,
     budget: int = 10,
     store: Callable[..., DataFrame] = materialise,
@@ -33,24 +31,24 @@ def run(
     cells = store(city_cells(feeds["cities"], grid))
     ward = store(wards.wards_from_polygons(cells, feeds["polygons"]))
     stations = store(clean.qc_station_readings(stamp_cell(feeds["stations"], grid)))
-    landuse = store(panel.landuse_features(cells, feeds["osm"], grid=grid))
+    landuse = store(panel.landuse_features(cells, feeds["osm"]))
     base = panel.build_panel(
-        cells, stations, feeds["weather"], feeds["satellite"], feeds["fires"], feeds["osm"], ward, grid, landuse
+        cells, stations, feeds["weather"], feeds["satellite"], feeds["fires"], feeds["osm"], ward, landuse
     )
     table = store(base, "city", "date")
 
     lab = store(exposure.labelled(table))
-    field_model, baseline = exposure.fit_field(lab, rounds, depth)
-    field = store(exposure.predict_field(field_model, table, baseline), "city")
+    field_model, baseline = exposure.fit_field(lab)
+    field = store(exposure.predict_field(store(field_model), table, baseline), "city")
 
     hot = store(hotspots.detect(table, field, feeds["osm"], ward, grid=grid))
     named_wards = clean.canonicalise_ward(feeds["reports"], ward).drop("ward_fixed")
     reports = clean.resolve_ward_from_location(named_wards, ward, grid).drop("located")
-    named = store(attribution.attribute(hot, table, field, feeds["osm"], reports, grid=grid))
+    named = store(attribution.attribute(hot, table, field, feeds["osm"], reports, 100, grid, 8))
 
     train = store(forecast.pooled(lab))
-    model, cols = forecast.fit_forecast(train, rounds, depth)
-    ahead = store(forecast.forecast_field(table, field, model, cols))
+    model, cols = forecast.fit_forecast(train)
+    ahead = store(forecast.forecast_field(table, field, store(model), cols))
 
     queue = store(priority.actions(hot, named, landuse, grid))
     memos = store(memo.memos(queue, named, memo.rules_table(queue.sparkSession), issued_at))
@@ -70,6 +68,6 @@ def run(
         "memos": memos,
         "advisories": texts,
         "ledger": ledger.ledger(queue, hot, memos, status, ahead),
-        "blind_spots": audit.blind_spots(field, stations, ward),
+        "blind_spots": audit.blind_spots(field, stations, ward, 40),
         "sensor_flags": audit.sensor_flags(field, stations, ward),
     }

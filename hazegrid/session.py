@@ -18,8 +18,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Tables already hashed by (city, cell) join on (city, cell, date) without moving again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    # Percentile buffers per cell are small; 128 groups is too early to fall back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 

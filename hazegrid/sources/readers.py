@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,12 +87,26 @@ def weather_hours(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 
 def read_fire_csv(spark: SparkSession, paths: str | list[str], city: str) -> DataFrame:
-    """Fire CSV chunks; a file whose header lacks the expected columns is an error, not data."""
-    raw = spark.read.option("header", True).csv(paths)
-    missing = [c for c in FIRE_COLUMNS if c not in raw.columns]
-    if missing:
-        raise ValueError(f"not a fire detection CSV, missing {missing}")
-    return fire_rows(raw.withColumn("city", F.lit(city)))
+    """Fire CSV chunks; a file whose header lacks the expected columns is an error, not data.
+
+    Every file's first line is looked at, and each set of files with one header is read by that header.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    # A file's header is the first line of its first block: one row for each file.
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    names = F.transform(F.split(F.regexp_replace("head", "^\ufeff", ""), ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    lacks = F.array_except(F.array(*[F.lit(c) for c in FIRE_COLUMNS]), names)
+    wrong = heads.withColumn("lacks", lacks).where(F.size("lacks") > 0).orderBy("file").limit(5).collect()
+    if wrong:
+        told = "; ".join(f"{r.file} lacks {r.lacks}" for r in wrong)
+        raise ValueError(f"not a fire detection CSV, missing columns: {told}")
+    parts = []
+    for head in [r[0] for r in heads.select("head").distinct().orderBy("head").toLocalIterator()]:
+        files = [r[0] for r in heads.where(F.col("head") == head).select("file").orderBy("file").toLocalIterator()]
+        parts.append(fire_rows(spark.read.option("header", True).csv(files).withColumn("city", F.lit(city))))
+    if not parts:
+        raise ValueError(f"not a fire detection CSV, missing {list(FIRE_COLUMNS)}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fire_rows(raw: DataFrame) -> DataFrame:
@@ -166,23 +181,33 @@ def read_channel(spark: SparkSession, name: str, path: str | None = None, jdbc:
     return spark.read.schema(SCHEMAS[name]).json(path)
 
 
-def require_nonempty(df: DataFrame, name: str) -> DataFrame:
+def require_nonempty(df: DataFrame, name: str, cities: DataFrame | None = None) -> DataFrame:
+    """``df``, if it has rows, for each of ``cities`` where they are given; the message names those without."""
     if df.isEmpty():
         raise RuntimeError(f"critical feed {name!r} is empty")
+    if cities is not None:
+        lost = cities.select("city").distinct().join(df.select("city").distinct(), "city", "left_anti").orderBy("city").limit(20).collect()
+        if lost:
+            raise RuntimeError(f"critical feed {name!r} is empty for {[r.city for r in lost]}")
     return df
 
 
 def load_feeds(
-    loaders: dict[str, Callable[[], DataFrame]], critical: set[str], fallback: dict[str, DataFrame] | None = None
+    loaders: dict[str, Callable[[], DataFrame]],
+    critical: set[str],
+    fallback: dict[str, DataFrame] | None = None,
+    cities: DataFrame | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Run the loaders; an empty or failed critical feed stops the run, others degrade.
 
+    With ``cities``, a critical feed must have rows for every one of them.
+
     Returns the feeds and a note per degraded feed.
     """
     feeds, notes = {}, {}
     for name, load in loaders.items():
         try:
-            feeds[name] = require_nonempty(load(), name)
+            feeds[name] = require_nonempty(load(), name, cities if name in critical else None)
         except Exception as error:
             if name in critical:
                 raise RuntimeError(f"critical feed {name!r} failed: {error}") from error

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazegrid.operators.ledger import latest_status
-from hazegrid.session import shared_dir
 
 
 def station_hours_stream(readings: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -19,25 +19,46 @@ def station_hours_stream(readings: DataFrame, delay: str = "2 hours") -> DataFra
     )
 
 
+def fire_fraction_stream(detections: DataFrame, delay: str = "6 hours", hours: int = 24) -> DataFrame:
+    """(city, cell, at, fire_hours, fire_fraction): share of the ``hours`` up to ``at`` in which a cell burned.
+
+    Detections become one row per cell and hour, and each sliding window counts its hours; windows
+    close when the watermark passes them. The batch form is ``signals.fire_persistence``.
+    """
+    hourly = (
+        detections.withWatermark("ts", delay)
+        .groupBy("city", "cell", F.window("ts", "1 hour").alias("w"))
+        .agg(F.count("*").alias("n"))
+        .select("city", "cell", F.window_time("w").alias("hour"))
+    )
+    spans = hourly.groupBy("city", "cell", F.window("hour", f"{hours} hours", "1 hour").alias("w")).agg(F.count("*").cast("int").alias("fire_hours"))
+    return spans.select("city", "cell", F.col("w.end").alias("at"), "fire_hours", (F.col("fire_hours") / float(hours)).alias("fire_fraction"))
+
+
 def keep_latest_status(updates: DataFrame, table: str, checkpoint: str):
-    """Start a query that keeps ``table`` at the newest status per action.
+    """Start a query that keeps the newest status of each action in the changes under ``table``.
 
-    Batch n is merged with version n-1 into the folder ``v=n``, so a replayed batch writes the
-    same version again and never touches the one it reads.
+    A batch writes the newest status of the actions it touches, and nothing else, into ``batch=n``; a
+    replayed batch writes the same folder again. ``current_status`` reads the table, ``compact_status``
+    folds it into one folder, so storage follows the actions and not the batches.
     """
-    spark = updates.sparkSession
-    shared_dir(spark)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        current = f"{table}/v={batch_id - 1}"
-        merged = batch
-        if batch_id > 0:
-            merged = batch.unionByName(spark.read.schema(batch.schema).parquet(current))
-        latest_status(merged).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        latest_status(batch).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return (
-        updates.writeStream.foreachBatch(merge)
+        updates.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def current_status(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The newest status of each action in a table that ``keep_latest_status`` writes."""
+    return latest_status(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(table)).select(*schema.names)
+
+
+def compact_status(spark: SparkSession, table: str, schema: T.StructType, to: str) -> None:
+    """Write the newest statuses of ``table`` to a new folder, where a new query may go on."""
+    current_status(spark, table, schema).write.mode("error").parquet(f"{to}/batch=compacted")

@@ -57,7 +57,7 @@ def test_latest_features_equal_the_window_form(spark, series):
 
 def test_eval_reports_every_horizon_and_beats_nothing_by_magic(spark, series):
     df = series.withColumns({c: F.lit(1.0) for c in forecast.MET}).withColumns({c: F.lit(1) for c in forecast.STATIC})
-    scores = forecast.forecast_eval(df, rounds=3, depth=3).collect()
+    scores = forecast.forecast_eval(df, settings={"rounds": 30}).collect()
     assert sorted(r.horizon for r in scores) == forecast.HORIZONS
     assert all(np.isfinite(r.rmse_model) and r.rmse_persistence > 0 for r in scores if r.n_test)
     few = df.where("ts < timestamp'2024-01-02'")
@@ -177,8 +177,32 @@ def test_min_max_of_a_flat_layer_and_search(spark):
     assert [r.ward_id for r in serving.search_wards(w, " ALP").collect()] == ["W001"] and serving.search_wards(w, " ").isEmpty()
 
 
-def test_random_networks_are_reproducible(spark, field_of_cells):
-    src = spark.createDataFrame([("c", f"s{i}", 28.5 + 0.01 * i, 77.02) for i in range(6)], "city string, name string, lat double, lon double")
-    a = evaluate.random_network_coverage(field_of_cells, src, 4, 50).first()
-    b = evaluate.random_network_coverage(field_of_cells.repartition(3), src, 4, 50).first()
-    assert a == b and 0 <= a.p_zero <= 1 and a.trials == 50
+def test_boosted_trees_learn_steps_and_missing_values():
+    import numpy as np
+
+    from hazegrid.functions.boosting import Boosted
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 4))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    y = np.where(np.isnan(x[:, 0]), 5.0, np.sign(x[:, 0])) + 0.1 * rng.normal(size=1500)
+    model = Boosted(rounds=60, rate=0.2, min_leaf=20).fit(x[:1200], y[:1200])
+    assert np.sqrt(np.mean((model.predict(x[1200:]) - y[1200:]) ** 2)) < 0.2
+    assert model.gain.argmax() == 0
+    flat = Boosted(rounds=5).fit(x[:10], y[:10])  # too few rows for a split
+    assert len(set(flat.predict(x[:50]))) == 1
+
+
+def test_leave_one_station_out_has_a_row_for_each_station_and_city(spark):
+    from hazegrid.operators.exposure import FEATURES
+
+    rows = []
+    for city, level in (("a", 50.0), ("b", 90.0)):
+        for cell in range(4):
+            for h in range(60):
+                rows.append((city, cell, datetime(2024, 1, 1 + h // 24, h % 24), level + 10 * cell + h % 5, *[float(cell + i) for i in range(len(FEATURES))]))
+    schema = "city string, cell long, ts timestamp, pm25_station double, " + ", ".join(f"{f} double" for f in FEATURES)
+    got = exposure.holdout_validation(spark.createDataFrame(rows, schema), rounds=5, min_leaf=20).collect()
+    assert len(got) == 2 * 5 and {(r.city, r.cell) for r in got} >= {("a", None), ("b", 3)}
+    city = next(r for r in got if r.city == "a" and r.cell is None)
+    assert city.n == 240 and city.n_stations == 4 and city.mean_pm25 == 67.0

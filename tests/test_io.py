@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ def test_write_replaces_only_the_given_cities(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "j" / "city=b").glob("*.json"))
     assert json.loads(text)["pm25_hat"] is None
     with pytest.raises(ValueError, match="unknown city"):
-        serving.require_city(both, "zz", ["a", "b"])
+        serving.require_city(both, "zz", both.select("city"))
 
 
 def test_upsert_replaces_the_row_of_a_city(spark):
@@ -85,5 +85,40 @@ def test_status_stream_keeps_the_newest(spark, tmp_path):
         t = datetime(2024, 1, day)
         spark.createDataFrame([("c", "A01", t, None, status, "x", t)], schema).write.mode("append").parquet(src)
         live.keep_latest_status(spark.readStream.schema(schema).parquet(src), table, ck).awaitTermination(120)
-    rows = spark.read.parquet(f"{table}/v=1").collect()
-    assert [(r.action_id, r.status) for r in rows] == [("A01", "actioned")]
+    fields = spark.createDataFrame([], schema).schema
+    assert [(r.action_id, r.status) for r in live.current_status(spark, table, fields).collect()] == [("A01", "actioned")]
+    live.compact_status(spark, table, fields, f"{table}-2")
+    assert [(r.action_id, r.status) for r in live.current_status(spark, f"{table}-2", fields).collect()] == [("A01", "actioned")]
+
+
+def test_sliding_fire_fraction(spark, tmp_path):
+    rows = [("c", 5, datetime(2024, 1, 1, h, m)) for h in (0, 1, 5) for m in (0, 30)] + [("c", 6, datetime(2024, 1, 5))]
+    src = str(tmp_path / "fires")
+    df = spark.createDataFrame(rows, "city string, cell long, ts timestamp")
+    df.coalesce(1).write.parquet(src)
+    stream = live.fire_fraction_stream(spark.readStream.schema(df.schema).parquet(src))
+    q = stream.writeStream.format("memory").queryName("fractions").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = {r["at"]: (r.fire_hours, r.fire_fraction) for r in spark.table("fractions").where("cell = 5").collect()}
+    for at, (n, share) in got.items():
+        burning = [h for h in (0, 1, 5) if at - timedelta(hours=24) <= datetime(2024, 1, 1, h) < at]
+        assert n == len(burning) and share == n / 24
+    assert got[datetime(2024, 1, 1, 6)] == (3, 3 / 24) and len(got) >= 29
+
+
+def test_every_fire_chunk_is_checked(spark, tmp_path):
+    head = "latitude,longitude,acq_date,acq_time,frp,confidence"
+    (tmp_path / "a.csv").write_text(f"{head}\n28.6,77.2,2024-01-01,130,5.0,h\n")
+    (tmp_path / "b.csv").write_text("confidence,frp,acq_time,acq_date,longitude,latitude,more\nn,6.0,1200,2024-01-02,77.3,28.7,x\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    assert sorted((r.lat, r.frp) for r in readers.read_fire_csv(spark, paths, "c").collect()) == [(28.6, 5.0), (28.7, 6.0)]
+    (tmp_path / "c.csv").write_text("<html>busy</html>\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        readers.read_fire_csv(spark, [*paths, str(tmp_path / "c.csv")], "c")
+
+
+def test_a_critical_feed_must_cover_every_city(spark):
+    cities = spark.createDataFrame([("a",), ("b",)], "city string")
+    one = spark.createDataFrame([("a", 1)], "city string, v int")
+    with pytest.raises(RuntimeError, match="b"):
+        readers.load_feeds({"stations": lambda: one}, {"stations"}, cities=cities)

@@ -57,7 +57,7 @@ def test_panel_is_dense_and_means_stations_of_a_cell(spark, cells):
     w = cells.select("city", "cell", F.lit("W001").alias("ward_id"), F.lit("x").alias("ward_name"))
     p = panel.build_panel(
         cells, st, wx, none("city string, cell long, date date, no2_col double, so2_col double, aai double"),
-        none("city string, ts timestamp, lat double, lon double, frp double"), none("city string, kind string, lat double, lon double"), w, Grid(),
+        none("city string, ts timestamp, lat double, lon double, frp double"), none("city string, kind string, lat double, lon double"), w,
     ).cache()
     assert p.count() == cells.count() * 2  # hours 0 and 2 are common to both feeds
     own = {r.ts.hour: r.pm25_station for r in p.where(F.col("cell") == c.cell).collect()}
@@ -91,3 +91,14 @@ def test_report_wards_by_name_then_by_place(spark):
     at = spark.createDataFrame([("c", here, "W001", "x")], "city string, cell long, ward_id string, ward_name string")
     found = {x.id: (x.ward_id, x.located) for x in clean.resolve_ward_from_location(lost, at).collect()}
     assert found == {"4": ("W001", True), "5": (None, False), "6": ("W009", False)}
+
+
+def test_a_city_without_a_common_hour_is_named(spark):
+    from datetime import datetime
+
+    def rows(*r):
+        return spark.createDataFrame([(c, datetime(2024, 1, 1, h)) for c, h in r], "city string, ts timestamp")
+
+    a, b = rows(("x", 1), ("y", 1), ("y", 2)), rows(("x", 1), ("y", 5))
+    with pytest.raises(ValueError, match="y: stations cover"):
+        clean.require_hours(clean.hour_axis(a, b), a, b)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import Grid
@@ -82,3 +83,26 @@ def test_row_order_does_not_matter(spark):
     a = spatial.within_km(p, t, 2.0).select("id", "tid").orderBy("id", "tid").collect()
     b = spatial.within_km(p.orderBy(F.rand(1)).repartition(3), t.repartition(5), 2.0).select("id", "tid").orderBy("id", "tid").collect()
     assert a == b
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(0.0, 10.0), (13.0, 80.2), (28.6, 77.2), (45.0, -73.5), (60.0, 24.9), (-51.5, 179.99), (89.97, 0.0)])
+def test_within_km_is_complete_at_every_latitude(spark, lat, lon):
+    rng = np.random.default_rng(8)
+    stretch = 1 / max(math.cos(math.radians(lat)), 0.01)
+
+    def cloud(n):
+        where = rng.uniform(-0.12, 0.12, (n, 2)) * [1, stretch] + [lat, lon]
+        return [(i, float(min(90, y)), float((x + 180) % 360 - 180)) for i, (y, x) in enumerate(where)]
+
+    a, b = cloud(150), cloud(150)
+    p = spark.createDataFrame([("c", *r) for r in a], "city string, id int, lat double, lon double")
+    t = spark.createDataFrame([("c", *r) for r in b], "city string, tid int, t_lat double, t_lon double")
+
+    def km(u, v):
+        la, lb = math.radians(u[1]), math.radians(v[1])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(v[2] - u[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    for radius in (1.5, 5.0):
+        got = sorted((r.id, r.tid) for r in spatial.within_km(p, t, radius).collect())
+        assert got == sorted((u[0], v[0]) for u in a for v in b if km(u, v) <= radius)

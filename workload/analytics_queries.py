@@ -209,7 +209,7 @@ _CAT = ["industrial", "construction", "waste_burning", "traffic"]
 _LU = ["lu_industrial", "lu_construction", "lu_waste_burning", "lu_traffic", "lu_road", "lu_sensitive"]
 cte("zones", """SELECT city, zone_id, list(cell ORDER BY severity DESC, cell)[1] AS anchor, list(ward_id ORDER BY severity DESC, cell)[1] AS ward_id, any_value(kind) AS kind, any_value(ts) AS ts,
   CASE any_value(kind) WHEN 'emerging' THEN 168 WHEN 'acute' THEN 24 ELSE 720 END AS hours, list(cell ORDER BY cell) AS cells, count(*)::INTEGER AS n_cells
-  FROM (SELECT * FROM hot WHERE attributable QUALIFY row_number() OVER (PARTITION BY city ORDER BY severity DESC, cell) <= 100) GROUP BY ALL""")
+  FROM (SELECT * FROM hot WHERE attributable AND (city, zone_id) IN (SELECT (city, zone_id) FROM (SELECT city, zone_id FROM hot WHERE attributable QUALIFY row_number() OVER (PARTITION BY city ORDER BY severity DESC, cell) <= 100))) GROUP BY ALL""")
 cte("zpanel", """SELECT z.zone_id, z.kind, z.ts AS zone_ts, p.*, f.pm25_hat FROM (SELECT city, zone_id, kind, ts, hours, unnest(cells) AS cell FROM zones) z JOIN panel p ON p.city = z.city AND p.cell = z.cell
   AND p.ts > z.ts - to_hours(z.hours) AND p.ts <= z.ts LEFT JOIN field f ON f.city = p.city AND f.cell = p.cell AND f.ts = p.ts""")
 _num = ["pm25_hat", "no2_col", "so2_col", "aai", "wind_ms", "blh_m", "temp_c", *_LU]
@@ -233,18 +233,18 @@ cte("zcit", f"""SELECT z.city, z.zone_id, count(*)::INTEGER AS n_reports, {', '.
 
 
 def _zp(f: Feeds) -> DataFrame:
-    zp = attribution.zone_panel(attribution.zone_window(f.hot), f.panel)
+    zp = attribution.zone_panel(attribution.zone_window(f.hot, 100), f.panel)
     return zp.join(f.field, ["city", "cell", "ts"], "left")
 
 
 @query("h1_zone_window", f"SELECT city, zone_id, anchor, ward_id, kind, {ts('ts')} AS ts, hours, n_cells FROM zones")
 def _(f: Feeds) -> DataFrame:
-    return attribution.zone_window(f.hot).withColumn("ts", text_ts("ts")).drop("cells")
+    return attribution.zone_window(f.hot, 100).withColumn("ts", text_ts("ts")).drop("cells")
 
 
 @query("h2_zone_row", f"SELECT city, zone_id, hour, {', '.join(f'{sfx(c, 5)} AS {c}' for c in _num)} FROM zrow")
 def _(f: Feeds) -> DataFrame:
-    r = attribution.zone_row(_zp(f), attribution.zone_window(f.hot))
+    r = attribution.zone_row(_zp(f), attribution.zone_window(f.hot, 100))
     return r.select("city", "zone_id", "hour", *[fx(c, 5).alias(c) for c in _num])
 
 
@@ -255,19 +255,19 @@ def _(f: Feeds) -> DataFrame:
 
 @query("h4_candidates", "SELECT * FROM zcand")
 def _(f: Feeds) -> DataFrame:
-    zones = attribution.zone_window(f.hot)
-    return attribution.candidates(zones, attribution.zone_winds(attribution.zone_panel(zones, f.panel)), f.osm, GRID)
+    zones = attribution.zone_window(f.hot, 100)
+    return attribution.candidates(zones, attribution.zone_winds(attribution.zone_panel(zones, f.panel)), f.osm, GRID, 8)
 
 
 @query("h5_pollutant_signature", "SELECT * FROM zsig")
 def _(f: Feeds) -> DataFrame:
-    rows = attribution.zone_row(_zp(f), attribution.zone_window(f.hot))
+    rows = attribution.zone_row(_zp(f), attribution.zone_window(f.hot, 100))
     return attribution.pollutant_signature(rows, f.panel)
 
 
 @query("h6_citizen_corroboration", "SELECT * FROM zcit")
 def _(f: Feeds) -> DataFrame:
-    return attribution.citizen_corroboration(attribution.zone_window(f.hot), f.reports)
+    return attribution.citizen_corroboration(attribution.zone_window(f.hot, 100), f.reports)
 
 
 @query("h7_meteorology", "SELECT * FROM zmet")
@@ -309,7 +309,7 @@ cte("zreason", f"""SELECT *, CASE WHEN len(fs) > 0 THEN fs ELSE ['no corroborati
 
 
 def _judged(f: Feeds) -> DataFrame:
-    ev = attribution.gather_evidence(attribution.zone_window(f.hot), f.panel, f.field, f.osm, f.reports, GRID)
+    ev = attribution.gather_evidence(attribution.zone_window(f.hot, 100), f.panel, f.field, f.osm, f.reports, GRID, 8)
     return attribution.judge(cut_lineage(ev))
 
 
@@ -335,7 +335,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("h12_attribute", f"SELECT city, zone_id, unnest(cells) AS cell, ward_id, {ts('ts')} AS ts, {rnd('pm25_hat', 1)} AS pm25_estimate, primary_source, confidence, reason, 'rules' AS explained_by FROM zreason")
 def _(f: Feeds) -> DataFrame:
-    a = attribution.attribute(f.hot, f.panel, f.field, f.osm, f.reports, grid=GRID)
+    a = attribution.attribute(f.hot, f.panel, f.field, f.osm, f.reports, 100, GRID, 8)
     return a.select("city", "zone_id", "cell", "ward_id", text_ts("ts").alias("ts"), "pm25_estimate", "primary_source", "confidence", "reason", "explained_by")
 
 
@@ -360,7 +360,8 @@ def _(f: Feeds) -> DataFrame:
 
 def _field_model(f: Feeds):
     lab = materialise(exposure.labelled(f.panel))
-    return exposure.fit_field(lab, rounds=10, depth=4)
+    models, baseline = exposure.fit_field(lab)
+    return materialise(models), baseline
 
 
 @query("m3_fit_predict_field")
@@ -372,7 +373,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("m4_station_holdout")
 def _(f: Feeds) -> DataFrame:
-    return exposure.holdout_validation(f.panel, folds=3, rounds=5, depth=3)
+    return exposure.holdout_validation(f.panel)
 
 
 @query("m5_naive_citymean_loso", f"""SELECT city, count(*) AS n, {sfx('sqrt(avg(power(pm25_station - (s - pm25_station) / (k - 1), 2)))')} AS naive_citymean_rmse FROM lab JOIN (SELECT city, ts, sum(pm25_station) AS s, count(*) AS k FROM lab GROUP BY ALL) USING (city, ts) WHERE k > 1 GROUP BY ALL""")
@@ -383,7 +384,7 @@ def _(f: Feeds) -> DataFrame:
 @query("m6_feature_importance")
 def _(f: Feeds) -> DataFrame:
     model, _ = _field_model(f)
-    return f.spark.createDataFrame(exposure.feature_importance(model), "feature string, weight double")
+    return exposure.feature_importance(model, top=5)
 
 
 @query("m7_field_snapshot", f"SELECT city, {ts('ts')} AS ts, cell, coalesce(ward_id, 'unassigned') AS ward_id, {rnd('pm25_hat', 1)} AS pm25 FROM field_now LEFT JOIN wards USING (city, cell)")
@@ -459,19 +460,19 @@ def _(f: Feeds) -> DataFrame:
 
 @query("n6_forecast_eval")
 def _(f: Feeds) -> DataFrame:
-    return forecast.forecast_eval(f.labelled, rounds=5, depth=4)
+    return forecast.forecast_eval(f.labelled)
 
 
 @query("n7_oracle_met")
 def _(f: Feeds) -> DataFrame:
-    return forecast.forecast_eval(f.labelled, oracle_met=True, rounds=5, depth=4)
+    return forecast.forecast_eval(f.labelled, oracle_met=True)
 
 
 @query("n8_forecast_field")
 def _(f: Feeds) -> DataFrame:
     train = materialise(forecast.pooled(f.labelled))
-    model, cols = forecast.fit_forecast(train, rounds=5, depth=4)
-    return forecast.forecast_field(f.panel, f.field, model, cols)
+    model, cols = forecast.fit_forecast(train)
+    return forecast.forecast_field(f.panel, f.field, materialise(model), cols)
 
 
 cte("series", "SELECT f.city, f.cell, f.ts, coalesce(l.pm25_station, f.pm25_hat) AS v, row_number() OVER (PARTITION BY f.city, f.cell ORDER BY f.ts DESC) AS n FROM field f LEFT JOIN lab l USING (city, cell, ts)")
@@ -517,7 +518,7 @@ def _(f: Feeds) -> DataFrame:
         "cities": f.cities, "polygons": f.polygons, "stations": f.stations.drop("cell"), "weather": f.weather, "satellite": f.satellite,
         "fires": f.fires, "osm": f.osm, "reports": f.reports, "status": f.status_updates,
     }
-    tables = run(raw, "2024-02-01 06:00:00", GRID, rounds=2, depth=2)
+    tables = run(raw, "2024-02-01 06:00:00", GRID)
     out = None
     for name, df in tables.items():
         part = df.groupBy("city").agg(F.count("*").alias("n")).select("city", F.lit(name).alias("table"), "n")

@@ -225,7 +225,7 @@ class Feeds:
 
     @cached_property
     def landuse(self) -> DataFrame:
-        return materialise(panel.landuse_features(self.cells, self.osm, grid=GRID))
+        return materialise(panel.landuse_features(self.cells, self.osm))
 
     @property
     def hours(self) -> DataFrame:
@@ -234,7 +234,7 @@ class Feeds:
     @cached_property
     def panel(self) -> DataFrame:
         built = panel.build_panel(
-            self.cells, self.stations, self.weather, self.satellite, self.fires, self.osm, self.wards, GRID, self.landuse
+            self.cells, self.stations, self.weather, self.satellite, self.fires, self.osm, self.wards, self.landuse
         )
         return materialise(built)
 
@@ -275,7 +275,7 @@ class Feeds:
         scored = med.select("city", "cell", "w30d", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in z])
         newest = signals.with_latest(self.stations.select("city", F.date_trunc("hour", "ts").alias("ts")).distinct())
         at = newest.groupBy("city").agg(F.max("at").alias("ts"))
-        burned = panel.fire_features(self.cells, self.fires, self.hours, grid=GRID)
+        burned = panel.fire_features(self.cells, self.fires, self.hours)
         hot = (
             hotspots.hot_cells(scored, HOT_THRESH)
             .join(self.cells.select("city", "cell"), ["city", "cell"], "left_semi")

@@ -165,7 +165,7 @@ def _(f: Feeds) -> DataFrame:
 # ------------------------------------------------------------------ V advisory
 
 cte("ward_in", """SELECT w.city, w.cell, w.ward_id, w.ward_name, coalesce(f.pm25_hat, n.pm25_hat) AS pm25, u.lu_sensitive AS vuln, coalesce(f.urgency, FALSE) AS worsening FROM wards w
-  LEFT JOIN (SELECT * FROM forecast WHERE horizon_h = 24 AND cell % 5 <> 0) f USING (city, cell) LEFT JOIN field_now n USING (city, cell) JOIN landuse u USING (city, cell) WHERE coalesce(f.pm25_hat, n.pm25_hat) IS NOT NULL""")
+  LEFT JOIN (SELECT * FROM forecast WHERE horizon_h = 24) f USING (city, cell) LEFT JOIN field_now n USING (city, cell) JOIN landuse u USING (city, cell) WHERE coalesce(f.pm25_hat, n.pm25_hat) IS NOT NULL""")
 _bands = "['Good', 'Satisfactory', 'Moderate', 'Poor', 'Very Poor', 'Severe']"
 cte("adv0", f"""SELECT city, ward_id, min(ward_name) AS ward_name, {med('pm25')} AS pm, max(vuln) AS sites, bool_or(worsening) AS worsening, count(*)::INTEGER AS n_cells FROM ward_in GROUP BY ALL""")
 cte("adv1", f"""SELECT *, {rnd('pm', 1)} AS pm25, {aqi('pm')} AS aqi, {band('pm')} AS aqi_category, least((list_position({_bands}, {band('pm')}) - 1) / 5e0 * 0.70e0 + least(sites / 10e0, 1e0) * 0.15e0 + CASE WHEN worsening THEN 0.15e0 ELSE 0e0 END, 1e0) AS raw FROM adv0""")
@@ -175,7 +175,7 @@ cte("adv", f"""SELECT city, ward_id, ward_name, pm25, aqi, aqi_category, {_impac
 
 
 def _inputs(f: Feeds) -> DataFrame:
-    return advisory.ward_inputs(f.wards, f.forecast.where(F.col("cell") % 5 != 0), f.field, f.landuse)
+    return advisory.ward_inputs(f.wards, f.forecast, f.field, f.landuse)
 
 
 @query("v1_ward_inputs", "SELECT * FROM ward_in")
@@ -214,7 +214,7 @@ def _(f: Feeds) -> DataFrame:
     ).withColumns({"verification": F.element_at("verification", F.col("lang")), "reviewed": F.element_at("reviewed", F.col("lang"))})
 
 
-cte("top_adv", "SELECT city, ward_id FROM adv QUALIFY row_number() OVER (PARTITION BY city ORDER BY risk_score DESC, ward_id) <= 3")
+cte("top_adv", "SELECT city, ward_id FROM adv QUALIFY row_number() OVER (PARTITION BY city ORDER BY risk_score DESC, ward_id) <= 25")
 
 
 @query("v4_audio_worklist", "SELECT t.city, t.ward_id, t.lang, t.text, sha256(t.text) AS text_hash FROM adv_text t JOIN top_adv USING (city, ward_id) WHERE NOT (lang = 'hi' OR (lang = 'en' AND ward_id < 'W010'))")
@@ -222,12 +222,12 @@ def _(f: Feeds) -> DataFrame:
     t = cut_lineage(_texts(f))
     spoken = t.select("city", "ward_id", F.explode("texts").alias("lang", "text")).where("lang = 'hi' or (lang = 'en' and ward_id < 'W010')")
     manifest = spoken.select("city", "ward_id", "lang", F.sha2("text", 256).alias("text_hash"))
-    return advisory.audio_worklist(t, manifest, 3)
+    return advisory.audio_worklist(t, manifest, 25)
 
 
 @query("t5_top_risk_wards", "SELECT a.* FROM adv a JOIN top_adv USING (city, ward_id)")
 def _(f: Feeds) -> DataFrame:
-    a = advisory.top_risk_wards(advisory.ward_advisory(_inputs(f)), 3)
+    a = advisory.top_risk_wards(advisory.ward_advisory(_inputs(f)), 25)
     return a.withColumn("schools_hospitals_nearby", F.col("vulnerability.schools_hospitals_nearby")).drop("vulnerability")
 
 
@@ -290,7 +290,7 @@ cte("lmad", f"SELECT city, any_value(m) AS m, {med('abs(level - m)')} * 1.4826e0
 
 
 def _dark_spots(f: Feeds) -> DataFrame:
-    return audit.blind_spots(f.field, f.stations, f.wards)
+    return audit.blind_spots(f.field, f.stations, f.wards, 40)
 
 
 cte("spots_ok", f"""SELECT l.city, l.cell, level FROM level l JOIN edge USING (city) LEFT JOIN (SELECT DISTINCT city, cell, TRUE AS seen FROM stations) s USING (city, cell) WHERE level >= e AND seen IS NULL""")
@@ -314,7 +314,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("b3_placement_recommendations", "SELECT city, rank, 'Add a monitor near ward ' || ward_id || ' (cell ' || substr(cell::VARCHAR, 1, 8) || '…): the fusion field estimates ~' || satellite_signal || ' µg/m³ here with no station within the cell — currently a blind spot.' AS recommendation FROM spot_rank WHERE rank <= 5")
 def _(f: Feeds) -> DataFrame:
-    return audit.placement_recommendations(_dark_spots(f))
+    return audit.placement_recommendations(_dark_spots(f), 5)
 
 
 @query("b3_audit_counts", f"SELECT city, count(*) AS n_cells, any_value(k) AS n_monitored, {rnd('any_value(e)', 1)} AS elevated_threshold_pm25 FROM level JOIN edge USING (city) JOIN (SELECT city, count(DISTINCT cell) AS k FROM stations GROUP BY ALL) USING (city) GROUP BY ALL")
@@ -400,7 +400,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("q6_worst_wards", f"SELECT city, ward_id, pm25, row_number() OVER (PARTITION BY city ORDER BY pm25 DESC, ward_id)::INTEGER AS rank FROM (SELECT city, ward_id, {_upper('pm25')} AS pm25 FROM layer WHERE ward_id <> 'unassigned' GROUP BY ALL) QUALIFY rank <= 6")
 def _(f: Feeds) -> DataFrame:
-    return serving.worst_wards(_layer(f))
+    return serving.worst_wards(_layer(f), 6)
 
 
 @query("q7_ward_now_and_horizons", f"""SELECT n.city, n.ward_id, {aqi('n.v')} AS aqi_now, {', '.join(f'{aqi(f"h.v{h}")} AS aqi_{h}h' for h in (24, 48, 72))} FROM (SELECT city, ward_id, {_upper('pm25')} AS v FROM layer GROUP BY ALL) n
@@ -555,8 +555,3 @@ def _(f: Feeds) -> DataFrame:
         part = evaluate.detection_hits(src, hot, f.named, GRID).withColumn("scenario", F.lit(sc))
         parts = part if parts is None else parts.unionByName(part)
     return evaluate.recall_invariance(parts)
-
-
-@query("x8_random_network_coverage")
-def _(f: Feeds) -> DataFrame:
-    return evaluate.random_network_coverage(f.cells, _sources(f), trials=500, grid=GRID)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,7 +138,7 @@ def _(f: Feeds) -> DataFrame:
 def _(f: Feeds) -> DataFrame:
     from hazegrid.session import shared_dir
 
-    path = f"{shared_dir(f.spark)}/channel/{abs(hash(f.dir))}"
+    path = f"{shared_dir(f.spark)}/channel/{uuid.uuid5(uuid.NAMESPACE_URL, f.dir).hex}"
     f.reports.write.mode("overwrite").json(path)
     rows = readers.read_channel(f.spark, "citizen_reports", path)
     return rows.groupBy("city", "category").agg(F.count("*").alias("n"), F.count("source").alias("with_source"))
@@ -146,7 +148,7 @@ def _(f: Feeds) -> DataFrame:
 def _(f: Feeds) -> DataFrame:
     from hazegrid.session import shared_dir
 
-    path = f"{shared_dir(f.spark)}/sink/{abs(hash(f.dir))}"
+    path = f"{shared_dir(f.spark)}/sink/{uuid.uuid5(uuid.NAMESPACE_URL, f.dir).hex}"
     sinks.write_table(f.stations, path)
     back = readers.read_table(f.spark, path, "stations")
     return back.groupBy("city").agg(F.count("*").alias("n"), F.count_if(F.col("pm25") > 50).alias("high"))
@@ -156,7 +158,7 @@ def _(f: Feeds) -> DataFrame:
 def _(f: Feeds) -> DataFrame:
     from hazegrid.session import shared_dir
 
-    path = f"{shared_dir(f.spark)}/contract/{abs(hash(f.dir))}"
+    path = f"{shared_dir(f.spark)}/contract/{uuid.uuid5(uuid.NAMESPACE_URL, f.dir).hex}"
     sinks.write_contract(f.hot, path)
     back = f.spark.read.schema("cell long, severity double, city string").json(path)
     return back.groupBy("city").agg(F.count("*").alias("n"), F.count("severity").alias("rated"))
@@ -178,8 +180,8 @@ def _(f: Feeds) -> DataFrame:
 
 @query("a13_city_scope", f"SELECT city, station_id, {ts('ts')} AS ts, pm25 FROM stations WHERE city = (SELECT min(r_name) FROM region)")
 def _(f: Feeds) -> DataFrame:
-    known = [r["city"] for r in f.cities.select("city").orderBy("city").limit(1000).collect()]
-    return serving.require_city(f.stations, known[0], known).select("city", "station_id", text_ts("ts").alias("ts"), "pm25")
+    first = f.cities.agg(F.min("city")).first()[0]
+    return serving.require_city(f.stations, first, f.cities).select("city", "station_id", text_ts("ts").alias("ts"), "pm25")
 
 
 @query("a14_cities_available", "SELECT DISTINCT city FROM stations")
@@ -231,7 +233,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("p9_search_wards", "SELECT city, ward_id, ward_name FROM (SELECT DISTINCT city, ward_id, ward_name FROM wards WHERE ward_id <> 'unassigned' AND (lower(ward_name) LIKE '%nation_1%' OR lower(ward_id) LIKE '%nation_1%') ORDER BY ward_name, ward_id LIMIT 8)")
 def _(f: Feeds) -> DataFrame:
-    return serving.search_wards(f.wards, " NATION_1")
+    return serving.search_wards(f.wards, " NATION_1", 8)
 
 
 # ----------------------------------------------------------------- joins
@@ -246,11 +248,11 @@ def _(f: Feeds) -> DataFrame:
 @query("j9_fires_within", f"SELECT city, cell, count(*) AS n, {sfx(med(hav('c.lat', 'c.lon', 'f.lat', 'f.lon')))} AS med_km FROM fires f JOIN cells c USING (city) WHERE {hav('c.lat', 'c.lon', 'f.lat', 'f.lon')} <= 1.5e0 GROUP BY ALL")
 def _(f: Feeds) -> DataFrame:
     cells = f.cells.select("city", "cell", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    pairs = spatial.within_km(f.fires, cells, 1.5, GRID)
+    pairs = spatial.within_km(f.fires, cells, 1.5)
     return pairs.groupBy("city", "cell").agg(F.count("*").alias("n"), fx(F.median("dist_km")).alias("med_km"))
 
 
-@query("j10_nearest_monitor", f"SELECT city, cell, {sfx('min(' + hav('c.lat', 'c.lon', 's.lat', 's.lon') + ')')} AS km FROM cells c JOIN (SELECT DISTINCT city, lat, lon FROM stations) s USING (city) GROUP BY ALL")
+@query("j10_nearest_monitor", f"SELECT city, cell, {sfx('min(' + hav('c.lat', 'c.lon', 's.lat', 's.lon') + ')')} AS km FROM cells c LEFT JOIN (SELECT DISTINCT city, lat, lon FROM stations) s USING (city) GROUP BY ALL")
 def _(f: Feeds) -> DataFrame:
     sites = f.stations.select("city", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     return spatial.nearest(f.cells, sites, ["cell"]).select("city", "cell", fx("nearest_km").alias("km"))
@@ -525,7 +527,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("d0b_wards_voronoi", f"""SELECT c.city, c.cell, 'W' || lpad((pos + 1)::VARCHAR, 3, '0') AS ward_id, 'Ward ' || lpad((pos + 1)::VARCHAR, 3, '0') AS ward_name FROM (
   SELECT c.city, c.cell, min_by(s.pos, (power(c.lat - s.la, 2) + power((c.lon - s.lo) * cos(radians(m.lat0)), 2), s.pos)) AS pos FROM cells c JOIN (SELECT city, avg(lat) AS lat0 FROM cells GROUP BY ALL) m USING (city)
-  JOIN (SELECT r_name AS city, (s_suppkey // 5)::INTEGER AS pos, {lat_of('s_suppkey * 13')} + 0.0037e0 AS la, {lon_of('s_suppkey * 13')} + 0.0021e0 AS lo FROM supplier JOIN region ON r_regionkey = s_suppkey % 5 WHERE s_suppkey // 5 < 60) s USING (city) GROUP BY ALL) c""")
+  JOIN (SELECT r_name AS city, (s_suppkey // 5)::INTEGER AS pos, {lat_of('s_suppkey * 13')} + 0.0037e0 AS la, {lon_of('s_suppkey * 13')} + 0.0021e0 AS lo FROM supplier JOIN region ON r_regionkey = s_suppkey % 5 ) s USING (city) GROUP BY ALL) c""")
 def _(f: Feeds) -> DataFrame:
     from workload.feeds import site_lat, site_lon
 
@@ -560,13 +562,13 @@ def _(f: Feeds) -> DataFrame:
 
 @query("d5_fire_features", f"SELECT city, cell, {ts('ts')} AS ts, fires_6h, {sfx('frp_6h')} AS frp_6h FROM fire_feat")
 def _(f: Feeds) -> DataFrame:
-    feat = panel.fire_features(f.cells, f.fires, f.hours, grid=GRID)
+    feat = panel.fire_features(f.cells, f.fires, f.hours)
     return feat.select("city", "cell", text_ts("ts").alias("ts"), "fires_6h", fx("frp_6h").alias("frp_6h"))
 
 
 @query("d6_landuse_features", "SELECT * FROM landuse")
 def _(f: Feeds) -> DataFrame:
-    return panel.landuse_features(f.cells, f.osm, grid=GRID)
+    return panel.landuse_features(f.cells, f.osm)
 
 
 @query("d7_time_features", f"SELECT city, station_id, {ts('ts')} AS ts, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS dow FROM stations")
