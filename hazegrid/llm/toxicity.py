@@ -212,15 +212,15 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_per_class: int = 4000, min_share: float = 0.004, min_odds: float = 0.97, max_features: int = 20_000,
+    max_per_class: int = 4000, min_share: float = 0.02, min_odds: float = 0.995, max_features: int = 20_000, explanations: int = 3,
 ) -> Model:
     """Model from all texts (characters) and a bounded sample of labelled rows (evidence).
 
     At most ``max_per_class`` rows of each label, by hash, whose id is not held out; equal texts
     count once. A feature is evidence if it stands in ``min_share`` of the toxic sample at least and
     its smoothed share of toxic documents is ``min_odds`` or more. Of those, features are taken that
-    explain most toxic documents not yet explained, so that what copies of one document share by
-    chance adds nothing. Without labels there is no evidence and every score is the prior.
+    explain most toxic documents not yet explained ``explanations`` times by different words, so that
+    what copies of one document share by chance adds little. Without labels there is no evidence and every score is the prior.
     """
     costs = trigram_costs(trigram_counts(docs, text_col))
     blank = Model(costs, {})
@@ -264,16 +264,19 @@ def fit(
 
     left = [set(r.fs) for r in sample.where("y = 1").mapInPandas(explain, "fs array<string>").collect()]
     evidence: dict[str, float] = {}
-    while left:
-        tally = Counter(f for doc in left for f in doc)
-        if not tally:
-            break
+    wanted = [explanations] * len(left)
+    while True:
+        tally = Counter(f for doc, n in zip(left, wanted, strict=True) if n for f in doc)
         # Most documents first; of equals the longer beginning, which says more.
-        f, n = max(tally.items(), key=lambda x: (x[1], not x[0].endswith("$"), len(x[0]), x[0]))
+        f, n = max(tally.items(), key=lambda x: (x[1], not x[0].endswith("$"), len(x[0]), x[0]), default=("", 0))
         if n < floor:
             break
         evidence[f] = weight[f][0]
-        left = [doc for doc in left if f not in doc]
+        stem = f.rstrip("$")
+        # What begins alike is the same word, not another explanation.
+        alike = {g for g in weight if g.rstrip("$").startswith(stem) or stem.startswith(g.rstrip("$"))}
+        wanted = [n - (f in doc) if n else 0 for doc, n in zip(left, wanted, strict=True)]
+        left = [doc - alike for doc in left]
     return Model(costs, evidence)
 
 
