@@ -53,7 +53,35 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_mixing")
+# With a repetition limit the exponent has a closed form, so the twin needs no bisection; documents of the
+# last pass are ordered whole instead of block by block.
+MIXING_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, source, coalesce(source, '') AS s,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS n_tokens FROM documents),
+totals AS (SELECT s, sum(n_tokens) AS n, greatest(1, ceil(sum(n_tokens) / 100000.0))::BIGINT AS blocks FROM docs GROUP BY s),
+ex AS (SELECT greatest(0.0, 1 - ln(2.0) / ln(greatest(max(n) / min(n), 1.0000001))) AS a, sum(n) AS total FROM totals WHERE n > 0),
+raised AS (SELECT s, n, blocks, power(n / total, a) AS r FROM totals, ex WHERE n > 0),
+weighted AS (SELECT s, n, blocks, r / (SELECT sum(r) FROM raised) AS w FROM raised),
+budgets AS (SELECT s, n, blocks, floor((SELECT max(n / w) FROM weighted) * w + 1e-6)::BIGINT AS own FROM weighted),
+plan AS (
+  SELECT s, blocks, own // n AS passes, own % n AS rest FROM budgets
+  UNION ALL SELECT s, blocks, 1, 0 FROM totals WHERE n = 0),
+dealt AS (
+  SELECT d.*, passes, rest, ('0x' || substr(md5('mix/block:' || s || ':' || id), 1, 15))::BIGINT % blocks AS block FROM docs d JOIN plan USING (s)),
+keyed AS (
+  SELECT *, md5('mix/pass:' || s || ':' || passes || ':' || block) AS bk, md5('mix/doc:' || s || ':' || passes || ':' || id) AS dk FROM dealt),
+placed AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY s ORDER BY bk, block, dk, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed),
+copies AS (
+  SELECT *, unnest(range(0, (passes + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT)) AS epoch FROM placed)
+SELECT doc_id, source, n_tokens, epoch, block, md5('mix/pass:' || s || ':' || epoch || ':' || block) AS block_key,
+       md5('mix/doc:' || s || ':' || epoch || ':' || id) AS doc_key
+FROM copies
+"""
+
+
+@query("op9_mixing", MIXING_SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "n_tokens", "epoch", "block", "block_key", "doc_key")
