@@ -102,7 +102,7 @@ class Model:
         # Neighbours that are as good as the same text outweigh those that only share the language.
         weight = near.astype(np.float64) ** 8
         total = weight.sum(axis=1)
-        return np.where(total > 0, (weight @ self.labels) / np.maximum(total, 1e-300), 0.5)
+        return np.where(total > 0, np.clip((weight @ self.labels) / np.maximum(total, 1e-300), 0.0, 1.0), 0.5)
 
 
 def held_out(id_col: str = "doc_id"):
