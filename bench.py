@@ -41,6 +41,11 @@ HEADLINE = [
     "q5_city_comparison",
     "x1_detection_recall",
     "x6_exposure_error",
+    "m3_fit_predict_field",
+    "m6_feature_importance",
+    "n6_forecast_eval",
+    "n7_oracle_met",
+    "n8_forecast_field",
 ]
 
 

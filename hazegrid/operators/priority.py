@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -136,18 +138,18 @@ def stop_gains(pairs: DataFrame, queue: DataFrame) -> DataFrame:
 
 
 def max_coverage(
-    queue: DataFrame, hotspots: DataFrame, budget: int = 10, radius_km: float = COVER_RADIUS_KM, grid: Grid = Grid()
+    queue: DataFrame, hotspots: DataFrame, budget: int | None = None, radius_km: float = COVER_RADIUS_KM, grid: Grid = Grid()
 ) -> DataFrame:
     """Greedy stop selection: (city, pick, action_id, gain, coverage_pct).
 
     Every round adds one stop in every city at once: the largest gain over cells not yet
     covered, the highest EPS (queue order) on a tie, and a city stops when nothing is
-    gained. At most ``budget`` rounds over a table of pairs whose lineage is cut.
+    gained, or after ``budget`` rounds. The table of pairs is stored after every round.
     """
     left = cut_lineage(coverage_pairs(queue, hotspots, radius_km, grid))
     burden = hotspots.groupBy("city").agg(F.sum("severity").alias("_all"))
     picks: DataFrame | None = None
-    for i in range(1, budget + 1):
+    for i in count(1) if budget is None else range(1, budget + 1):
         gains = left.groupBy("city", "action_id", "eps").agg(
             F.sum("burden").alias("gain"), F.sum("severity").alias("covered")
         )
@@ -249,7 +251,7 @@ def route_length(stops: DataFrame) -> DataFrame:
     )
 
 
-def dispatch(queue: DataFrame, hotspots: DataFrame, teams: int = 4, budget: int = 10, grid: Grid = Grid()) -> DataFrame:
+def dispatch(queue: DataFrame, hotspots: DataFrame, teams: int = 4, budget: int | None = None, grid: Grid = Grid()) -> DataFrame:
     """(city, team_id, stops, route_km, route_duration_min, coverage_pct, route_geometry); idle teams kept."""
     picks = max_coverage(queue, hotspots, budget, grid=grid)
     stops = picks.join(
