@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from hazegrid.llm.common import small_batches
 
 #: Pieces and fragments a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 NO_RANK = 1 << 40
 #: Latin texts without exotic digits or spaces: explicit classes say the same and run faster.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"

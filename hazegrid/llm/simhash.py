@@ -23,7 +23,7 @@ from hazegrid.llm.common import components, small_batches, store
 
 FANOUT = 8
 #: Node pairs that are held at once.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
 #: Fingerprints of a masked pattern that one task compares; larger groups are cut into cells.
 CELL = 8192
 
@@ -120,13 +120,14 @@ def link_groups(fps: np.ndarray, groups: np.ndarray, distance: int) -> np.ndarra
     for level in levels[1:]:
         first.append(first[-1][level["lo"]])
     top = np.arange(len(levels[-1]["group"]))
+    # Depth first, a slice at a time: what waits are slices of arrays that exist, not their children.
     stack = [(len(levels) - 1, top, top)]
     while stack:
         depth, a, b = stack.pop()
-        if len(a) > FRONTIER:
-            half = len(a) // 2
-            stack += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
-            continue
+        step = FRONTIER if depth == 0 else max(1, FRONTIER // (FANOUT * FANOUT))
+        if len(a) > step:
+            stack.append((depth, a[step:], b[step:]))
+            a, b = a[:step], b[:step]
         level = levels[depth]
         both = level["common"][a] & level["common"][b]
         apart = np.bitwise_count((level["pattern"][a] ^ level["pattern"][b]) & both).astype(np.int64)
@@ -148,18 +149,16 @@ def link_groups(fps: np.ndarray, groups: np.ndarray, distance: int) -> np.ndarra
                 labels = _roots(labels, first[d - 1][kids], np.repeat(first[d][nodes], size))
                 nodes = kids
             a, b = a[~sure], b[~sure]
+        if not len(a):
+            continue
         lo_a, n_a, lo_b, n_b = level["lo"][a], level["hi"][a] - level["lo"][a], level["lo"][b], level["hi"][b] - level["lo"][b]
         size = n_a * n_b
-        step = max(1, FRONTIER // (FANOUT * FANOUT))
-        for at in range(0, len(a), step):
-            part = slice(at, at + step)
-            s = size[part]
-            k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            wide = np.repeat(n_b[part], s)
-            ka = np.repeat(lo_a[part], s) + k // wide
-            kb = np.repeat(lo_b[part], s) + k % wide
-            keep = ka <= kb if depth > 1 else ka < kb
-            stack.append((depth - 1, ka[keep], kb[keep]))
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.repeat(n_b, size)
+        ka = np.repeat(lo_a, size) + k // wide
+        kb = np.repeat(lo_b, size) + k % wide
+        keep = ka <= kb if depth > 1 else ka < kb
+        stack.append((depth - 1, ka[keep], kb[keep]))
     return labels
 
 

@@ -176,14 +176,14 @@ class Model:
         return text
 
     def _read(self, span: str) -> str:
-        if len(self._spans) > 50_000:
+        if len(self._spans) > 20_000:
             self._spans.clear()
         if span not in self._spans:
             self._spans[span] = decode_span(span, self.costs)
         return self._spans[span]
 
     def _weigh(self, word: str) -> float:
-        if len(self._words) > 300_000:
+        if len(self._words) > 100_000:
             self._words.clear()
         found = max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
         self._words[word] = found
