@@ -5,7 +5,7 @@ Document counts, lengths and document frequencies are global, so scores of all s
 merge of their top k is exact. Within a shard, block-max WAND skips what cannot enter the top k: the
 short lists are added up first, the best of what they name are scored in full for a threshold, and
 another document is looked at only if its score so far and the block maxima of the long lists, at its
-place, can reach that threshold.
+place, can reach that threshold. A part of the shards answers first and hands its thresholds on.
 """
 
 from __future__ import annotations
@@ -112,8 +112,8 @@ class Shard:
         self.block_max = np.maximum.reduceat(self.dense, edges, axis=1) if n and len(long_terms) else np.zeros((len(long_terms), len(edges)))
         self.block = np.arange(n) // BLOCK
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents with a score above 0; of equals the smaller ids."""
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best documents with a score above 0 and not below ``floor``; of equals the smaller ids."""
         row = self.row[terms]
         short, w = terms[row < 0], weights[row < 0]
         size = self.df[short]
@@ -124,15 +124,15 @@ class Shard:
             # A threshold: the full scores of the documents that look best by the short lists.
             k_ = min(k, len(so_far))
             first = np.argpartition(so_far, len(so_far) - k_)[len(so_far) - k_ :]
-            threshold = (so_far[first] + w @ self.dense[np.ix_(row, first)]).min() - 1e-6
+            threshold = max((so_far[first] + w @ self.dense[np.ix_(row, first)]).min(), floor) - 1e-6
             bound = so_far + (w @ self.block_max[row])[self.block]
             left = np.flatnonzero(bound >= threshold)
             full = so_far[left] + w @ self.dense[np.ix_(row, left)]
         else:
-            left = np.flatnonzero(so_far)
+            left = np.flatnonzero(so_far >= max(floor - 1e-6, 1e-300))
             full = so_far[left]
         full = np.round(full, 6)
-        some = full > 0
+        some = (full > 0) & (full >= floor)
         left, full = left[some], full[some]
         if len(full) > k:
             near = full >= np.partition(full, len(full) - k)[len(full) - k]
@@ -173,15 +173,16 @@ def search(
     blocks = max(1, -(-total // block_terms))
     ready = store(listed.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
     mean_len = max(length / n_docs, 1e-9)
-    found = None
-    for b in range(blocks):
-        # A block is bounded: about block_terms words.
-        rows = ready.where(F.col("block") == b).select("q", "e.term", "e.w").collect()
-        vocabulary = {t: i for i, t in enumerate({t for r in rows for t in r.term})}
-        packed = [(r.q, np.array([vocabulary[t] for t in r.term]), np.array(r.w)) for r in rows]
-        sent = spark.sparkContext.broadcast((list(vocabulary), packed))
+    # About the square root of all shards answer first; the k-th score they find for a query is the
+    # threshold that every other shard starts from, so those name few documents more.
+    n_shards = index.count()
+    stride = max(1, round(n_shards**0.5))
+    early = F.pmod(F.xxhash64("shard"), F.lit(stride)) == 0
 
-        def run(batches, sent=sent):
+    def answers(shards: DataFrame, names: list[str], packed: list[tuple]) -> DataFrame:
+        sent = spark.sparkContext.broadcast((names, packed))
+
+        def run(batches):
             names, block = sent.value
             for batch in batches:
                 for r in batch.itertuples(index=False):
@@ -189,18 +190,34 @@ def search(
                     place = dict(zip(r.terms, count()))
                     local = np.array([place.get(t, -1) for t in names])
                     out = []
-                    for q, terms, w in block:
+                    for q, terms, w, floor in block:
                         own = local[terms]
                         here = own >= 0
                         if here.any():
-                            ids, scores = shard.top(own[here], w[here], k)
-                            out.append(pd.DataFrame({id_col: np.full(len(ids), q), "doc_id": ids, "score": scores}))
+                            ids, scores = shard.top(own[here], w[here], k, floor)
+                            if len(ids):
+                                out.append(pd.DataFrame({id_col: np.full(len(ids), q), "doc_id": ids, "score": scores}))
                     if out:
                         yield pd.concat(out, ignore_index=True)
 
-        part = store(index.select("ids", "lens", "terms", "dfs", "docs", "tfs").mapInPandas(run, schema))
-        found = part if found is None else found.unionByName(part)
+        part = store(shards.select("ids", "lens", "terms", "dfs", "docs", "tfs").mapInPandas(run, schema))
         sent.unpersist()
+        return part
+
+    found = None
+    for b in range(blocks):
+        # A block is bounded: about block_terms words, and a threshold for each query.
+        rows = ready.where(F.col("block") == b).select("q", "e.term", "e.w").collect()
+        names = list({t for r in rows for t in r.term})
+        number = {t: i for i, t in enumerate(names)}
+        packed = [(r.q, np.array([number[t] for t in r.term]), np.array(r.w), 0.0) for r in rows]
+        part = answers(index.where(early), names, packed)
+        if stride > 1:
+            best = F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1)
+            floors = {q: f[0] for q, f in part.groupBy(id_col).agg(best).collect() if f}
+            packed = [(q, t, w, floors.get(q, 0.0)) for q, t, w, _ in packed]
+            part = part.unionByName(answers(index.where(~early), names, packed))
+        found = part if found is None else found.unionByName(part)
     # Each shard gives k rows for a query at most.
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "rank", "doc_id", "score")
