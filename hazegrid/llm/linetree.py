@@ -4,7 +4,8 @@ A line's tokens are masked where they vary by nature (anything with a digit). Th
 depth: its branches are the number of tokens and the leading tokens, its leaves hold templates. In a
 leaf, a line joins the most similar template if enough of its tokens agree, and where they differ the
 template becomes general. A template that recurs across documents is boilerplate: its first document
-keeps it, every other document loses those lines.
+keeps it, every other document loses those lines. Short lines have too few tokens for a similarity:
+equal masked ones are one template, which recurs if more documents hold it than chance explains.
 """
 
 from __future__ import annotations
@@ -110,18 +111,44 @@ def templates(lines: DataFrame, similarity: float = 0.8, part: int = PART) -> Da
     return whole.unionByName(parts.join(names, ["leaf", "salt", "t"]).select("leaf", "h", "template"))
 
 
+def recurring_short(rows: DataFrame, least: int) -> DataFrame:
+    """(h, first) of the masked lines (id, h, k, m) that ``least`` documents or more hold and chance does not explain.
+
+    By chance, a line of k tokens is in as many documents as there are document-line pairs of k tokens
+    times the product of its tokens' shares. A share counts what the other lines of k tokens have of the
+    token, so that a line does not explain its own repeats. Six deviations above that count are no chance. Lines of
+    fields alone have no wording that could recur.
+    """
+    once = rows.groupBy("id", "h").agg(F.min("k").alias("k"), F.min("m").alias("m"))
+    lines = store(once.groupBy("h").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min("k").alias("k"), F.min("m").alias("m")))
+    words = F.split("m", " ")
+    shares = lines.select("k", "docs", F.explode(words).alias("token")).groupBy("k", "token").agg(F.sum("docs").alias("c"))
+    pairs = lines.groupBy("k").agg(F.sum("docs").alias("pairs"))
+    often = lines.where(F.col("docs") >= least).where(F.exists(words, lambda x: x != FIELD)).withColumn("words", words)
+    own = F.col("docs") * F.size(F.filter("words", lambda x: x == F.col("token")))
+    told = often.withColumn("token", F.explode("words")).join(shares, ["k", "token"]).join(F.broadcast(pairs), "k")
+    # One more than the others have, so that no share is zero.
+    share = (F.col("c") - own + 1) / (F.col("k") * F.col("pairs"))
+    by_line = told.groupBy("h", "first", "docs", "pairs").agg(F.exp(F.sum(F.log(share))).alias("p"))
+    chance = F.col("pairs") * F.col("p")
+    return by_line.where(F.col("docs") > chance + 6 * F.sqrt(chance)).select("h", "first")
+
+
 def recurring(
-    docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int, similarity: float
+    docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int, similarity: float, short_docs: int
 ) -> tuple[DataFrame, DataFrame]:
     """Two stored tables: (id, leaf, h) of all lines that can be templates, and (leaf, h, first) of those that recur.
 
     ``first`` is the smallest id that has a line of the template; ``leaf`` and ``h`` stand for the masked line.
+    Short lines have leaf 0.
     """
     small_batches(docs.sparkSession)
     line = F.explode(F.split(F.col(text_col).cast("string"), "\n"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), line.alias("line"))
-    rows = rows.select("id", masked(F.col("line")).alias("m")).withColumn("k", tokens("m")).where(F.col("k") >= min_tokens)
-    keyed = store(rows.select("id", leaf_key(F.col("m"), F.col("k"), depth).alias("leaf"), F.xxhash64("m").alias("h"), "m"))
+    rows = rows.select("id", masked(F.col("line")).alias("m")).where("m <> ''").withColumn("k", tokens("m"))
+    leaf = F.when(F.col("k") >= min_tokens, leaf_key(F.col("m"), F.col("k"), depth)).otherwise(0)
+    lines = store(rows.select("id", leaf.alias("leaf"), F.xxhash64("m").alias("h"), "k", "m"))
+    keyed = lines.where(F.col("k") >= min_tokens)
     leaves = keyed.groupBy("leaf").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
     shared = store(leaves.where("lo < hi").select("leaf", "n"))
     # Few enough leaves go to every task, so that lines of other leaves never move; more are joined by shuffling.
@@ -135,22 +162,24 @@ def recurring(
     spread = distinct.select("leaf", "h", "lo", "hi").join(named, ["leaf", "h"])
     spans = spread.groupBy("leaf", "template").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last")
     gone = spread.join(spans.drop("last"), ["leaf", "template"]).where("hi > first").select("leaf", "h", "first")
-    return keyed.select("id", "leaf", "h"), store(gone)
+    short = recurring_short(lines.where(F.col("k") < min_tokens), short_docs).select(F.lit(0).cast("long").alias("leaf"), "h", "first")
+    return lines.select("id", "leaf", "h"), store(gone.select("leaf", "h", "first").unionByName(short))
 
 
 def drop_recurring(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_tokens: int = 8, depth: int = 4, similarity: float = 0.8,
+    min_tokens: int = 8, depth: int = 4, similarity: float = 0.8, short_docs: int = 10,
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates gone from all but the template's first document.
 
     Adds ``n_lines`` and ``n_dropped`` (long; columns of those names are replaced). Every row stays,
-    with all its other columns. A line recurs if its template stands in two documents or more; lines
-    of fewer than ``min_tokens`` tokens are never templates, as short prose recurs by chance. Null
+    with all its other columns. A line recurs if its template stands in two documents or more. Of fewer
+    than ``min_tokens`` tokens only equal masked lines are one template, and as short prose recurs by
+    chance, it must stand in ``short_docs`` documents and in more than chance gives. Null
     texts stay null with no lines; an empty text is one empty line. Rows with a null id keep all their
     lines and are no document. Rows of one id are one document. An empty table gives no rows.
     """
-    keyed, gone = recurring(docs, id_col, text_col, min_tokens, depth, similarity)
+    keyed, gone = recurring(docs, id_col, text_col, min_tokens, depth, similarity, short_docs)
     drops = keyed.join(gone, ["leaf", "h"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("__drop"))
     drops = store(drops.withColumnRenamed("id", "__id"))
     n_drops, n_hashes = drops.agg(F.count("*"), F.sum(F.size("__drop"))).first()

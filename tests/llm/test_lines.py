@@ -77,3 +77,22 @@ def test_long_passage_stays_once_and_clean_text_stays(make):
     assert [passage in got[i] for i in range(6)] == [True] + [False] * 5
     assert all(got[i].startswith("own text") for i in range(6))
     assert linetree.drop_recurring(make([])).count() == 0
+
+
+def test_short_boilerplate_goes_and_short_prose_stays(make):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        own = [" ".join(rng.choice(["yes", "no", "so", "oh", "well"], 2)) for _ in range(8)]  # common words meet by chance
+        own += [f"{' '.join(f'q{c}{chr(97 + i % 26)}{chr(97 + i // 26)}' for c in 'abc')}", f"{i} {i + 1}"]
+        own += ["All rights reserved."] if i % 2 else []
+        own += [f"Page {i} of 60"] if i % 3 else []
+        own += ["Seen only here"] if i < 9 else []
+        rows.append((i, "\n".join(own)))
+    got = {r.doc_id: r for r in linetree.drop_recurring(make(rows)).collect()}
+    assert [i for i in got if "All rights reserved." in got[i].text] == [1]
+    assert [i for i in got if "Page" in got[i].text] == [1]
+    for i, text in rows:
+        gone = (i % 2 == 1 and i > 1) + (i % 3 > 0 and i > 1)
+        assert got[i].n_dropped == gone
+        assert got[i].text == "\n".join(x for x in text.split("\n") if i == 1 or not x.startswith(("All", "Page")))
