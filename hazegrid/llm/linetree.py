@@ -14,13 +14,14 @@ from functools import reduce
 from operator import eq, or_
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import small_batches, store
+from hazegrid.llm.common import components, small_batches, store
 
 FIELD = "<*>"
-#: Distinct lines of a leaf that one task parses; larger leaves are parsed in parts whose templates then meet.
+#: Distinct lines of a leaf from which on its lines are linked, so that lines that can't meet are parsed apart.
 PART = 20_000
 #: Rows of a broadcast side; it is counted first, and a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
@@ -43,6 +44,13 @@ def tokens(name: str) -> Column:
     return F.length(name) - F.length(F.replace(F.col(name), F.lit(" "), F.lit(""))) + 1
 
 
+def segments(tokens: list[str], similarity: float) -> list[tuple]:
+    """Segments of a line, one more than the tokens it may miss."""
+    n = len(tokens)
+    k = min(n, int(n * (1 - similarity) + 1e-9) + 1)
+    return [(i, *tokens[n * i // k : n * (i + 1) // k]) for i in range(k)]
+
+
 class Leaf:
     """Templates of one leaf.
 
@@ -57,9 +65,7 @@ class Leaf:
         self.by_segment: dict[tuple, list[int]] = {}
 
     def _segments(self, tokens: list[str]) -> list[tuple]:
-        n = len(tokens)
-        k = min(n, int(n * (1 - self.similarity) + 1e-9) + 1)
-        return [(i, *tokens[n * i // k : n * (i + 1) // k]) for i in range(k)]
+        return segments(tokens, self.similarity)
 
     def add(self, tokens: list[str]) -> int:
         """Number of the template the line joins: of the most similar the oldest; a new one if none is near enough."""
@@ -94,21 +100,41 @@ def _parser(similarity: float, key: list[str]):
     return parse
 
 
+def _segment_links(similarity: float):
+    """Links (a, b) of each line to its segments; segments and lines of a leaf have own numbers."""
+
+    def links(batches):
+        for batch in batches:
+            a, b = [], []
+            for leaf, node, m in zip(batch["leaf"], batch["node"], batch["m"], strict=True):
+                for i, *part in segments(m.split(" "), similarity):
+                    a.append(node)
+                    b.append(xxhash.xxh64_intdigest(f"{leaf} {i} {' '.join(part)}".encode("utf-8", "surrogatepass")) - (1 << 63))
+            yield pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+    return links
+
+
 def templates(lines: DataFrame, similarity: float = 0.8, part: int = PART) -> DataFrame:
-    """(leaf, h, template) for distinct masked lines (leaf, n, h, m); ``n`` is the number of lines of the leaf at most."""
-    first = lines.withColumn("salt", F.pmod(F.col("h"), F.ceil(F.col("n") / F.lit(part)).cast("long")))
-    ordered = first.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "m", "h")
-    schema = "leaf long, n long, h long, m string, salt long, t long"
-    parsed = store(ordered.select("leaf", "n", "h", "m", "salt").mapInPandas(_parser(similarity, ["leaf", "salt"]), schema))
-    whole = parsed.where(F.col("n") <= part).select("leaf", "h", F.col("t").alias("template"))
-    # Parts of a large leaf: their templates, stood for by their first lines, are parsed once more.
-    parts = parsed.where(F.col("n") > part)
-    heads = parts.groupBy("leaf", "salt", "t").agg(F.min("m").alias("m")).repartition("leaf").sortWithinPartitions("leaf", "m", "salt", "t")
-    met = heads.withColumnRenamed("t", "old").select("leaf", "salt", "old", "m").mapInPandas(
-        _parser(similarity, ["leaf"]), "leaf long, salt long, old long, m string, t long"
-    )
-    names = met.select("leaf", "salt", F.col("old").alias("t"), F.col("t").alias("template"))
-    return whole.unionByName(parts.join(names, ["leaf", "salt", "t"]).select("leaf", "h", "template"))
+    """(leaf, h, template) for distinct masked lines (leaf, h, m).
+
+    Every leaf gives what the tree gives that takes all its lines in order. A line can only join a
+    template whose first line shares a segment with it, so lines that no chain of shared segments
+    links never meet. Leaves of more than ``part`` lines fall into such components, parsed apart;
+    as a component holds all that its lines can meet, that changes nothing in the result.
+    """
+    lines = lines.select("leaf", "h", "m")
+    large = store(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > part).select("leaf"))
+    dealt = lines.withColumn("component", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        nodes = store(lines.join(large, "leaf", "left_semi").withColumn("node", F.xxhash64("leaf", "h")))
+        linked = components(nodes.select("leaf", "node", "m").mapInPandas(_segment_links(similarity), "a long, b long"))
+        apart = nodes.join(linked, "node").select("leaf", "h", "m", "component")
+        dealt = dealt.join(large, "leaf", "left_anti").unionByName(apart)
+    ordered = dealt.repartition("leaf", "component").sortWithinPartitions("leaf", "component", "m", "h")
+    schema = "leaf long, h long, m string, component long, t long"
+    parsed = ordered.select("leaf", "h", "m", "component").mapInPandas(_parser(similarity, ["leaf", "component"]), schema)
+    return store(parsed.select("leaf", "h", F.xxhash64("component", "t").alias("template")))
 
 
 def recurring_short(rows: DataFrame, least: int) -> DataFrame:
@@ -149,16 +175,16 @@ def recurring(
     leaf = F.when(F.col("k") >= min_tokens, leaf_key(F.col("m"), F.col("k"), depth)).otherwise(0)
     lines = store(rows.select("id", leaf.alias("leaf"), F.xxhash64("m").alias("h"), "k", "m"))
     keyed = lines.where(F.col("k") >= min_tokens)
-    leaves = keyed.groupBy("leaf").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    shared = store(leaves.where("lo < hi").select("leaf", "n"))
+    leaves = keyed.groupBy("leaf").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = store(leaves.where("lo < hi").select("leaf"))
     # Few enough leaves go to every task, so that lines of other leaves never move; more are joined by shuffling.
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Equal lines collapse before anything is parsed: a line in a third of all documents is one row.
     distinct = store(
         keyed.join(F.broadcast(shared) if few else shared, "leaf").groupBy("leaf", "h")
-        .agg(F.max("n").alias("n"), F.min("m").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        .agg(F.min("m").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     )
-    named = templates(distinct.select("leaf", "n", "h", "m"), similarity)
+    named = templates(distinct, similarity)
     spread = distinct.select("leaf", "h", "lo", "hi").join(named, ["leaf", "h"])
     spans = spread.groupBy("leaf", "template").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last")
     gone = spread.join(spans.drop("last"), ["leaf", "template"]).where("hi > first").select("leaf", "h", "first")

@@ -96,3 +96,30 @@ def test_short_boilerplate_goes_and_short_prose_stays(make):
         gone = (i % 2 == 1 and i > 1) + (i % 3 > 0 and i > 1)
         assert got[i].n_dropped == gone
         assert got[i].text == "\n".join(x for x in text.split("\n") if i == 1 or not x.startswith(("All", "Page")))
+
+
+def test_mixed_templates_of_a_large_leaf_are_those_of_the_plain_tree(spark):
+    rng = np.random.default_rng(8)
+    words = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    lines = set()
+    for _ in range(30):
+        base = rng.choice(words, 12)
+        for _ in range(int(rng.integers(1, 12))):
+            t = list(base)
+            for at in rng.choice(12, int(rng.integers(0, 4)), replace=False):
+                t[at] = str(rng.choice(words))
+            lines.add(" ".join(t))
+    lines = sorted(lines)
+    leaf = linetree.Leaf(0.8)
+    plain = [leaf.add(m.split(" ")) for m in lines]
+    df = spark.createDataFrame([(1, len(lines), i, m) for i, m in enumerate(lines)], "leaf long, n long, h long, m string")
+
+    def groups(names):
+        found = {}
+        for i, t in names:
+            found.setdefault(t, set()).add(i)
+        return sorted(map(sorted, found.values()))
+
+    for part in (10, 10_000):
+        got = linetree.templates(df, part=part).collect()
+        assert groups((r.h, r.template) for r in got) == groups(enumerate(plain))
