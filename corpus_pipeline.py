@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of templates that an earlier document has; ``n_chars`` follows the text."""
-    cut = linetree.drop_recurring(docs)
+    cut = linetree.drop_recurring(docs, ends=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 

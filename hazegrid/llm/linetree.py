@@ -39,6 +39,11 @@ def leaf_key(m: Column, tokens: Column, depth: int) -> Column:
     return F.xxhash64(tokens, F.substring_index(m, " ", depth))
 
 
+def tail_key(m: Column, tokens: Column, depth: int) -> Column:
+    """Leaf of the second tree, whose branches are the last tokens."""
+    return F.xxhash64(tokens, F.substring_index(m, " ", -depth), F.lit("tail"))
+
+
 def tokens(name: str) -> Column:
     """Number of tokens of a masked line."""
     return F.length(name) - F.length(F.replace(F.col(name), F.lit(" "), F.lit(""))) + 1
@@ -161,7 +166,7 @@ def recurring_short(rows: DataFrame, least: int) -> DataFrame:
 
 
 def recurring(
-    docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int, similarity: float, short_docs: int
+    docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int, similarity: float, short_docs: int, ends: bool
 ) -> tuple[DataFrame, DataFrame]:
     """Two stored tables: (id, leaf, h) of all lines that can be templates, and (leaf, h, first) of those that recur.
 
@@ -174,9 +179,14 @@ def recurring(
     rows = rows.select("id", masked(F.col("line")).alias("m")).where("m <> ''").withColumn("k", tokens("m"))
     leaf = F.when(F.col("k") >= min_tokens, leaf_key(F.col("m"), F.col("k"), depth)).otherwise(0)
     lines = store(rows.select("id", leaf.alias("leaf"), F.xxhash64("m").alias("h"), "k", "m"))
-    keyed = lines.where(F.col("k") >= min_tokens)
-    leaves = keyed.groupBy("leaf").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shared = store(leaves.where("lo < hi").select("leaf"))
+    keyed = lines.where(F.col("k") >= min_tokens).withColumn("tail", F.lit(False))
+    if ends:
+        tail = tail_key(F.col("m"), F.col("k"), depth)
+        trees = F.array(F.struct(F.lit(False).alias("tail"), "leaf"), F.struct(F.lit(True).alias("tail"), tail.alias("leaf")))
+        keyed = keyed.withColumn("tree", F.explode(trees)).select("id", "h", "k", "m", "tree.*")
+    leaves = keyed.groupBy("leaf", "tail").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("id", "h")])
+    # Equal lines have met in the first tree; the second is for lines that differ.
+    shared = store(leaves.where("min_id < max_id AND (NOT tail OR min_h < max_h)").select("leaf"))
     # Few enough leaves go to every task, so that lines of other leaves never move; more are joined by shuffling.
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Equal lines collapse before anything is parsed: a line in a third of all documents is one row.
@@ -189,23 +199,27 @@ def recurring(
     spans = spread.groupBy("leaf", "template").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last")
     gone = spread.join(spans.drop("last"), ["leaf", "template"]).where("hi > first").select("leaf", "h", "first")
     short = recurring_short(lines.where(F.col("k") < min_tokens), short_docs).select(F.lit(0).cast("long").alias("leaf"), "h", "first")
-    return lines.select("id", "leaf", "h"), store(gone.select("leaf", "h", "first").unionByName(short))
+    held = keyed.select("id", "leaf", "h").unionByName(lines.where(F.col("k") < min_tokens).select("id", "leaf", "h"))
+    return held, store(gone.select("leaf", "h", "first").unionByName(short))
 
 
 def drop_recurring(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_tokens: int = 8, depth: int = 4, similarity: float = 0.8, short_docs: int = 10,
+    ends: bool = False,
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates gone from all but the template's first document.
 
     Adds ``n_lines`` and ``n_dropped`` (long; columns of those names are replaced). Every row stays,
     with all its other columns. A line recurs if its template stands in two documents or more. Of fewer
     than ``min_tokens`` tokens only equal masked lines are one template, and as short prose recurs by
-    chance, it must stand in ``short_docs`` documents and in more than chance gives. Null
+    chance, it must stand in ``short_docs`` documents and in more than chance gives. With ``ends`` a
+    second tree branches by the last ``depth`` tokens, so that an edit among the first ones hides
+    nothing; a line goes if either tree has an earlier document of its template. Null
     texts stay null with no lines; an empty text is one empty line. Rows with a null id keep all their
     lines and are no document. Rows of one id are one document. An empty table gives no rows.
     """
-    keyed, gone = recurring(docs, id_col, text_col, min_tokens, depth, similarity, short_docs)
+    keyed, gone = recurring(docs, id_col, text_col, min_tokens, depth, similarity, short_docs, ends)
     drops = keyed.join(gone, ["leaf", "h"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("__drop"))
     drops = store(drops.withColumnRenamed("id", "__id"))
     n_drops, n_hashes = drops.agg(F.count("*"), F.sum(F.size("__drop"))).first()

@@ -40,7 +40,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_linetree")
 def op7_linetree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linetree.drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return linetree.drop_recurring(docs, ends=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op8_toxicity")

@@ -123,3 +123,13 @@ def test_mixed_templates_of_a_large_leaf_are_those_of_the_plain_tree(spark):
     for part in (10, 10_000):
         got = linetree.templates(df, part=part).collect()
         assert groups((r.h, r.template) for r in got) == groups(enumerate(plain))
+
+
+def test_an_edit_at_either_end_hides_no_passage(make):
+    passage = [f"word{chr(97 + i % 26)}" for i in range(20)]
+    rows = [(i, " ".join(passage)) for i in (4, 5)]
+    rows += [(i, " ".join([f"begin{chr(97 + i)}", *passage[1:]])) for i in (1, 2)]
+    rows += [(3, " ".join([*passage[:-1], "end"])), (6, " ".join(["quite", "other", *passage[2:18], "last", "words"]))]
+    rows += [(7, " ".join(passage[:4] + [f"own{c}" for c in "abcdefghijklmnop"]))]
+    got = {r.doc_id: r.n_dropped for r in linetree.drop_recurring(make(rows), ends=True).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0}
