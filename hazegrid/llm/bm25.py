@@ -2,7 +2,7 @@
 
 A shard is a bounded number of documents with its own postings, built where the documents are read.
 Document counts, lengths and document frequencies are global, so scores of all shards compare and the
-merge of their top k is exact. Within a shard, block-max WAND skips what cannot enter the top k: the
+merge of their top k is exact. Within a shard, a scheme like MaxScore, not WAND, skips what cannot enter the top k: the
 short lists are added up first, the best of what they name are scored in full for a threshold, and
 another document is looked at only if its score so far and the block maxima of the long lists, at its
 place, can reach that threshold. A part of the shards answers first and hands its thresholds on.
