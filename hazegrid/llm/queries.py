@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazegrid.llm import bm25, bpe, knn_quality, licenses, linetree, mixing, quality_rules, simhash, toxicity, urlfilter
+from hazegrid.llm import aligning, bm25, bpe, divergence, knn_quality, licenses, linetree, mixing, pieces, quality_rules, simhash, toxicity, urlfilter
 from hazegrid.llm.common import store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,54 @@ def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
     return bm25.search(store(bm25.build_index(docs)), asked)
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.round_trip(table(spark, sf_dir, "documents"), model, keep=["doc_id"], add=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = aligning.align_documents(table(spark, sf_dir, "documents"), vocabulary, model, keep=["doc_id"], digest=True)
+    return aligning.weigh(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words_ AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM words_ GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words_ JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS n_all FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS n_group FROM counts GROUP BY ALL),
+groups_ AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(n_group, 0) + 2 * v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (n_lang + 2)) // (n_all + 2 * v))::BIGINT AS q
+  FROM groups_ g JOIN langs USING (lang) JOIN kept k USING (lang) LEFT JOIN sums USING (lang, source)
+       LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_divergence", DIVERGENCE_SQL)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
