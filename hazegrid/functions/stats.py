@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hazegrid.functions.geo import round_to
@@ -14,6 +18,9 @@ MAD_SCALE = 1.4826
 TINY = 1e-9
 _ACCURACY = 10_000
 _SMALL_GROUP = 4 * _ACCURACY
+_RANGES = 256
+#: Rows, or hours, of a series that one task sorts at least.
+_SERIES_BLOCK = 8192
 
 
 def clean(x: Column) -> Column:
@@ -47,31 +54,108 @@ def framed_median(x: Column, frame, min_obs: int = 1) -> Column:
     return F.when(F.count(x).over(frame) >= min_obs, F.percentile(x, 0.5).over(frame))
 
 
+def rolling_medians(
+    df: DataFrame, by: Sequence[str], order: str, value: str, frames: Mapping[str, tuple[int, int]], hours: bool = False
+) -> DataFrame:
+    """Add medians of the rows before each row: ``frames`` maps a name to (length, least non-null values).
+
+    Lengths count rows of the series ``by`` in ``order``, or with ``hours`` clock hours of the timestamp ``order``.
+    A series is cut into blocks that bring the longest frame's rows from the block before, so a series of any length
+    spreads over tasks. Within a block an ordered window takes the new value in and the oldest out, in logarithmic
+    time; no frame is sorted anew.
+    """
+    longest = max(length for length, _ in frames.values())
+    block = max(_SERIES_BLOCK, 4 * longest)
+    if hours:
+        at = F.floor(F.unix_timestamp(order) / 3600).cast("long")
+    else:
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1
+    placed = df.withColumn("_at", at).withColumn("_own", F.floor(F.col("_at") / block))
+    ahead = F.pmod(F.col("_at"), F.lit(block)) >= block - longest
+    blocks = F.when(ahead, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    spread = placed.withColumn("_block", F.explode(blocks))
+    columns, schema = df.columns, df.schema
+    for name in frames:
+        schema = T.StructType([f for f in schema if f.name != name]).add(name, T.DoubleType())
+    columns = [c for c in columns if c not in frames]
+    lengths = dict(frames)
+
+    def roll(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("_at", "ascending")]))
+        at = table.column("_at").to_numpy()
+        x = pd.Series(table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False))
+        if hours:
+            x.index = pd.to_datetime(at, unit="h")
+        own = pc.equal(table.column("_own"), table.column("_block"))
+        out = table.select(columns)
+        for name, (length, least) in lengths.items():
+            window = x.rolling(f"{length}h" if hours else length, min_periods=least, closed="left")
+            out = out.append_column(name, pa.array(window.median().to_numpy(), pa.float64(), from_pandas=True))
+        return out.filter(own)
+
+    return spread.groupBy(*by, "_block").applyInArrow(roll, schema)
+
+
+def _select(packed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, _i, _pos, _lo, _hi): the values at the two ranks around ``_pos`` among counted values in value ranges.
+
+    The counts of the ranges give their first ranks; only the one or two ranges that hold a wanted rank are sorted.
+    """
+    key = [*by, "_i"]
+    totals = packed.groupBy(*key, "_range").agg(F.sum("_c").alias("_n"), F.first("_pos").alias("_at"))
+    run = Window.partitionBy(*key).orderBy("_range")  # at most _RANGES + 1 rows
+    starts = totals.withColumns({"_end": F.sum("_n").over(run), "_last": F.lead("_range").over(run).isNull()})
+    holds = lambda rank: (F.col("_end") - F.col("_n") <= rank) & ((rank < F.col("_end")) | F.col("_last"))
+    wanted = starts.where(holds(F.floor("_at")) | holds(F.ceil("_at"))).select(*key, "_range", (F.col("_end") - F.col("_n")).alias("_first"))
+    inside = Window.partitionBy(*key, "_range").orderBy("_v")
+    ranked = packed.join(wanted, [*key, "_range"]).withColumn("_to", F.col("_first") + F.sum("_c").over(inside))
+    ranked = ranked.withColumn("_from", F.col("_to") - F.col("_c"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    return ranked.groupBy(*key).agg(F.first("_pos").alias("_pos"), at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi"))
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, whatever the group's share of the rows.
 
-    A mergeable sketch first brackets each quantile. Everything below the bracket
-    collapses into one counted row and everything above is dropped, both before the
-    shuffle, so even a group holding most of the data sends only the distinct values
-    of its narrow bracket to one task. Groups small enough to sort whole skip the bracket.
+    Ranks are selected level by level. A mergeable sketch first brackets each quantile.
+    Everything below the bracket collapses into one counted row and everything above is
+    dropped, both before the shuffle. The distinct values of the bracket stay spread by
+    value and lie in _RANGES equal ranges, of which only those with a wanted rank are
+    sorted: no task sees a bracket whole. Groups of few rows skip the bracket, not the ranges.
     """
-    by = list(by)
+    by, names = list(by), list(probs)
+    picked = _select(_packed(df, by, value, list(probs.values())), by)
+    frac = F.col("_pos") - F.floor("_pos")
+    value_at = F.when(frac == 0, F.col("_lo")).otherwise(
+        (F.ceil("_pos") - F.col("_pos")) * F.col("_lo") + frac * F.col("_hi")
+    )
+    checked = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), F.raise_error(F.lit("quantile left its bracket")).cast("double")).otherwise(value_at)
+    flat = picked.withColumn("_q", checked)
+    return flat.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
+    )
+
+
+def _packed(df: DataFrame, by: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(by, _i, _pos, _range, _v, _c): counted distinct values of each quantile's bracket, and what lies below in one row."""
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    names = list(probs)
     pad = 2.0 / _ACCURACY
     edges = []
-    for p in probs.values():
+    for p in probs:
         edges += [max(p - pad, 0.0), min(p + pad, 1.0)]
     sketch = rows.groupBy(*by).agg(
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", edges, _ACCURACY).alias("_e"),
     )
     specs = []
-    for i, (name, p) in enumerate(probs.items()):
+    for i, p in enumerate(probs):
         whole = F.col("_n") <= _SMALL_GROUP
         low_edge = F.lit(p - pad <= 0.0) | whole
         high_edge = F.lit(p + pad >= 1.0) | whole
@@ -81,45 +165,30 @@ def exact_quantiles(
                 F.lit(i).alias("i"),
                 F.when(low_edge, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
                 F.when(high_edge, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
+                F.col("_e")[2 * i].alias("start"),
+                (F.col("_e")[2 * i + 1] - F.col("_e")[2 * i]).alias("span"),
                 pos.alias("pos"),
             )
         )
     brackets = sketch.select(*by, F.array(*specs).alias("_b"))
     joined = rows.join(brackets, by) if by else rows.crossJoin(F.broadcast(brackets))  # one row
     spread = joined.select(*by, "_v", F.explode("_b").alias("b"))
-    # Two columns rather than a -inf marker, so a genuine -inf value stays itself.
+    # Range -1 holds all rows below as one count, so a genuine -inf value stays itself.
     below = F.col("_v") < F.col("b.lo")
-    packed = (
+    part = F.floor((F.col("_v") - F.col("b.start")) / F.col("b.span") * _RANGES)
+    inner = F.when(F.col("b.span") > 0, F.greatest(F.lit(0), F.least(F.lit(_RANGES - 1), part))).otherwise(0)
+    return (
         spread.where(F.col("_v") <= F.col("b.hi"))
         .select(
             *by,
             F.col("b.i").alias("_i"),
             F.col("b.pos").alias("_pos"),
-            F.when(below, 0).otherwise(1).alias("_in"),
+            F.when(below, -1).otherwise(F.coalesce(inner.cast("int"), F.lit(0))).alias("_range"),
             F.when(~below, F.col("_v")).alias("_v"),
         )
-        .groupBy(*by, "_i", "_pos", "_in", "_v")
+        .groupBy(*by, "_i", "_pos", "_range", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    run = Window.partitionBy(*by, "_i").orderBy("_in", "_v")
-    ranked = packed.withColumn("_to", F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
-    lo_rank, hi_rank = F.floor("_pos"), F.ceil("_pos")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_in") == 1) & (F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
-
-    picked = ranked.groupBy(*by, "_i").agg(
-        F.first("_pos").alias("_pos"), at(lo_rank).alias("_lo"), at(hi_rank).alias("_hi")
-    )
-    frac = F.col("_pos") - F.floor("_pos")
-    value_at = F.when(frac == 0, F.col("_lo")).otherwise(
-        (F.ceil("_pos") - F.col("_pos")) * F.col("_lo") + frac * F.col("_hi")
-    )
-    checked = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), F.raise_error(F.lit("quantile left its bracket")).cast("double")).otherwise(value_at)
-    flat = picked.withColumn("_q", checked)
-    return flat.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
-    )
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from hazegrid.functions.aqi import aqi, aqi_category
 from hazegrid.functions.geo import round_to
-from hazegrid.functions.stats import framed_median, rmse, skill_pct
+from hazegrid.functions.stats import rmse, rolling_medians, skill_pct
 from hazegrid.operators.exposure import LABEL, fit_by_city, score_by_city
 from hazegrid.session import materialise
 
@@ -19,6 +19,7 @@ HORIZONS = list(range(3, 73, 3))
 LAGS = [0, 1, 3, 6, 24]
 MET = ["blh_m", "wind_ms", "temp_c"]
 STATIC = ["lu_road", "lu_industrial", "lu_traffic"]
+ROLLS = {"roll_med_24": (24, 6), "roll_med_168": (168, 24)}
 TEST_TAIL_DAYS = 14
 MIN_TRAIN_ROWS = 200
 URGENT_RISE = 20.0
@@ -33,7 +34,7 @@ def _hour_number(ts: Column) -> Column:
 
 
 def origin_features(series: DataFrame, value: str, lag_mode: str = "rows") -> DataFrame:
-    """What is known at T: lags and rolling medians of the cell's own series, one window pass.
+    """What is known at T: lags and rolling medians of the cell's own series.
 
     ``lag_mode="rows"`` counts labelled rows; ``"hours"`` counts clock hours and leaves gaps null.
     """
@@ -47,16 +48,8 @@ def origin_features(series: DataFrame, value: str, lag_mode: str = "rows") -> Da
         lag = {f"lag_{k}": x if k == 0 else F.max(x).over(frame(-k, -k)) for k in LAGS}
     else:
         order = Window.partitionBy(*SERIES).orderBy("ts")
-
-        def frame(lo, hi):
-            return order.rowsBetween(lo, hi)
-
         lag = {f"lag_{k}": x if k == 0 else F.lag(x, k).over(order) for k in LAGS}
-    rolls = {
-        "roll_med_24": framed_median(x, frame(-24, -1), 6),
-        "roll_med_168": framed_median(x, frame(-168, -1), 24),
-    }
-    return series.withColumns({**lag, **rolls})
+    return rolling_medians(series.withColumns(lag), SERIES, "ts", value, ROLLS, hours=lag_mode == "hours")
 
 
 def _targets(df: DataFrame, value: str, horizons: Sequence[int], lag_mode: str, oracle_met: bool) -> DataFrame:

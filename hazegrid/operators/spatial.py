@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hazegrid.functions.geo import (
     EARTH_RADIUS_KM,
@@ -142,6 +143,90 @@ def nearest(
     return points.join(hits.select(*ids, *cols), ids, "left")
 
 
+def nearest_planar(
+    points: DataFrame,
+    centres: DataFrame,
+    carry: Sequence[str],
+    x_scale: Column | None = None,
+    by: Sequence[str] = ("city",),
+    out: str = "nearest",
+) -> DataFrame:
+    """Add ``out``, a struct of the closest centre's d2 and ``carry`` columns, to every point; null if its group has none.
+
+    Points carry lat/lon, centres c_lat/c_lon; d2 is dlat^2 + (dlon * x_scale)^2 in degrees, ``x_scale`` an aggregate
+    over the group's points (1 by default). Ties go to the smallest carried values.
+
+    Centres lie in square buckets about as wide as they are apart in their group. A point first looks at the ring
+    of buckets around its own; the best centre is final if it is closer than the ring's border. Other points come down
+    a tree of the occupied buckets, 16 children a node, and keep at each level the nodes that can still hold the
+    closest centre, judged by the boxes of the centres inside. No row carries all centres.
+    """
+    by = list(by)
+    fan = 4
+    here = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(*by, "lat", "lon").distinct()
+    scale = F.lit(1.0) if x_scale is None else x_scale
+    scales = points.groupBy(*by).agg(F.max(scale).alias("_sx") if x_scale is None else scale.alias("_sx"))
+    c = centres.where("c_lat IS NOT NULL AND c_lon IS NOT NULL").select(*dict.fromkeys([*by, *carry, "c_lat", "c_lon"])).distinct()
+    high, wide = F.max("c_lat") - F.min("c_lat"), F.max("c_lon") - F.min("c_lon")
+    size = F.greatest(F.sqrt(high * wide / F.count("*")), F.greatest(high, wide) / F.count("*"), F.lit(1e-9))
+    groups = cut_lineage(
+        c.groupBy(*by)
+        .agg(F.min("c_lat").alias("_y0"), F.min("c_lon").alias("_x0"), size.alias("_s"), F.greatest(high, wide).alias("_e"))
+        .join(scales, by)
+    )
+    deepest = groups.agg(F.max(F.ceil(F.log(F.greatest(F.col("_e") / F.col("_s"), F.lit(1.0))) / math.log(fan)))).first()[0]
+    if deepest is None:
+        kept = [centres.schema[k] for k in carry]
+        kind = "struct<d2:double," + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in kept) + ">"
+        return points.withColumn(out, F.lit(None).cast(kind))
+    levels = int(deepest) + 1
+
+    def bucket(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        row, column = F.floor((F.col(lat) - F.col("_y0")) / F.col("_s")), F.floor((F.col(lon) - F.col("_x0")) / F.col("_s"))
+        return df.join(groups, by).withColumn("_i", row.cast("long")).withColumn("_j", column.cast("long"))
+
+    # Centres with their bucket at level 0, and the occupied nodes of every level with the box of their centres.
+    leaves = cut_lineage(bucket(c, "c_lat", "c_lon").select(*by, "_i", "_j", "c_lat", "c_lon", *[k for k in carry if k not in by]))
+    box = [F.min("_la").alias("_la"), F.max("_lb").alias("_lb"), F.min("_oa").alias("_oa"), F.max("_ob").alias("_ob")]
+    nodes = [
+        leaves.groupBy(*by, "_i", "_j").agg(
+            F.min("c_lat").alias("_la"), F.max("c_lat").alias("_lb"), F.min("c_lon").alias("_oa"), F.max("c_lon").alias("_ob")
+        )
+    ]
+    for _ in range(levels):
+        parent = [F.floor(F.col(k) / fan).cast("long").alias(k) for k in ("_i", "_j")]
+        nodes.append(nodes[-1].select(*by, *parent, "_la", "_lb", "_oa", "_ob").groupBy(*by, "_i", "_j").agg(*box))
+
+    def squared(dy: Column, dx: Column) -> Column:
+        x = dx * F.col("_sx")
+        return dy * dy + x * x
+
+    best = F.min(F.struct(squared(F.col("lat") - F.col("c_lat"), F.col("lon") - F.col("c_lon")).alias("d2"), *[F.col(k) for k in carry])).alias(out)
+    spot = [*by, "lat", "lon"]
+    placed = bucket(here, "lat", "lon")
+    # The ring: distance to its border is the bound within which the answer is final.
+    low = lambda v, o, k: F.col(v) - (F.col(o) + (F.col(k) - 1) * F.col("_s"))
+    up = lambda v, o, k: (F.col(o) + (F.col(k) + 2) * F.col("_s")) - F.col(v)
+    reach = F.least(low("lat", "_y0", "_i"), up("lat", "_y0", "_i"), low("lon", "_x0", "_j") * F.col("_sx"), up("lon", "_x0", "_j") * F.col("_sx"))
+    ring = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(_i + a AS i, _j + b AS j))))"))
+    near = placed.withColumn("_reach", reach).withColumn("_b", ring).withColumns({"_i": F.col("_b.i"), "_j": F.col("_b.j")}).drop("_b")
+    first = near.join(leaves, [*by, "_i", "_j"]).groupBy(*spot, "_reach").agg(best)
+    sure = F.sqrt(F.col(f"{out}.d2")) < F.col("_reach") * (1 - 1e-9) - 1e-12
+    done = cut_lineage(first.where(sure).select(*spot, out))
+    # The rest comes down the tree from its root.
+    paths = here.join(done, spot, "left_anti").join(groups, by).select(*spot, "_sx").withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")})
+    least = lambda v, a, b: F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
+    most = lambda v, a, b: F.greatest(F.abs(F.col(v) - F.col(a)), F.abs(F.col(v) - F.col(b)))
+    for level in reversed(range(levels)):
+        own = nodes[level].withColumns({"_pi": F.floor(F.col("_i") / fan).cast("long"), "_pj": F.floor(F.col("_j") / fan).cast("long")})
+        met = paths.withColumnsRenamed({"_i": "_pi", "_j": "_pj"}).join(own, [*by, "_pi", "_pj"])
+        met = met.withColumn("_least", squared(least("lat", "_la", "_lb"), least("lon", "_oa", "_ob")))
+        met = met.withColumn("_most", F.min(squared(most("lat", "_la", "_lb"), most("lon", "_oa", "_ob"))).over(Window.partitionBy(*spot)))
+        paths = met.where("_least <= _most").select(*spot, "_sx", "_i", "_j")
+    far = paths.join(leaves, [*by, "_i", "_j"]).groupBy(*spot).agg(best)
+    return points.join(done.unionByName(far.select(*spot, out)), spot, "left")
+
+
 def ring_neighbours(
     centres: DataFrame, values: DataFrame, shape: Sequence[Offset], by: Sequence[str] = ("city",)
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazegrid.functions.geo import Grid
-from hazegrid.operators.spatial import add_centre, first_polygon, stamp_cell
+from hazegrid.operators.spatial import add_centre, first_polygon, nearest_planar, stamp_cell
 
 UNASSIGNED = "unassigned"
 OUTSIDE = "Outside city limits"
@@ -71,28 +71,15 @@ def pick_seeds(seeds: DataFrame, n: int | None = None) -> DataFrame:
 def wards_from_seeds(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nearest-seed wards (Voronoi) in squared equirectangular degrees, ties to the first seed.
 
-    ``seeds`` holds city, seed_pos, seed_lat, seed_lon: a city's ward seeds, packed into one row per
-    city for an array minimum on the cell's own row (see ``pick_seeds`` for fewer).
+    ``seeds`` holds city, seed_pos, seed_lat, seed_lon, any number for a city (see ``pick_seeds`` for fewer).
     """
-    mean_lat = cells.groupBy("city").agg(F.avg("lat").alias("lat0"))
-    packed = seeds.groupBy("city").agg(
-        F.collect_list(F.struct("seed_pos", "seed_lat", "seed_lon")).alias("seeds")
-    )
-    def gap(s: Column) -> Column:
-        dy = F.col("lat") - s["seed_lat"]
-        dx = (F.col("lon") - s["seed_lon"]) * F.cos(F.radians(F.col("lat0")))
-        return F.struct((dx * dx + dy * dy).alias("d2"), s["seed_pos"].alias("pos"))
-
-    nearest = F.array_min(F.transform("seeds", gap))["pos"]
-    return (
-        cells.join(mean_lat.join(packed, "city"), "city")
-        .withColumn("_pos", nearest)
-        .select(
-            "city",
-            "cell",
-            ward_id(F.col("_pos")).alias("ward_id"),
-            F.format_string("Ward %03d", (F.col("_pos") + 1).cast("int")).alias("ward_name"),
-        )
+    centres = seeds.select("city", F.col("seed_pos").alias("_pos"), F.col("seed_lat").alias("c_lat"), F.col("seed_lon").alias("c_lon"))
+    near = nearest_planar(cells, centres, ["_pos"], x_scale=F.cos(F.radians(F.avg("lat"))))
+    return near.where("nearest IS NOT NULL").select(
+        "city",
+        "cell",
+        ward_id(F.col("nearest._pos")).alias("ward_id"),
+        F.format_string("Ward %03d", (F.col("nearest._pos") + 1).cast("int")).alias("ward_name"),
     )
 
 
@@ -109,29 +96,13 @@ def ward_centroids(wards: DataFrame, grid: Grid = Grid()) -> DataFrame:
 
 
 def locate_ward(points: DataFrame, wards: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """Ward of each point: its own cell's, else the ward whose mean centre is closest.
-
-    Ward centres are a few hundred rows per city; they travel as one array per city.
-    """
-    centres = ward_centroids(wards, grid).groupBy("city").agg(
-        F.collect_list(F.struct("w_lat", "w_lon", "ward_id", "ward_name")).alias("_centres")
-    )
-
-    def gap(w: Column) -> Column:
-        dy, dx = w["w_lat"] - F.col("lat"), w["w_lon"] - F.col("lon")
-        return F.struct(
-            (dy * dy + dx * dx).alias("d2"), w["ward_id"].alias("ward_id"), w["ward_name"].alias("ward_name")
-        )
-
+    """Ward of each point: its own cell's, else the ward whose mean centre is closest; null without a position or ward."""
+    centres = ward_centroids(wards, grid).select("city", "ward_id", "ward_name", F.col("w_lat").alias("c_lat"), F.col("w_lon").alias("c_lon"))
     exact = stamp_cell(points, grid).join(wards.select("city", "cell", "ward_id", "ward_name"), ["city", "cell"], "left")
-    best = F.when(F.col("ward_id").isNull(), F.array_min(F.transform("_centres", gap)))
-    return (
-        exact.join(centres, "city", "left")
-        .withColumn("_best", best)
-        .select(
-            *points.columns,
-            "cell",
-            F.coalesce("ward_id", "_best.ward_id").alias("ward_id"),
-            F.coalesce("ward_name", "_best.ward_name").alias("ward_name"),
-        )
-    )
+    kept = [*points.columns, "cell", "ward_id", "ward_name"]
+    # Only positions outside every ward are searched.
+    outside = exact.where("ward_id IS NULL").select("city", "lat", "lon").distinct()
+    found = nearest_planar(outside, centres, ["ward_id", "ward_name"])
+    near = exact.where("ward_id IS NULL").drop("ward_id", "ward_name").join(found, ["city", "lat", "lon"], "left")
+    near = near.withColumns({"ward_id": F.col("nearest.ward_id"), "ward_name": F.col("nearest.ward_name")})
+    return exact.where("ward_id IS NOT NULL").select(*kept).unionByName(near.select(*kept))

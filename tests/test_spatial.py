@@ -106,3 +106,41 @@ def test_within_km_is_complete_at_every_latitude(spark, lat, lon):
     for radius in (1.5, 5.0):
         got = sorted((r.id, r.tid) for r in spatial.within_km(p, t, radius).collect())
         assert got == sorted((u[0], v[0]) for u in a for v in b if km(u, v) <= radius)
+
+
+def planar_by_hand(points, centres, scale):
+    lat, lon = np.array([c[0] for c in centres]), np.array([c[1] for c in centres])
+    out = []
+    for y, x in points:
+        d = (y - lat) ** 2 + ((x - lon) * scale) ** 2
+        out.append(min((v, k) for v, k in zip(d[d <= d.min()], np.flatnonzero(d <= d.min()), strict=True))[1])
+    return out
+
+
+@pytest.mark.parametrize("shape", ["even", "clusters", "line", "one", "lattice"])
+def test_nearest_centre_equals_brute_force(spark, shape):
+    rng = np.random.default_rng(8)
+    n = {"even": 20_000, "clusters": 3000, "line": 500, "one": 1, "lattice": 400}[shape]
+    y, x = rng.uniform(28, 29, n), rng.uniform(76, 78, n)
+    if shape == "clusters":
+        y, x = np.where(rng.random(n) < 0.9, 28 + y / 1e5, y), np.where(rng.random(n) < 0.9, 77 + x / 1e5, x)
+    if shape == "line":
+        y = np.full(n, 28.5)
+    if shape == "lattice":  # many exact ties
+        y, x = 28 + np.arange(n) % 20 / 16, 76 + np.arange(n) // 20 / 16
+    centres = list(zip(y.tolist(), x.tolist(), strict=True))
+    points = list(zip(rng.uniform(27.5, 29.5, 600).tolist(), rng.uniform(75, 79, 600).tolist(), strict=True))
+    points += [(28 + i % 20 / 32, 76 + i / 32) for i in range(60)] + [(-60.0, 10.0), (89.0, 179.0), (28.5, 500.0)] + centres[:50]
+    p = spark.createDataFrame([("c", i, *xy) for i, xy in enumerate(points)] + [("c", 10_000, None, 1.0), ("no", 10_001, 1.0, 1.0)], "city string, id long, lat double, lon double")
+    c = spark.createDataFrame([("c", k, *xy) for k, xy in enumerate(centres)] + [("other", 5, 1.0, 1.0)], "city string, k long, c_lat double, c_lon double")
+    got = spatial.nearest_planar(p, c, ["k"], x_scale=F.lit(0.75) * F.max(F.lit(1.0)))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    found = {r.id: r.nearest for r in got.collect()}
+    assert len(found) == len(points) + 2 and found[10_000] is None and found[10_001] is None
+    assert [found[i].k for i in range(len(points))] == planar_by_hand(points, centres, 0.75)
+
+
+def test_nearest_centre_without_centres(spark):
+    p = spark.createDataFrame([("c", 1.0, 1.0)], "city string, lat double, lon double")
+    c = spark.createDataFrame([], "city string, k long, c_lat double, c_lon double")
+    assert spatial.nearest_planar(p, c, ["k"]).first().nearest is None

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -63,3 +65,55 @@ def test_r_squared_and_rmse(spark):
     row = df.agg(stats.rmse(F.col("y"), F.col("p")), stats.r_squared(F.col("y"), F.col("p"))).first()
     assert row[0] == pytest.approx(np.sqrt(np.mean((y - p) ** 2)))
     assert row[1] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def rolled_by_hand(at, x, length, least, hours):
+    out = []
+    for i in range(len(x)):
+        seen = [x[j] for j in range(i) if not np.isnan(x[j]) and (at[i] - length <= at[j] < at[i] if hours else j >= i - length)]
+        out.append(float(np.median(seen)) if len(seen) >= least else None)
+    return out
+
+
+@pytest.mark.parametrize("hours", [False, True])
+def test_rolling_medians_over_block_borders(spark, monkeypatch, hours):
+    monkeypatch.setattr(stats, "_SERIES_BLOCK", 1)  # blocks of four frames
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for g, n in (("a", 400), ("b", 3), ("c", 97)):
+        at = np.sort(rng.choice(900, n, replace=False))
+        x = np.where(rng.random(n) < 0.1, np.nan, np.round(rng.normal(50, 20, n), 1))
+        want[g] = list(zip(rolled_by_hand(at, x, 24, 6, hours), rolled_by_hand(at, x, 5, 1, hours), strict=True))
+        rows += [(g, datetime(2024, 1, 1) + timedelta(hours=int(h)), None if np.isnan(v) else float(v), 7) for h, v in zip(at, x, strict=True)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(r) for r in rows], "g string, ts timestamp, v double, roll_a int")
+    got = stats.rolling_medians(df, ["g"], "ts", "v", {"roll_a": (24, 6), "roll_b": (5, 1)}, hours=hours)
+    assert got.columns == ["g", "ts", "v", "roll_a", "roll_b"] and got.count() == 500
+    for g, expected in want.items():
+        own = [(r.roll_a, r.roll_b) for r in got.where(F.col("g") == g).orderBy("ts").collect()]
+        assert own == [tuple(None if e is None else pytest.approx(e) for e in pair) for pair in expected]
+
+
+def test_a_frame_of_two_thousand_rows_is_not_sorted_row_by_row(spark):
+    """60,000 rows of one series: sorting every frame would sort 120 million values."""
+    df = spark.range(60_000).select(F.lit("s").alias("g"), "id", F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("double").alias("v"))
+    got = stats.rolling_medians(df, ["g"], "id", "v", {"m": (2000, 1)}).where("id % 997 = 5").orderBy("id").collect()
+    x = df.orderBy("id").toPandas().v.to_numpy()
+    assert [r.m for r in got] == [float(np.median(x[max(0, r.id - 2000) : r.id])) for r in got]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_no_range_of_a_hot_group_is_large(spark, monkeypatch, accuracy):
+    """One group of ten million distinct values; with a coarse sketch its brackets are 8 % of it each."""
+    monkeypatch.setattr(stats, "_ACCURACY", accuracy)
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).select(F.lit("hot").alias("g"), F.pow(F.pmod(F.col("id") * 7_368_787, F.lit(n)).cast("double"), 1.5).alias("v"))
+    probs = {"a": 0.1, "b": 0.5, "c": 0.999}
+    packed = stats._packed(df, ["g"], "v", list(probs.values()))
+    most = packed.where("_range >= 0").groupBy("_i", "_range").count().agg(F.max("count")).first()[0]
+    assert most * 8 <= n * 4 / accuracy and most * 8 < n
+    row = stats.exact_quantiles(df, ["g"], "v", probs).first()
+    for name, p in probs.items():
+        at = p * (n - 1)
+        low, high = np.floor(at) ** 1.5, np.ceil(at) ** 1.5
+        assert row[name] == pytest.approx(low + (at - np.floor(at)) * (high - low), rel=1e-12)

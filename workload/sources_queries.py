@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazegrid.functions import geo, stats
-from hazegrid.operators import clean, exposure, panel, serving, signals, spatial, wards
+from hazegrid.operators import clean, exposure, forecast, panel, serving, signals, spatial, wards
 from hazegrid.sources import readers, sinks
 from workload.feeds import GRID, Feeds, fx, text_ts
 from workload.registry import query
@@ -345,13 +345,9 @@ def med_window(over: str) -> str:
 
 @query("w3_rolling_medians", f"SELECT city, cell, {ts('ts')} AS ts, {sfx(_frame(24, 6))} AS roll_med_24, {sfx(_frame(168, 24))} AS roll_med_168 FROM lab")
 def _(f: Feeds) -> DataFrame:
-    w = Window.partitionBy("city", "cell").orderBy("ts")
-    x = F.col("pm25_station")
-    return f.labelled.select(
-        "city", "cell", text_ts("ts").alias("ts"),
-        fx(stats.framed_median(x, w.rowsBetween(-24, -1), 6)).alias("roll_med_24"),
-        fx(stats.framed_median(x, w.rowsBetween(-168, -1), 24)).alias("roll_med_168"),
-    )
+    series = f.labelled.select("city", "cell", "ts", "pm25_station")
+    rolled = stats.rolling_medians(series, ["city", "cell"], "ts", "pm25_station", forecast.ROLLS)
+    return rolled.select("city", "cell", text_ts("ts").alias("ts"), fx("roll_med_24").alias("roll_med_24"), fx("roll_med_168").alias("roll_med_168"))
 
 
 @query("w10_latest_row", f"SELECT city, station_id, {ts('max(ts)')} AS ts, max_by(pm25, ts) AS pm25 FROM stations GROUP BY ALL")
