@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.stats import clean
 from hazegrid.operators.clean import classify_osm
+from hazegrid.sources.channels import Channel
 
 SCHEMAS = {
     "stations": "city string, station_id string, cell long, ts timestamp, lat double, lon double, pm25 double",
@@ -175,9 +176,9 @@ def ward_polygons(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 
 def read_channel(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None) -> DataFrame:
-    """citizen_reports or inspection_status from JSON lines or a database table."""
+    """citizen_reports or inspection_status from JSON lines or a database table (see ``channels`` for incremental reads)."""
     if jdbc:
-        return spark.read.format("jdbc").options(**jdbc, dbtable=name).load()
+        return Channel(spark, name, jdbc).read()
     return spark.read.schema(SCHEMAS[name]).json(path)
 
 

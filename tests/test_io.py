@@ -122,3 +122,70 @@ def test_a_critical_feed_must_cover_every_city(spark):
     one = spark.createDataFrame([("a", 1)], "city string, v int")
     with pytest.raises(RuntimeError, match="b"):
         readers.load_feeds({"stations": lambda: one}, {"stations"}, cities=cities)
+
+
+@pytest.fixture
+def database(spark):
+    """An embedded database in this JVM with one channel table."""
+    import uuid
+
+    from hazegrid.sources.channels import Channel
+
+    jdbc = {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+    def put(rows, name="inspection_status"):
+        df = spark.createDataFrame(rows, "city string, action_id string, status string, updated_at timestamp")
+        df.coalesce(1).write.jdbc(jdbc["url"], f'"{name}"', mode="append", properties={"driver": jdbc["driver"]})
+        return Channel(spark, name, jdbc)
+
+    return put
+
+
+def crowded(n=3000):
+    """Most rows within one hour of two months: equal strides of time would leave them to one task."""
+    start = datetime(2024, 1, 1)
+    return [("c", f"A{k}", "open", start + (timedelta(days=k % 60) if k % 20 == 0 else timedelta(days=9, seconds=k, microseconds=k))) for k in range(n)]
+
+
+def test_channel_is_read_by_many_even_tasks(spark, database):
+    rows = [*crowded(), ("c", "nowhen", "open", None)]
+    channel = database(rows)
+    got = channel.read(rows_per_task=200)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 200
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    assert channel.bounds().rows == 3000 and channel.bounds(datetime(2030, 1, 1)) is None
+    since = datetime(2024, 2, 1)
+    assert sorted(map(tuple, channel.read(since, 10).collect()), key=str) == sorted((r for r in rows if r[3] and r[3] >= since), key=str)
+
+
+def test_stretches_neither_overlap_nor_leave_gaps(database):
+    channel = database(crowded(900))
+    parts = channel.stretches(channel.bounds(), 50)
+    assert sum(p.rows for p in parts) == 900
+    assert all(a.high <= b.low and not b.closed for a, b in zip(parts, parts[1:]))
+
+
+def test_one_moment_with_many_rows_is_one_stretch(database):
+    channel = database([("c", f"A{k}", "open", datetime(2024, 1, 1)) for k in range(100)])
+    assert [p.rows for p in channel.stretches(channel.bounds(), 10)] == [100] and channel.read(rows_per_task=10).count() == 100
+
+
+def test_sync_takes_what_is_new_and_late(spark, database, tmp_path):
+    path, t = str(tmp_path / "channel"), datetime(2024, 3, 1, 12)
+    channel = database([("c", "A1", "dispatched", t), ("c", "A2", "dispatched", t - timedelta(hours=5))])
+    assert channel.sync(path) == 2 and channel.sync(path) == 0
+    late = ("c", "A3", "dispatched", t - timedelta(minutes=30))
+    channel = database([late, ("c", "A1", "actioned", t + timedelta(hours=2)), ("c", "A9", "too late", t - timedelta(hours=3))])
+    assert channel.sync(path, overlap=timedelta(hours=1)) == 2  # the last row lies before the overlap
+    assert channel.sync(path, overlap=timedelta(days=1)) == 1
+    now = {r.action_id: r.status for r in channel.current(path).collect()}
+    assert now == {"A1": "actioned", "A2": "dispatched", "A3": "dispatched", "A9": "too late"}
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_empty_channel(spark, database, tmp_path):
+    channel = database([])
+    assert channel.read().count() == 0 and channel.sync(str(tmp_path / "none")) == 0
+    got = readers.read_channel(spark, "inspection_status", jdbc=channel.jdbc)
+    assert got.columns == ["city", "action_id", "status", "updated_at"]
