@@ -78,17 +78,52 @@ def test_station_stream_equals_batch(spark, tmp_path):
     assert got == {h: 10.0 * h + 5 for h in range(4)}
 
 
-def test_status_stream_keeps_the_newest(spark, tmp_path):
+def test_status_state_over_restarts_late_updates_and_expiry(spark, tmp_path):
     schema = "city string, action_id string, dispatched_at timestamp, actioned_at timestamp, status string, inspector string, updated_at timestamp"
-    src, table, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    for day, status in ((1, "dispatched"), (2, "actioned")):
-        t = datetime(2024, 1, day)
-        spark.createDataFrame([("c", "A01", t, None, status, "x", t)], schema).write.mode("append").parquet(src)
-        live.keep_latest_status(spark.readStream.schema(schema).parquet(src), table, ck).awaitTermination(120)
+    src, changes, ck = (str(tmp_path / x) for x in ("in", "changes", "ck"))
     fields = spark.createDataFrame([], schema).schema
-    assert [(r.action_id, r.status) for r in live.current_status(spark, table, fields).collect()] == [("A01", "actioned")]
-    live.compact_status(spark, table, fields, f"{table}-2")
-    assert [(r.action_id, r.status) for r in live.current_status(spark, f"{table}-2", fields).collect()] == [("A01", "actioned")]
+    day = lambda k, h=0: datetime(2024, 1, 1) + timedelta(days=k, hours=h)
+
+    def run(*rows):
+        spark.createDataFrame([("c", a, day(0), None, status, who, at) for a, status, at, who in rows], schema).write.mode("append").parquet(src)
+        live.track_status(spark.readStream.schema(schema).parquet(src), changes, ck, delay="5 days", keep_closed_days=10).awaitTermination(180)
+        held = spark.read.format("statestore").option("stateVarName", "newest").load(ck)
+        now = {r.action_id: (r.status, r.inspector) for r in live.current_status(spark, changes, ck, fields).collect()}
+        return now, {r[0] for r in held.select("key.action_id").collect()}
+
+    now, held = run(("A1", "dispatched", day(1), "x"), ("A2", "dispatched", day(1), "x"), ("A2", "actioned", day(2), "y"), ("A3", None, None, "z"))
+    assert now == {"A1": ("dispatched", "x"), "A2": ("actioned", "y"), "A3": (None, "z")} and held == {"A1", "A2", "A3"}
+    # Another run goes on from the checkpoint; an older row that comes late changes nothing, a newer one does.
+    now, held = run(("A2", "dispatched", day(1, 5), "late"), ("A1", "actioned", day(3), "y"), ("A4", "dispatched", day(4), "x"))
+    assert now["A2"] == ("actioned", "y") and now["A1"] == ("actioned", "y") and held == {"A1", "A2", "A3", "A4"}
+    # Reopened within its time: the timer of the closing goes with it.
+    now, held = run(("A1", "dispatched", day(9), "again"))
+    assert now["A1"] == ("dispatched", "again")
+    # Twenty days on, what was closed has left the state and keeps its last status; what is open stays.
+    now, held = run(("A4", "dispatched", day(25), "x"))
+    assert held == {"A1", "A3", "A4"} and now["A2"] == ("actioned", "y") and now["A1"] == ("dispatched", "again")
+    # Behind the watermark (day 20) an update no longer counts.
+    now, held = run(("A2", "dispatched", day(15), "too late"))
+    assert now["A2"] == ("actioned", "y") and "A2" not in held
+    assert {r.action_id for r in spark.read.parquet(changes).where("change = 'closed'").collect()} == {"A2"}
+
+
+def test_refresh_rebuilds_only_what_is_touched(spark, tmp_path):
+    src, raw, table, ck = (str(tmp_path / x) for x in ("in", "raw", "table", "ck"))
+    schema = "city string, cell long, ts timestamp, pm25 double"
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), schema).write.mode("append").parquet(src)
+        live.refresh_hours(spark.readStream.schema(schema).parquet(src), raw, table, ck).awaitTermination(120)
+        return {(r.city, r.ts): r.pm25_station for r in spark.read.parquet(table).collect()}
+
+    t = datetime(2024, 1, 1, 5)
+    got = run(("a", 1, t, 10.0), ("b", 1, t, 50.0), ("a", 1, t + timedelta(days=1), 30.0))
+    assert got == {("a", t): 10.0, ("b", t): 50.0, ("a", t + timedelta(days=1)): 30.0}
+    old = set((tmp_path / "table" / "city=b").rglob("*.parquet"))
+    got = run(("a", 1, t + timedelta(minutes=30), 20.0))  # weeks later it would count as well
+    assert got[("a", t)] == 15.0 and got[("b", t)] == 50.0 and len(got) == 3
+    assert set((tmp_path / "table" / "city=b").rglob("*.parquet")) == old
 
 
 def test_sliding_fire_fraction(spark, tmp_path):
