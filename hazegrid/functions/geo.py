@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
 KM_PER_DEGREE = 111.32
+_BITS = 21
 _SHIFT = 2_097_152  # q stride; r lives below it
+_BAND = 1 << (2 * _BITS)  # above q and r: the latitude at which a local cell is true to scale; 0 is the grid's own
+_BAND_DEG = 0.25
 _BIAS = 1_048_576  # keeps q and r non-negative
 _ROOT3 = math.sqrt(3.0)
 
@@ -111,7 +114,7 @@ def pack(q: Column, r: Column) -> Column:
 
 
 def cell_q(cell: Column) -> Column:
-    return F.floor(cell / F.lit(_SHIFT)).cast("long") - _BIAS
+    return F.shiftright(cell, _BITS).bitwiseAND(F.lit(_SHIFT - 1)) - _BIAS
 
 
 def cell_r(cell: Column) -> Column:
@@ -126,8 +129,10 @@ def latlng_to_cell(lat: Column, lon: Column, grid: Grid = Grid()) -> Column:
     the planner inlines it.
     """
     unit = grid.edge_km * _ROOT3
-    x = lon * (grid.km_per_lon / unit)
-    y = lat * (KM_PER_DEGREE * _ROOT3 / unit)
+    return _hex_at(lon * (grid.km_per_lon / unit), lat * (KM_PER_DEGREE * _ROOT3 / unit))
+
+
+def _hex_at(x: Column, y: Column) -> Column:
     diagonal = F.floor(y + x + 1.0)
     across = F.floor((F.floor(x * 2.0 + 1.0) + diagonal) / 3)
     r = F.floor((diagonal + F.floor(y - x + 1.0)) / 3)
@@ -135,6 +140,31 @@ def latlng_to_cell(lat: Column, lon: Column, grid: Grid = Grid()) -> Column:
     return (across + _BIAS) * F.lit(_SHIFT) + _BIAS - r * F.lit(_SHIFT - 1)
 
 
+# Local cells: the same hexes over a plane that is true to scale at the cell's own latitude band, which the id
+# carries. A neighbour is still ``cell + constant``, and ring radii hold their kilometres from the equator to the pole.
+
+
+def local_band(lat: Column) -> Column:
+    """Band of a reference latitude, usually the middle of a city."""
+    return F.floor((lat + 90.0) / _BAND_DEG + 0.5).cast("long") + 1
+
+
+def _band_km_per_lon(band: Column) -> Column:
+    return F.greatest(F.cos(F.radians((band - 1) * _BAND_DEG - 90.0)), F.lit(1e-6)) * KM_PER_DEGREE
+
+
+def local_cell(lat: Column, lon: Column, band: Column, grid: Grid = Grid()) -> Column:
+    """Id of the local hex of a point; all points to be compared take the band of their city."""
+    unit = grid.edge_km * _ROOT3
+    return _hex_at(lon * (_band_km_per_lon(band) / unit), lat * (KM_PER_DEGREE * _ROOT3 / unit)) + band * F.lit(_BAND)
+
+
+def local_lon(cell: Column, grid: Grid = Grid()) -> Column:
+    """Longitude of a local cell's centre; its latitude is ``cell_lat``."""
+    x = (cell_q(cell) * _ROOT3 + cell_r(cell) * (_ROOT3 / 2)) * grid.edge_km
+    return x / _band_km_per_lon(F.shiftright(cell, 2 * _BITS))
+
+
 def cell_lat(cell: Column, grid: Grid = Grid()) -> Column:
     return cell_r(cell) * (1.5 * grid.edge_km) / KM_PER_DEGREE
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -117,11 +117,21 @@ def _select(packed: DataFrame, by: Sequence[str]) -> DataFrame:
     return ranked.groupBy(*key).agg(F.first("_pos").alias("_pos"), at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi"))
 
 
+def _linear(n: Column, p: float) -> Column:
+    return (n - 1) * F.lit(float(p))
+
+
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    position: Callable[[Column, float], Column] = _linear,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, whatever the group's share of the rows.
 
+    ``position`` gives the place of a quantile among n sorted values from 0, within a few places of (n - 1) p.
+
     Ranks are selected level by level. A mergeable sketch first brackets each quantile.
     Everything below the bracket collapses into one counted row and everything above is
     dropped, both before the shuffle. The distinct values of the bracket stay spread by
@@ -129,7 +139,7 @@ def exact_quantiles(
     sorted: no task sees a bracket whole. Groups of few rows skip the bracket, not the ranges.
     """
     by, names = list(by), list(probs)
-    picked = _select(_packed(df, by, value, list(probs.values())), by)
+    picked = _select(_packed(df, by, value, list(probs.values()), position), by)
     frac = F.col("_pos") - F.floor("_pos")
     value_at = F.when(frac == 0, F.col("_lo")).otherwise(
         (F.ceil("_pos") - F.col("_pos")) * F.col("_lo") + frac * F.col("_hi")
@@ -141,7 +151,9 @@ def exact_quantiles(
     )
 
 
-def _packed(df: DataFrame, by: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+def _packed(
+    df: DataFrame, by: list[str], value: str, probs: Sequence[float], position: Callable[[Column, float], Column] = _linear
+) -> DataFrame:
     """(by, _i, _pos, _range, _v, _c): counted distinct values of each quantile's bracket, and what lies below in one row."""
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
@@ -159,7 +171,7 @@ def _packed(df: DataFrame, by: list[str], value: str, probs: Sequence[float]) ->
         whole = F.col("_n") <= _SMALL_GROUP
         low_edge = F.lit(p - pad <= 0.0) | whole
         high_edge = F.lit(p + pad >= 1.0) | whole
-        pos = (F.col("_n") - 1) * F.lit(float(p))
+        pos = position(F.col("_n"), p)
         specs.append(
             F.struct(
                 F.lit(i).alias("i"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hazegrid.functions.aqi import aqi, aqi_band
 from hazegrid.functions.geo import round_to
@@ -89,3 +90,44 @@ def ledger_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("city").agg(
         F.count("*").alias("n_actions"), F.count_if(F.col("status") == "actioned").alias("n_actioned")
     )
+
+
+EFFECT_HOURS = 72
+
+
+def realised_effect(actions: DataFrame, forecast: DataFrame, field: DataFrame, hours: int = EFFECT_HOURS, step: int = 3) -> DataFrame:
+    """What happened after each action, less what its frozen forecast expected.
+
+    ``actions`` holds city, action_id, zone_id, cells, issued_at (when the forecast was frozen) and actioned_at;
+    ``forecast`` city, cell, issued_at, horizon_h (every ``step`` hours), pm25_hat; ``field`` city, cell, ts, pm25_hat.
+    Returns city, action_id, zone_id, n_hours, realised, expected (means over the hours in (actioned_at, + ``hours``] and
+    the cells), mean_change, accumulated (the sum of hourly changes) and shared_hours, those in which another action on
+    the same zone was in its own time as well, so that the change is not its alone. Actions never carried out, or
+    without a field or forecast hour, have none.
+
+    An interval join in buckets: an action's cells are spread over the days it reaches, meet the field there, and the
+    hour decides. An hour takes the next horizon at or after it.
+    """
+    last = F.col("actioned_at") + F.make_dt_interval(hours=F.lit(hours))
+    days = F.explode(F.sequence(F.to_date("actioned_at"), F.to_date(last)))
+    spread = actions.where("actioned_at IS NOT NULL").select(
+        "city", "action_id", "zone_id", "issued_at", "actioned_at", last.alias("_last"), days.alias("_day"), "cells"
+    )
+    spread = spread.withColumn("cell", F.explode("cells")).drop("cells")
+    dated = field.select("city", "cell", F.to_date("ts").alias("_day"), "ts", F.col("pm25_hat").alias("_real"))
+    met = spread.join(dated, ["city", "cell", "_day"]).where("ts > actioned_at AND ts <= _last")
+    lead = (F.unix_timestamp("ts") - F.unix_timestamp("issued_at")) / 3600
+    met = met.withColumn("horizon_h", (F.ceil(lead / step) * step).cast("int"))
+    frozen = forecast.select("city", "cell", "issued_at", F.col("horizon_h").cast("int").alias("horizon_h"), F.col("pm25_hat").alias("_hat"))
+    hourly = (
+        met.join(frozen, ["city", "cell", "issued_at", "horizon_h"])
+        .groupBy("city", "zone_id", "ts", "action_id")
+        .agg(F.avg("_real").alias("_real"), F.avg("_hat").alias("_hat"))
+    )
+    # A zone's hour holds as many rows as actions run on it at once.
+    others = F.count("*").over(Window.partitionBy("city", "zone_id", "ts")) > 1
+    change = F.col("_real") - F.col("_hat")
+    return hourly.withColumn("_shared", others).groupBy("city", "action_id", "zone_id").agg(
+        F.count("*").alias("n_hours"), F.avg("_real").alias("realised"), F.avg("_hat").alias("expected"),
+        F.avg(change).alias("mean_change"), F.sum(change).alias("accumulated"), F.count_if("_shared").alias("shared_hours"),
+    )

@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazegrid.functions.geo import (
+    _BAND,
     EARTH_RADIUS_KM,
+    KM_PER_DEGREE,
     Grid,
     Offset,
     cell_lat,
     cell_lon,
+    cell_q,
     haversine_km,
     latlng_to_cell,
+    local_band,
+    local_cell,
+    local_lon,
     offset_array,
     pack,
     point_in_any,
@@ -64,6 +70,29 @@ def city_cells(cities: DataFrame, grid: Grid = Grid()) -> DataFrame:
     return out.where(inside).select("city", "cell", "lat", "lon")
 
 
+def stamp_local(df: DataFrame, cities: DataFrame, grid: Grid = Grid(), lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Add the local cell of each point, on the plane of its city; ``cities`` is as in ``city_cells``."""
+    bands = cities.select("city", local_band((F.col("lat_min") + F.col("lat_max")) / 2).alias("_band"))
+    return df.join(bands, "city").withColumn("cell", local_cell(F.col(lat), F.col(lon), F.col("_band"), grid)).drop("_band")
+
+
+def local_city_cells(cities: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """(city, cell, lat, lon) as ``city_cells``, of hexes that are true to scale in each city."""
+    row_deg = 1.5 * grid.edge_km / KM_PER_DEGREE
+    band = local_band((F.col("lat_min") + F.col("lat_max")) / 2)
+    rows = cities.withColumn("_band", band).withColumn(
+        "_r", F.explode(F.sequence(F.floor(F.col("lat_min") / row_deg), F.ceil(F.col("lat_max") / row_deg)))
+    )
+    rows = rows.repartition("city", "_r")
+    # Two corners of the box tell the row's hexes.
+    q_at = lambda lon: cell_q(local_cell(F.col("_r") * row_deg, F.col(lon), F.col("_band"), grid))
+    cells = rows.withColumn("_q", F.explode(F.sequence(q_at("lon_min") - 1, q_at("lon_max") + 1)))
+    cells = cells.withColumn("cell", pack(F.col("_q"), F.col("_r")) + F.col("_band") * F.lit(_BAND))
+    out = cells.withColumns({"lat": cell_lat(F.col("cell"), grid), "lon": local_lon(F.col("cell"), grid)})
+    inside = "lat >= lat_min AND lat < lat_max AND lon >= lon_min AND lon < lon_max"
+    return out.where(inside).select("city", "cell", "lat", "lon")
+
+
 def _boxes_round(band: Column, size_deg: float) -> Column:
     """Boxes of a latitude band: as many of at least the band's height as fit round the globe there."""
     widest = F.greatest(F.cos(F.radians((band + 0.5) * size_deg)), F.lit(0.0))
