@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hazegrid.functions.boosting import Boosted
 from hazegrid.functions.geo import round_to
 from hazegrid.functions.stats import r_squared, rmse
+from hazegrid.operators.trees import Models, fit_by_city, importances, score_by_city
 from hazegrid.session import materialise
 
 # Model inputs.
@@ -22,8 +19,8 @@ FEATURES = [
     "lu_industrial", "lu_construction", "lu_waste_burning", "lu_traffic", "lu_road", "hour", "dow",
 ]
 LABEL = "pm25_station"
-FIELD_SETTINGS = {"rounds": 400, "leaves": 63, "rate": 0.06, "columns": 0.9, "rows": 0.8, "min_leaf": 40}
-HOLDOUT_SETTINGS = FIELD_SETTINGS | {"rounds": 250}
+FIELD_SETTINGS = {"maxIter": 20, "maxDepth": 6, "stepSize": 0.2, "subsamplingRate": 0.8, "minInstancesPerNode": 40, "maxBins": 64}
+HOLDOUT_SETTINGS = FIELD_SETTINGS | {"maxIter": 8, "maxDepth": 5}
 
 
 def labelled(panel: DataFrame) -> DataFrame:
@@ -39,67 +36,24 @@ def residual_target(lab: DataFrame, baseline: DataFrame) -> DataFrame:
     return lab.join(baseline, ["city", "ts"]).withColumn("resid", F.col(LABEL) - F.col("baseline"))
 
 
-def as_numbers(rows: pd.DataFrame, inputs: list[str]) -> np.ndarray:
-    """Inputs as doubles, NaN for missing."""
-    return rows[inputs].apply(pd.to_numeric).to_numpy(dtype=np.float64)
-
-
-def fit_by_city(rows: DataFrame, inputs: list[str], label: str, settings: dict) -> DataFrame:
-    """(city, model: binary, gains: array<double>): one model for each city, fitted in a task of its own.
-
-    A city's labelled rows are bounded by its stations and the calendar.
-    """
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        model = Boosted(**settings).fit(as_numbers(group, inputs), group["_y"].to_numpy())
-        return pd.DataFrame({"city": [group["city"].iloc[0]], "model": [pickle.dumps(model)], "gains": [model.gain.tolist()]})
-
-    used = rows.where(F.col(label).isNotNull()).select("city", *inputs, F.col(label).alias("_y"))
-    return used.groupBy("city").applyInPandas(fit, "city string, model binary, gains array<double>")
-
-
-def score_by_city(rows: DataFrame, models: DataFrame, inputs: list[str], part: Column, out: str = "pred") -> DataFrame:
-    """``rows`` with the prediction of their city's model; ``part`` cuts a city into groups that one task can hold.
-
-    Models travel to the parts of their city, never to the driver. A city without a model has no rows in the result.
-    """
-    columns = rows.columns
-    parted = rows.withColumn("_part", part)
-    copies = parted.select("city", "_part").distinct().join(models.select("city", "model"), "city")
-    copies = copies.select(F.col("city").alias("m_city"), F.col("_part").alias("m_part"), "model")
-
-    def score(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if not len(model) or not len(group):
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in [*columns, out]})
-        hat = pickle.loads(model["model"].iloc[0]).predict(as_numbers(group, inputs))
-        return group[columns].assign(**{out: hat})
-
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
-    return parted.groupBy("city", "_part").cogroup(copies.groupBy("m_city", "m_part")).applyInPandas(score, schema)
-
-
-def fit_field(lab: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
+def fit_field(lab: DataFrame, **settings) -> tuple[Models, DataFrame]:
     """(models, baseline): the deviation from the city's hourly median, learned city by city."""
     baseline = city_baseline(lab)
     return fit_by_city(residual_target(lab, baseline), FEATURES, "resid", FIELD_SETTINGS | settings), baseline
 
 
-def predict_field(models: DataFrame, panel: DataFrame, baseline: DataFrame) -> DataFrame:
+def predict_field(models: Models, panel: DataFrame, baseline: DataFrame) -> DataFrame:
     """(city, cell, ts, pm25_hat): baseline of the hour (else the median of the city's) plus residual."""
     typical = baseline.groupBy("city").agg(F.median("baseline").alias("_typical"))
-    rows = panel.select("city", "cell", "ts", *FEATURES)
-    scored = score_by_city(rows, models, FEATURES, F.to_date("ts"))
+    scored = score_by_city(panel.select("city", "cell", "ts", *FEATURES), models, FEATURES)
     joined = scored.join(baseline, ["city", "ts"], "left").join(F.broadcast(typical), "city", "left")  # one row per city
     return joined.select("city", "cell", "ts", (F.coalesce("baseline", "_typical") + F.col("pred")).alias("pm25_hat"))
 
 
-def feature_importance(models: DataFrame, inputs: list[str] = FEATURES, top: int | None = None) -> DataFrame:
+def feature_importance(spark: SparkSession, models: Models, inputs: list[str] = FEATURES, top: int | None = None) -> DataFrame:
     """(city, rank, feature, weight): inputs of each city's model by their share of the gain; the ``top`` of them, or all."""
-    named = models.select("city", F.posexplode("gains").alias("_i", "gain"))
-    total = F.sum("gain").over(Window.partitionBy("city"))
-    rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("gain"), "_i"))
-    feature = F.get(F.array(*[F.lit(x) for x in inputs]), F.col("_i"))
-    out = named.select("city", rank.alias("rank"), feature.alias("feature"), (F.col("gain") / F.nullif(total, F.lit(0.0))).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("weight"), "position"))
+    out = importances(spark, models, inputs).select("city", rank.alias("rank"), "feature", "weight")
     return out if top is None else out.where(F.col("rank") <= top)
 
 
@@ -134,30 +88,32 @@ def others_median(lab: DataFrame) -> DataFrame:
     return near.withColumn("others_med", F.when(F.col("_m") > 0, one * 0.5 + two * 0.5)).drop("_p", "_m", *at)
 
 
-def holdout_validation(panel: DataFrame, **settings) -> DataFrame:
-    """Leave one station cell out at a time: (city, cell, n, rmse, r2, n_stations, mean_pm25, naive_citymean_rmse).
+def holdout_validation(panel: DataFrame, folds: int | None = None, **settings) -> DataFrame:
+    """Leave stations out: (city, cell, n, rmse, r2, n_stations, mean_pm25, naive_citymean_rmse).
 
-    A row for each station cell and one with a null cell for the whole city; the last three columns
-    are the city's. Each (city, held-out cell) is a group with a fit of its own, dealt out by Spark;
-    the baseline of a fit never sees its held-out cell.
+    A row for each station cell and one with a null cell for the whole city; the last three columns are the city's.
+    The station cells of a city are dealt into ``folds`` parts, one station a part by default; a fit never sees the
+    stations it is scored on, nor does its baseline. A fold is a filter on a column: no row is copied, and each of the
+    fits is distributed. A city needs two stations at least.
     """
     lab = labelled(panel).select("city", "cell", "ts", LABEL, *FEATURES)
-    held = lab.select("city", F.col("cell").alias("held")).distinct()
-    options = HOLDOUT_SETTINGS | settings
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        test = group["cell"] == group["held"]
-        train, test = group[~test], group[test]
-        if not len(train):
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in ("city", "cell", "y", "hat")})
-        baseline = train.groupby("ts")[LABEL].median()
-        model = Boosted(**options).fit(as_numbers(train, FEATURES), (train[LABEL] - train["ts"].map(baseline)).to_numpy())
-        base = test["ts"].map(baseline).fillna(baseline.median())
-        hat = base.to_numpy() + model.predict(as_numbers(test, FEATURES))
-        return pd.DataFrame({"city": test["city"], "cell": test["cell"], "y": test[LABEL], "hat": hat})
-
-    folds = lab.join(held, "city").groupBy("city", "held").applyInPandas(fold, "city string, cell long, y double, hat double")
-    scores = materialise(folds).groupingSets([("city", "cell"), ("city",)], "city", "cell").agg(
+    order = F.row_number().over(Window.partitionBy("city").orderBy("cell")) - 1  # one row a station
+    stations = lab.select("city", "cell").distinct().withColumn("_fold", order if folds is None else order % folds)
+    dealt = materialise(lab.join(stations, ["city", "cell"]))
+    many = dealt.groupBy("city").agg(F.countDistinct("_fold").alias("n")).where("n > 1")
+    dealt = dealt.join(F.broadcast(many.select("city")), "city")  # one row per city
+    parts = []
+    for k in range(dealt.agg(F.coalesce(F.max("_fold"), F.lit(-1))).first()[0] + 1):
+        # A city without a fold k has no rows to score, and none is fitted for it.
+        test = dealt.where(F.col("_fold") == k)
+        train = dealt.join(F.broadcast(test.select("city").distinct()), "city").where(F.col("_fold") != k)
+        baseline = materialise(city_baseline(train))
+        models = fit_by_city(residual_target(train, baseline), FEATURES, "resid", HOLDOUT_SETTINGS | settings)
+        typical = baseline.groupBy("city").agg(F.median("baseline").alias("_typical"))
+        scored = score_by_city(test, models, FEATURES).join(baseline, ["city", "ts"], "left").join(F.broadcast(typical), "city")
+        parts.append(materialise(scored.select("city", "cell", F.col(LABEL).alias("y"), (F.coalesce("baseline", "_typical") + F.col("pred")).alias("hat"))))
+    scored = reduce(DataFrame.unionByName, parts) if parts else dealt.select("city", "cell", F.col(LABEL).alias("y"), F.col(LABEL).alias("hat")).limit(0)
+    scores = scored.groupingSets([("city", "cell"), ("city",)], "city", "cell").agg(
         F.count("*").alias("n"),
         round_to(rmse(F.col("y"), F.col("hat")), 2).alias("rmse"),
         round_to(r_squared(F.col("y"), F.col("hat")), 3).alias("r2"),

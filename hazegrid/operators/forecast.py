@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from hazegrid.functions.aqi import aqi, aqi_category
 from hazegrid.functions.geo import round_to
 from hazegrid.functions.stats import rmse, rolling_medians, skill_pct
-from hazegrid.operators.exposure import LABEL, fit_by_city, score_by_city
+from hazegrid.operators.exposure import LABEL
+from hazegrid.operators.trees import Models, fit_by_city, score_by_city
 from hazegrid.session import materialise
 
 # Fixed values.
@@ -23,7 +24,7 @@ ROLLS = {"roll_med_24": (24, 6), "roll_med_168": (168, 24)}
 TEST_TAIL_DAYS = 14
 MIN_TRAIN_ROWS = 200
 URGENT_RISE = 20.0
-FORECAST_SETTINGS = {"rounds": 400, "leaves": 31, "rate": 0.05, "columns": 0.8, "rows": 0.8, "min_leaf": 30}
+FORECAST_SETTINGS = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.2, "subsamplingRate": 0.8, "minInstancesPerNode": 30, "maxBins": 64}
 
 SERIES = ["city", "cell"]
 _NEED = ["lag_0", "lag_24", "roll_med_24"]
@@ -182,11 +183,10 @@ def complete_horizons(scores: DataFrame, cities: DataFrame, horizons: Sequence[i
     )
 
 
-def fit_forecast(train: DataFrame, **settings) -> tuple[DataFrame, list[str]]:
+def fit_forecast(train: DataFrame, **settings) -> tuple[Models, list[str]]:
     """(models by city, inputs); a city with fewer than ``MIN_TRAIN_ROWS`` rows gets no model."""
     cols = feature_columns(train)
-    enough = train.groupBy("city").count().where(F.col("count") >= MIN_TRAIN_ROWS).select("city")
-    return fit_by_city(train.join(enough, "city", "left_semi"), cols, "y", FORECAST_SETTINGS | settings), cols
+    return fit_by_city(train, cols, "y", FORECAST_SETTINGS | settings, least=MIN_TRAIN_ROWS), cols
 
 
 def forecast_eval(panel: DataFrame, oracle_met: bool = False, settings: dict | None = None, **kw) -> DataFrame:
@@ -197,7 +197,7 @@ def forecast_eval(panel: DataFrame, oracle_met: bool = False, settings: dict | N
     """
     frame = materialise(evaluation_frame(panel, oracle_met=oracle_met, **kw))
     models, cols = fit_forecast(frame.where(~F.col("is_test")), **(settings or {}))
-    scored = score_by_city(frame.where("is_test"), materialise(models), cols, F.col("horizon"))
+    scored = score_by_city(frame.where("is_test"), models, cols)
     return complete_horizons(score_forecast(scored, "pred"), panel.select("city"))
 
 
@@ -230,12 +230,12 @@ def forecast_series(panel: DataFrame, field: DataFrame) -> DataFrame:
 
 
 def forecast_field(
-    panel: DataFrame, field: DataFrame, models: DataFrame, cols: list[str], horizons: Sequence[int] = tuple(HORIZONS)
+    panel: DataFrame, field: DataFrame, models: Models, cols: list[str], horizons: Sequence[int] = tuple(HORIZONS)
 ) -> DataFrame:
     """(city, cell, horizon_h, pm25_hat, urgency) at every lead from the newest hour."""
     base = latest_features(forecast_series(panel, field))
     leads = target_clock(base.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))))
-    out = score_by_city(leads, models, cols, F.col("horizon"))
+    out = score_by_city(leads, models, cols)
     return out.select(
         "city",
         "cell",

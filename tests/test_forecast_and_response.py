@@ -57,7 +57,7 @@ def test_latest_features_equal_the_window_form(spark, series):
 
 def test_eval_reports_every_horizon_and_beats_nothing_by_magic(spark, series):
     df = series.withColumns({c: F.lit(1.0) for c in forecast.MET}).withColumns({c: F.lit(1) for c in forecast.STATIC})
-    scores = forecast.forecast_eval(df, settings={"rounds": 30}).collect()
+    scores = forecast.forecast_eval(df, settings={"maxIter": 10}).collect()
     assert sorted(r.horizon for r in scores) == forecast.HORIZONS
     assert all(np.isfinite(r.rmse_model) and r.rmse_persistence > 0 for r in scores if r.n_test)
     few = df.where("ts < timestamp'2024-01-02'")
@@ -177,20 +177,21 @@ def test_min_max_of_a_flat_layer_and_search(spark):
     assert [r.ward_id for r in serving.search_wards(w, " ALP").collect()] == ["W001"] and serving.search_wards(w, " ").isEmpty()
 
 
-def test_boosted_trees_learn_steps_and_missing_values():
-    import numpy as np
+def test_trees_learn_steps_and_missing_values_city_by_city(spark):
+    from hazegrid.operators import trees
 
-    from hazegrid.functions.boosting import Boosted
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 4))
-    x[rng.random(x.shape) < 0.2] = np.nan
-    y = np.where(np.isnan(x[:, 0]), 5.0, np.sign(x[:, 0])) + 0.1 * rng.normal(size=1500)
-    model = Boosted(rounds=60, rate=0.2, min_leaf=20).fit(x[:1200], y[:1200])
-    assert np.sqrt(np.mean((model.predict(x[1200:]) - y[1200:]) ** 2)) < 0.2
-    assert model.gain.argmax() == 0
-    flat = Boosted(rounds=5).fit(x[:10], y[:10])  # too few rows for a split
-    assert len(set(flat.predict(x[:50]))) == 1
+    r = F.rand(3) * 4 - 2
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("city"), F.when(F.rand(1) > 0.2, r).alias("x"), F.rand(5).alias("noise"), "id")
+    step = F.when(F.col("x").isNull(), 5.0).otherwise(F.signum("x")) * F.when(F.col("city") == "a", 1).otherwise(-1)
+    rows = rows.withColumn("y", step + 0.05 * F.col("noise")).unionByName(spark.createDataFrame([("few", 1.0, 1.0, 1, 1.0), ("a", 1.0, 1.0, 1, None)], "city string, x double, noise double, id long, y double"))
+    models = trees.fit_by_city(rows, ["noise", "x"], "y", {"maxIter": 15, "maxDepth": 3, "stepSize": 0.3}, least=2)
+    assert set(models) == {"a", "b"}
+    scored = trees.score_by_city(rows, models, ["noise", "x"])
+    assert scored.columns == [*rows.columns, "pred"] and scored.where("city = 'few'").isEmpty()
+    assert scored.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("pred"), 2)))).first()[0] < 0.2
+    ranked = {(r.city, r["rank"]): r for r in exposure.feature_importance(spark, models, ["noise", "x"]).collect()}
+    assert ranked["a", 1].feature == "x" and ranked["b", 1].weight > 0.9 and len(ranked) == 4
+    assert trees.score_by_city(rows, {}, ["x"]).count() == 0
 
 
 def test_leave_one_station_out_has_a_row_for_each_station_and_city(spark):
@@ -202,7 +203,7 @@ def test_leave_one_station_out_has_a_row_for_each_station_and_city(spark):
             for h in range(60):
                 rows.append((city, cell, datetime(2024, 1, 1 + h // 24, h % 24), level + 10 * cell + h % 5, *[float(cell + i) for i in range(len(FEATURES))]))
     schema = "city string, cell long, ts timestamp, pm25_station double, " + ", ".join(f"{f} double" for f in FEATURES)
-    got = exposure.holdout_validation(spark.createDataFrame(rows, schema), rounds=5, min_leaf=20).collect()
+    got = exposure.holdout_validation(spark.createDataFrame(rows, schema), maxIter=3, minInstancesPerNode=20).collect()
     assert len(got) == 2 * 5 and {(r.city, r.cell) for r in got} >= {("a", None), ("b", 3)}
     city = next(r for r in got if r.city == "a" and r.cell is None)
     assert city.n == 240 and city.n_stations == 4 and city.mean_pm25 == 67.0

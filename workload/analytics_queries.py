@@ -360,8 +360,7 @@ def _(f: Feeds) -> DataFrame:
 
 def _field_model(f: Feeds):
     lab = materialise(exposure.labelled(f.panel))
-    models, baseline = exposure.fit_field(lab)
-    return materialise(models), baseline
+    return exposure.fit_field(lab)
 
 
 @query("m3_fit_predict_field")
@@ -373,7 +372,7 @@ def _(f: Feeds) -> DataFrame:
 
 @query("m4_station_holdout")
 def _(f: Feeds) -> DataFrame:
-    return exposure.holdout_validation(f.panel)
+    return exposure.holdout_validation(f.panel, folds=3)
 
 
 @query("m5_naive_citymean_loso", f"""SELECT city, count(*) AS n, {sfx('sqrt(avg(power(pm25_station - (s - pm25_station) / (k - 1), 2)))')} AS naive_citymean_rmse FROM lab JOIN (SELECT city, ts, sum(pm25_station) AS s, count(*) AS k FROM lab GROUP BY ALL) USING (city, ts) WHERE k > 1 GROUP BY ALL""")
@@ -384,7 +383,7 @@ def _(f: Feeds) -> DataFrame:
 @query("m6_feature_importance")
 def _(f: Feeds) -> DataFrame:
     model, _ = _field_model(f)
-    return exposure.feature_importance(model, top=5)
+    return exposure.feature_importance(f.spark, model, top=5)
 
 
 @query("m7_field_snapshot", f"SELECT city, {ts('ts')} AS ts, cell, coalesce(ward_id, 'unassigned') AS ward_id, {rnd('pm25_hat', 1)} AS pm25 FROM field_now LEFT JOIN wards USING (city, cell)")
@@ -472,7 +471,7 @@ def _(f: Feeds) -> DataFrame:
 def _(f: Feeds) -> DataFrame:
     train = materialise(forecast.pooled(f.labelled))
     model, cols = forecast.fit_forecast(train)
-    return forecast.forecast_field(f.panel, f.field, materialise(model), cols)
+    return forecast.forecast_field(f.panel, f.field, model, cols)
 
 
 cte("series", "SELECT f.city, f.cell, f.ts, coalesce(l.pm25_station, f.pm25_hat) AS v, row_number() OVER (PARTITION BY f.city, f.cell ORDER BY f.ts DESC) AS n FROM field f LEFT JOIN lab l USING (city, cell, ts)")
