@@ -141,3 +141,35 @@ def audio_worklist(advisories: DataFrame, manifest: DataFrame, top: int | None =
     wanted = top_risk_wards(advisories, top).select("city", "ward_id", F.explode("texts").alias("lang", "text"))
     hashed = wanted.where(F.length("text") > 0).withColumn("text_hash", F.sha2("text", 256))
     return hashed.join(manifest.select("city", "ward_id", "lang", "text_hash"), ["city", "ward_id", "lang", "text_hash"], "left_anti")
+
+
+def audio_manifest(
+    advisories: DataFrame, previous: DataFrame, files: DataFrame, made: DataFrame, voices: DataFrame, top: int | None = None
+) -> DataFrame:
+    """(city, ward_id, lang, path, voice, chars, bytes, text_hash, text_verification, state) for every text to be spoken.
+
+    ``previous`` is the last manifest, ``files`` the paths that still exist, ``made`` (city, ward_id, lang, bytes) what the
+    speech service has returned this time, ``voices`` (lang, voice) the configured voices. State 'reused': the text is the
+    one of the last manifest and its file is there, so its old entry stands. 'made': a new entry. 'failed': the service
+    gave nothing. 'no_voice': the language has none. Failed and voiceless texts have no path; the text itself still ships.
+    """
+    wanted = top_risk_wards(advisories, top).select("city", "ward_id", "verification", F.explode("texts").alias("lang", "text"))
+    wanted = wanted.where(F.length("text") > 0).select(
+        "city", "ward_id", "lang", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"),
+        F.try_element_at("verification", F.col("lang")).alias("text_verification"),
+    )
+    key = ["city", "ward_id", "lang"]
+    old = previous.join(files.select("path").distinct(), "path", "left_semi").groupBy(*key, "text_hash").agg(
+        F.max_by(F.struct("path", "voice", F.col("bytes").cast("long").alias("bytes")), "path").alias("_old")
+    )
+    new = made.where("bytes IS NOT NULL").groupBy(*key).agg(F.max(F.col("bytes").cast("long")).alias("_bytes"))
+    joined = wanted.join(old, [*key, "text_hash"], "left").join(new, key, "left").join(F.broadcast(voices.select("lang", F.col("voice").alias("_voice"))), "lang", "left")
+    state = (
+        F.when(F.col("_voice").isNull(), "no_voice").when(F.col("_old").isNotNull(), "reused").when(F.col("_bytes").isNotNull(), "made").otherwise("failed")
+    )
+    own = F.concat(F.lit("audio/"), F.col("ward_id"), F.lit("_"), F.col("lang"), F.lit(".mp3"))
+    pick = lambda old, new: F.when(F.col("state") == "reused", F.col(f"_old.{old}")).when(F.col("state") == "made", new)
+    return joined.withColumn("state", state).select(
+        *key, pick("path", own).alias("path"), pick("voice", F.col("_voice")).alias("voice"), "chars",
+        pick("bytes", F.col("_bytes")).alias("bytes"), "text_hash", "text_verification", "state",
+    )

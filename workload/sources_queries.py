@@ -403,12 +403,13 @@ def _(f: Feeds) -> DataFrame:
 
 @query("s8_cell_distance", f"""SELECT a.city, a.cell AS a, b.cell AS b, {sfx(hav(lat_c('a.cell'), lon_c('a.cell'), lat_c('b.cell'), lon_c('b.cell')))} AS km,
   ((abs({q_of('a.cell')} - {q_of('b.cell')}) + abs({r_of('a.cell')} - {r_of('b.cell')}) + abs({q_of('a.cell')} - {q_of('b.cell')} + {r_of('a.cell')} - {r_of('b.cell')})) // 2)::INTEGER AS hexes
-  FROM (SELECT DISTINCT city, cell FROM stations) a JOIN hot b ON b.city = a.city AND b.ward_id = 'W001'""")
+  FROM (SELECT DISTINCT city, cell FROM stations) a JOIN hot b ON b.city = a.city WHERE {hav(lat_c('a.cell'), lon_c('a.cell'), lat_c('b.cell'), lon_c('b.cell'))} <= 3e0""")
 def _(f: Feeds) -> DataFrame:
-    a = f.stations.select("city", F.col("cell").alias("a")).distinct()
-    b = f.hot.where("ward_id = 'W001'").select("city", F.col("cell").alias("b"))
+    """Every hot cell with the station cells within 3 km."""
+    a = spatial.add_centre(f.stations.select("city", "cell").distinct(), GRID).withColumnRenamed("cell", "a")
+    b = spatial.add_centre(f.hot.select("city", "cell"), GRID, "t_lat", "t_lon").withColumnRenamed("cell", "b")
     x, y = F.col("a"), F.col("b")
-    return a.join(b, "city").select("city", "a", "b", fx(geo.cell_distance_km(x, y, GRID)).alias("km"), geo.hex_distance(x, y).alias("hexes"))
+    return spatial.within_km(a, b, 3.0).select("city", "a", "b", fx(geo.cell_distance_km(x, y, GRID)).alias("km"), geo.hex_distance(x, y).alias("hexes"))
 
 
 @query("s10_point_in_polygon", """SELECT city, station_id, min(pos) AS ward_pos, any_value(n) AS n FROM (SELECT city, station_id, n, pos FROM (SELECT s.city, s.station_id, s.n, e.pos, e.ring,
