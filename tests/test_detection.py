@@ -99,7 +99,7 @@ def judged(spark, sites=(), **facts):
 def test_no_evidence_is_the_lowest_confidence_and_first_category(spark):
     r = judged(spark)
     assert (r.primary_source, r.confidence) == ("industrial", 0.05)
-    assert r.evidence_factors == ["no corroborating evidence beyond weak land-use context"]
+    assert r.evidence_factors == ["land use alone"]
 
 
 def test_fire_outranks_a_site_next_door(spark):

@@ -279,7 +279,7 @@ _best = {c: f"coalesce(max(CASE WHEN type = '{c}' THEN wind_alignment * exp(-dis
 cte("zev", f"""SELECT z.*, r.hour, r.pm25_hat, {', '.join(f'floor(r.lu_{c})::INTEGER AS lu_{c}' for c in _CAT)}, g.* EXCLUDE (city, zone_id), i.* EXCLUDE (city, zone_id), m.* EXCLUDE (city, zone_id),
   coalesce(c.n_reports, 0) AS n_reports, {', '.join(f'coalesce(c.n_{k}, 0) AS n_{k}, coalesce(b.b_{k}, 0e0) AS b_{k}, coalesce(b.s_{k}, FALSE) AS up_{k}, b.t_{k}' for k in _CAT)}
   FROM zones z JOIN zrow r USING (city, zone_id) JOIN zsig g USING (city, zone_id) JOIN zfire i USING (city, zone_id) JOIN zmet m USING (city, zone_id) LEFT JOIN zcit c USING (city, zone_id)
-  LEFT JOIN (SELECT city, zone_id, {', '.join(_best.values())}, {', '.join(f"bool_or(type = '{c}' AND wind_alignment > 0.4) AS s_{c}, min_by(name || ' is ' || distance_km || ' km away, wind alignment ' || wind_alignment, rank) FILTER (WHERE type = '{c}') AS t_{c}" for c in _CAT)}
+  LEFT JOIN (SELECT city, zone_id, {', '.join(_best.values())}, {', '.join(f"bool_or(type = '{c}' AND wind_alignment > 0.4) AS s_{c}, min_by(name || ' lies ' || distance_km || ' km off, upwind match ' || wind_alignment, rank) FILTER (WHERE type = '{c}') AS t_{c}" for c in _CAT)}
     FROM zcand GROUP BY ALL) b USING (city, zone_id)""")
 _add = {c: f"b_{c}" for c in _CAT}
 _add["traffic"] = "(b_traffic + CASE WHEN no2_col_pct >= 80 AND (hour BETWEEN 7 AND 10 OR hour BETWEEN 17 AND 20) THEN 0.8e0 ELSE 0e0 END)"
@@ -300,12 +300,12 @@ cte("zagree", f"""SELECT *, least(coalesce({_of('up_')}, FALSE)::INTEGER + (prim
 _margin = "(ranked[1] - ranked[2]) / nullif(ranked[1], 0e0)"
 cte("zconf", f"""SELECT *, CASE WHEN ranked[1] <= 0 THEN 0.05e0 ELSE {rnd(f"least(greatest(({_margin} * 0.30e0 + 0.10e0 + least(greatest(ranked[1] / 2e0, 0e0), 1e0) * 0.30e0 + agreement / 4e0 * 0.30e0) * least(1e0, ranked[1] / 0.5e0), 0.05e0), 0.95e0)", 2)} END AS confidence FROM zagree""")
 _words = "replace(primary_source, '_', ' ')"
-cte("zreason", f"""SELECT *, CASE WHEN len(fs) > 0 THEN fs ELSE ['no corroborating evidence beyond weak land-use context'] END AS evidence_factors,
-  'Deterministic evidence scoring points to ' || {_words} || ' as the primary source. ' || array_to_string(evidence_factors[:3], '; ') || '.' AS reason FROM (SELECT *, list_filter([{_of('t_')},
-  CASE WHEN primary_source = 'traffic' AND no2_col_pct >= 80 THEN 'NO2 column at p' || no2_col_pct || ' citywide' END,
-  CASE WHEN primary_source = 'waste_burning' AND fire_hours > 0 THEN 'satellite fire detections in ' || fire_hours || ' hours (' || round_even(fire_hour_fraction * 100e0, 0)::INTEGER || '% of the window)' END,
-  CASE WHEN {_of('n_')} > 0 THEN ({_of('n_')}) || ' citizen report(s) of ' || {_words} || ' in this ward within the window' END,
-  CASE WHEN air_trapped THEN 'shallow boundary layer (' || blh_m || ' m) trapping emissions' END], lambda x: x IS NOT NULL) AS fs FROM zconf)""")
+cte("zreason", f"""SELECT *, CASE WHEN len(fs) > 0 THEN fs ELSE ['land use alone'] END AS evidence_factors,
+  'Highest score: ' || {_words} || '. ' || array_to_string(evidence_factors[:3], '; ') || '.' AS reason FROM (SELECT *, list_filter([{_of('t_')},
+  CASE WHEN primary_source = 'traffic' AND no2_col_pct >= 80 THEN 'NO2 higher than over ' || no2_col_pct || '% of the city' END,
+  CASE WHEN primary_source = 'waste_burning' AND fire_hours > 0 THEN 'fires seen from space in ' || fire_hours || ' hours (' || round_even(fire_hour_fraction * 100e0, 0)::INTEGER || '% of the window)' END,
+  CASE WHEN {_of('n_')} > 0 THEN ({_of('n_')}) || ' times residents of the ward have named ' || {_words} END,
+  CASE WHEN air_trapped THEN 'air mixes up to ' || blh_m || ' m only' END], lambda x: x IS NOT NULL) AS fs FROM zconf)""")
 
 
 def _judged(f: Feeds) -> DataFrame:

@@ -132,12 +132,11 @@ def _(f: Feeds) -> DataFrame:
 
 _src = "replace(src, '_', ' ')"
 cte("memo_rows", f"""SELECT *, 'AQ/' || upper(city[1:3]) || '/20240201/' || zone_id AS memo_id,
-  'Air pollution source detected — ' || {_src} || ' — ' || ward_name || ' (zone ' || zone_id || ')' AS subject,
-  'Satellite and ground observations over the monitoring window identify an elevated pollution zone spanning ' || n_cells || ' cell(s) in ' || ward_name || '. The zone is classified ''' || kind
-    || '''. Estimated PM2.5 in the zone is ' || pm25 || ' ug/m3, corresponding to an AQI of ' || aqi || ' (' || aqi_category || ').' AS background,
-  'The evidence indicates ' || {_src} || ' as the primary source, at a computed confidence of ' || printf('%.2f', conf) || '. Supporting evidence: ' || array_to_string(factors[:3], '; ') || '. '
-    || CASE WHEN conf < 0.6 THEN 'This finding is INDICATIVE and requires verification on site.' ELSE 'The evidence is consistent and independently corroborated.' END AS finding,
-  'The addressee is directed to inspect the zone and act under the provisions cited below: ' || {_cited()} || '.' AS directive FROM facts""")
+  'Zone ' || zone_id || ' in ' || ward_name || ': suspected emissions, ' || {_src} AS subject,
+  'Hexes: ' || n_cells || ', type: ' || kind || '. PM2.5 there is put at ' || pm25 || ' ug/m3, which is AQI ' || aqi || ', ' || aqi_category || '.' AS background,
+  'Likeliest source: ' || {_src} || ', with confidence ' || printf('%.2f', conf) || '. Grounds: ' || array_to_string(factors[:3], '; ') || '. '
+    || CASE WHEN conf < 0.6 THEN 'Take this as INDICATIVE until a visit has confirmed it.' ELSE 'Observations of different kinds agree on it.' END AS finding,
+  'Please visit the zone and proceed under ' || {_cited()} || '.' AS directive FROM facts""")
 
 
 @query("k3_memo_text", "SELECT city, action_id, subject, background, finding, directive FROM memo_rows")
@@ -332,7 +331,7 @@ def _(f: Feeds) -> DataFrame:
     return audit.sensor_flags(f.field, muted, f.wards)
 
 
-@query("b3_placement_recommendations", "SELECT city, rank, 'Add a monitor near ward ' || ward_id || ' (cell ' || substr(cell::VARCHAR, 1, 8) || '…): the fusion field estimates ~' || satellite_signal || ' µg/m³ here with no station within the cell — currently a blind spot.' AS recommendation FROM spot_rank WHERE rank <= 5")
+@query("b3_placement_recommendations", "SELECT city, rank, 'Ward ' || ward_id || ', cell ' || cell || ': PM2.5 of about ' || satellite_signal || ' µg/m³ that no station measures. A site for a new one.' AS recommendation FROM spot_rank WHERE rank <= 5")
 def _(f: Feeds) -> DataFrame:
     return audit.placement_recommendations(_dark_spots(f), 5)
 
