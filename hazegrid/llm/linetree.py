@@ -49,34 +49,41 @@ def tokens(name: str) -> Column:
     return F.length(name) - F.length(F.replace(F.col(name), F.lit(" "), F.lit(""))) + 1
 
 
-def segments(tokens: list[str], similarity: float) -> list[tuple]:
-    """Segments of a line, one more than the tokens it may miss."""
-    n = len(tokens)
-    k = min(n, int(n * (1 - similarity) + 1e-9) + 1)
-    return [(i, *tokens[n * i // k : n * (i + 1) // k]) for i in range(k)]
+def segments(tokens: list[str], similarity: float, depth: int, tail: bool) -> tuple[list[tuple], int]:
+    """Segments of a line behind its branch tokens, and how many of them are enough to look under.
+
+    Lines of a leaf share the branch tokens, so all that a line may miss lies in the rest. The rest is cut into twice
+    as many segments as it takes: of any ``enough`` of them, one more than the tokens a line may miss, at least one
+    agrees whole with a line that is near enough. A rest too short for that is one segment that all lines share.
+    """
+    misses = int(len(tokens) * (1 - similarity) + 1e-9)
+    rest = tokens[: max(0, len(tokens) - depth)] if tail else tokens[depth:]
+    n, enough = len(rest), misses + 1
+    if n < enough:
+        return [(0,)], 1
+    k = min(n, 2 * enough)
+    return [(i, *rest[n * i // k : n * (i + 1) // k]) for i in range(k)], enough
 
 
 class Leaf:
     """Templates of one leaf.
 
     A line that agrees with a template in a share ``similarity`` of its n tokens misses at most
-    (1 - similarity) * n of them, so of one segment more at least one agrees whole: segments lead to
-    the candidates, and none is lost. A general token agrees with nothing.
+    (1 - similarity) * n of them: the rarest segments, one more than that, lead to all candidates, and
+    none is lost. A general token agrees with nothing.
     """
 
-    def __init__(self, similarity: float):
-        self.similarity = similarity
+    def __init__(self, similarity: float, depth: int, tail: bool = False):
+        self.similarity, self.depth, self.tail = similarity, depth, tail
         self.templates: list[list[str | None]] = []
         self.by_segment: dict[tuple, list[int]] = {}
 
-    def _segments(self, tokens: list[str]) -> list[tuple]:
-        return segments(tokens, self.similarity)
-
     def add(self, tokens: list[str]) -> int:
         """Number of the template the line joins: of the most similar the oldest; a new one if none is near enough."""
         best, at = 0, -1
-        segments = self._segments(tokens)
-        for t in sorted({t for s in segments for t in self.by_segment.get(s, ())}):
+        own, enough = segments(tokens, self.similarity, self.depth, self.tail)
+        shelves = sorted((self.by_segment.get(s, ()) for s in own), key=len)[:enough]
+        for t in sorted({t for shelf in shelves for t in shelf}):
             same = sum(map(eq, self.templates[t], tokens))
             if same > best:
                 best, at = same, t
@@ -84,61 +91,82 @@ class Leaf:
             self.templates[at] = [a if a == b else None for a, b in zip(self.templates[at], tokens, strict=True)]
             return at
         self.templates.append(list(tokens))
-        for s in segments:
+        for s in own:
             self.by_segment.setdefault(s, []).append(len(self.templates) - 1)
         return len(self.templates) - 1
 
 
-def _parser(similarity: float, key: list[str]):
-    """Parse rows sorted by ``key`` and then by line; ``t`` is a template's number in its group."""
+def _parser(similarity: float, depth: int):
+    """Parse rows sorted by leaf and component and then by line; ``t`` is a template's number in its component."""
 
     def parse(batches):
-        now, tree, shown = None, None, 0
+        now, tree = None, None
         for batch in batches:
             out = []
-            for k, line in zip(batch[key].itertuples(index=False, name=None), batch["m"], strict=True):
-                if k != now:
-                    now, tree = k, Leaf(similarity)
+            for leaf, component, tail, line in zip(batch["leaf"], batch["component"], batch["tail"], batch["m"], strict=True):
+                if (leaf, component) != now:
+                    now, tree = (leaf, component), Leaf(similarity, depth, tail)
                 out.append(tree.add(line.split(" ")))
             yield batch.assign(t=out)
 
     return parse
 
 
-def _segment_links(similarity: float):
-    """Links (a, b) of each line to its segments; segments and lines of a leaf have own numbers."""
+def _segment_rows(similarity: float, depth: int):
+    """(node, segment, enough) of each line; segments of a leaf have numbers of their own."""
 
-    def links(batches):
+    def rows(batches):
         for batch in batches:
-            a, b = [], []
-            for leaf, node, m in zip(batch["leaf"], batch["node"], batch["m"], strict=True):
-                for i, *part in segments(m.split(" "), similarity):
-                    a.append(node)
-                    b.append(xxhash.xxh64_intdigest(f"{leaf} {i} {' '.join(part)}".encode("utf-8", "surrogatepass")) - (1 << 63))
-            yield pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+            node, segment, takes = [], [], []
+            for leaf, n, tail, m in zip(batch["leaf"], batch["node"], batch["tail"], batch["m"], strict=True):
+                own, enough = segments(m.split(" "), similarity, depth, tail)
+                node += [n] * len(own)
+                takes += [enough] * len(own)
+                named = (f"{leaf} {i} {' '.join(part)}".encode("utf-8", "surrogatepass") for i, *part in own)
+                segment += [xxhash.xxh64_intdigest(x) - (1 << 63) for x in named]
+            yield pd.DataFrame({"node": pd.Series(node, dtype="int64"), "segment": pd.Series(segment, dtype="int64"), "enough": pd.Series(takes, dtype="int32")})
+
+    return rows
 
-    return links
+
+def near_lines(nodes: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """Links (a, b) between lines (node, leaf, tail, m) that make every two near ones of a leaf connected.
+
+    Each line looks under its rarest segments, rare by a count over all lines: of two near lines, the rarest segment
+    they share is among these of both. So what many lines have in common links none of them. A segment's lines are
+    linked to its first one.
+    """
+    cut = store(nodes.select("leaf", "node", "tail", "m").mapInPandas(_segment_rows(similarity, depth), "node long, segment long, enough int"))
+    shelf = cut.groupBy("segment").agg(F.count("*").alias("n")).where("n > 1")
+    # Segments of one line are the rarest of all; they take a place and link nothing.
+    ranked = cut.join(shelf, "segment", "left").groupBy("node", "enough").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "segment"))).alias("own")
+    )
+    looked = store(ranked.select("node", F.explode(F.slice("own", 1, F.col("enough"))).alias("s")).where("s.n > 1").select("node", "s.segment"))
+    first = looked.groupBy("segment").agg(F.min("node").alias("b"))
+    return looked.join(first, "segment").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def templates(lines: DataFrame, similarity: float = 0.8, part: int = PART) -> DataFrame:
-    """(leaf, h, template) for distinct masked lines (leaf, h, m).
+def templates(lines: DataFrame, similarity: float = 0.8, part: int = PART, depth: int = 4) -> DataFrame:
+    """(leaf, h, template) for distinct masked lines (leaf, tail, h, m); ``tail`` says which tree a leaf is of.
 
     Every leaf gives what the tree gives that takes all its lines in order. A line can only join a
-    template whose first line shares a segment with it, so lines that no chain of shared segments
-    links never meet. Leaves of more than ``part`` lines fall into such components, parsed apart;
-    as a component holds all that its lines can meet, that changes nothing in the result.
+    template whose first line is near it, so lines that no chain of near lines links never meet. Leaves
+    of more than ``part`` lines fall into such components, parsed apart; as a component holds all that
+    its lines can meet, that changes nothing in the result.
     """
-    lines = lines.select("leaf", "h", "m")
+    lines = lines.select("leaf", "tail", "h", "m")
     large = store(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > part).select("leaf"))
     dealt = lines.withColumn("component", F.lit(0).cast("long"))
     if not large.isEmpty():
         nodes = store(lines.join(large, "leaf", "left_semi").withColumn("node", F.xxhash64("leaf", "h")))
-        linked = components(nodes.select("leaf", "node", "m").mapInPandas(_segment_links(similarity), "a long, b long"))
-        apart = nodes.join(linked, "node").select("leaf", "h", "m", "component")
+        linked = components(near_lines(nodes, similarity, depth))
+        alone = F.coalesce("component", "node").alias("component")
+        apart = nodes.join(linked, "node", "left").select("leaf", "tail", "h", "m", alone)
         dealt = dealt.join(large, "leaf", "left_anti").unionByName(apart)
     ordered = dealt.repartition("leaf", "component").sortWithinPartitions("leaf", "component", "m", "h")
-    schema = "leaf long, h long, m string, component long, t long"
-    parsed = ordered.select("leaf", "h", "m", "component").mapInPandas(_parser(similarity, ["leaf", "component"]), schema)
+    schema = "leaf long, tail boolean, h long, m string, component long, t long"
+    parsed = ordered.select("leaf", "tail", "h", "m", "component").mapInPandas(_parser(similarity, depth), schema)
     return store(parsed.select("leaf", "h", F.xxhash64("component", "t").alias("template")))
 
 
@@ -191,10 +219,10 @@ def recurring(
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Equal lines collapse before anything is parsed: a line in a third of all documents is one row.
     distinct = store(
-        keyed.join(F.broadcast(shared) if few else shared, "leaf").groupBy("leaf", "h")
+        keyed.join(F.broadcast(shared) if few else shared, "leaf").groupBy("leaf", "tail", "h")
         .agg(F.min("m").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     )
-    named = templates(distinct, similarity)
+    named = templates(distinct, similarity, depth=depth)
     spread = distinct.select("leaf", "h", "lo", "hi").join(named, ["leaf", "h"])
     spans = spread.groupBy("leaf", "template").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last")
     gone = spread.join(spans.drop("last"), ["leaf", "template"]).where("hi > first").select("leaf", "h", "first")
