@@ -117,7 +117,8 @@ def _merge_component(max_km: float):
     """Grouped function: nearest-first merging of one component under a diameter cap."""
 
     def merge(links: pd.DataFrame) -> pd.DataFrame:
-        links = links.sort_values(["dist_km", "a", "b"], kind="stable")
+        # Hexes lie on a lattice: distances equal but for rounding are ties, and go by cell.
+        links = links.assign(dist_km=links["dist_km"].round(6)).sort_values(["dist_km", "a", "b"], kind="stable")
         ends = pd.concat(
             [
                 links[["a", "lat", "lon"]].set_axis(["cell", "lat", "lon"], axis=1),

@@ -160,7 +160,29 @@ def _(f: Feeds) -> DataFrame:
     return components(f.hot.select("city", "cell"), hotspots.zone_edges(f.hot, grid=GRID).select("city", "a", "b"))
 
 
-@query("f5_reconcile_zones")
+def _merge(name: str, rel: str) -> str:
+    """CTEs that merge the cells of ``rel`` link by link, nearest first, unless a zone would be wider than 5 km."""
+    gap = hav(lat_c("a.cell"), lon_c("a.cell"), lat_c("b.cell"), lon_c("b.cell"))
+    cte(f"{name}_near", f"""SELECT city, a, b, row_number() OVER (PARTITION BY city ORDER BY km, a, b) AS n FROM (
+      SELECT a.city, a.cell AS a, b.cell AS b, round_even({gap}, 6) AS km FROM {rel} a JOIN {rel} b ON a.city = b.city AND a.cell < b.cell
+      WHERE abs({lat_c('a.cell')} - {lat_c('b.cell')}) < 0.03e0 AND {gap} <= 2e0)""")
+    own = lambda c: f"list_filter(st, lambda x: x.cell = {c})[1].g"
+    far = f"""list_max(list_transform(list_filter(st, lambda x: x.g = ga), lambda x: list_max(list_transform(list_filter(st, lambda y: y.g = gb),
+      lambda y: {hav('x.la', 'x.lo', 'y.la', 'y.lo')}))))"""
+    cte(f"{name}_steps", f"""SELECT city, 0::BIGINT AS n, list({{'cell': cell, 'la': {lat_c('cell')}, 'lo': {lon_c('cell')}, 'g': cell}} ORDER BY cell) AS st FROM {rel} GROUP BY city
+      UNION ALL SELECT city, n, CASE WHEN ga <> gb AND {far} <= 5e0
+        THEN list_transform(st, lambda x: {{'cell': x.cell, 'la': x.la, 'lo': x.lo, 'g': CASE WHEN x.g = gb THEN ga ELSE x.g END}}) ELSE st END
+      FROM (SELECT m.city, l.n, st, {own('l.a')} AS ga, {own('l.b')} AS gb FROM {name}_steps m JOIN {name}_near l ON l.city = m.city AND l.n = m.n + 1)""")
+    cte(f"{name}_root", f"""SELECT city, u.cell AS cell, min(u.cell) OVER (PARTITION BY city, u.g) AS root FROM (
+      SELECT city, unnest(st) AS u FROM {name}_steps QUALIFY n = max(n) OVER (PARTITION BY city))""")
+    return f"(SELECT city, cell, printf('Z%02d', dense_rank() OVER (PARTITION BY city ORDER BY root) - 1) AS zone_id FROM {name}_root)"
+
+
+_RANKED = f"['none', 'acute', 'emerging', 'chronic'][max({RANK.format(k='kind')}) OVER z + 1] AS zone_kind, bool_or(attributable) OVER z AS any_attributable"
+
+
+@query("f5_reconcile_zones", f"""SELECT city, cell, zone_id, zone_kind AS kind, kind AS cell_kind, any_attributable AS attributable FROM (
+  SELECT h.city, h.cell, m.zone_id, kind, {_RANKED} FROM hot h JOIN {_merge('hotmerge', 'hot')} m USING (city, cell) WINDOW z AS (PARTITION BY h.city, m.zone_id))""")
 def _(f: Feeds) -> DataFrame:
     hot = f.hot.drop("zone_id", "cell_kind")
     return hotspots.reconcile_zones(hot, grid=GRID).select("city", "cell", "zone_id", "kind", "cell_kind", "attributable")
@@ -183,9 +205,11 @@ def _(f: Feeds) -> DataFrame:
     return hotspots.citywide_episode(f.field).select("city", fx("now_med").alias("now_med"), fx("week_med").alias("week_med"), "episode")
 
 
-@query("f9_detect")
+@query("f9_detect", f"""SELECT city, cell, ward_id, ward_name, zone_id, zone_kind AS kind, kind AS cell_kind, any_attributable AS attributable, {SEVERITY.replace('kind', 'zone_kind')} AS severity, {rnd('pm25_med', 2)} AS pm25_med,
+    nearest_candidate_km, {', '.join(f'{rnd(z, 2)} AS {z}' for z in Z)}, fires_6h, {BASIS} AS detection_basis, {ts('ts')} AS ts
+  FROM (SELECT h.* EXCLUDE (zone_id), m.zone_id, {_RANKED} FROM (SELECT *, 0 AS zone_id FROM real_mark) h JOIN {_merge('realmerge', 'real_mark')} m USING (city, cell) WINDOW z AS (PARTITION BY h.city, m.zone_id)) LEFT JOIN wards USING (city, cell)""")
 def _(f: Feeds) -> DataFrame:
-    return hotspots.detect(f.panel, f.field, f.osm, f.wards, grid=GRID)
+    return hotspots.detect(f.panel, f.field, f.osm, f.wards, grid=GRID).withColumn("ts", text_ts("ts"))
 
 
 @query("f9_detect_blocks", f"""SELECT city, cell, ward_id, zone_id, kind, cell_kind, attributable, {SEVERITY} AS severity, {rnd('pm25_med', 2)} AS pm25_med, nearest_candidate_km, {', '.join(f'{rnd(z, 2)} AS {z}' for z in Z)}, fires_6h, {BASIS} AS detection_basis
