@@ -164,7 +164,7 @@ def _merge(name: str, rel: str) -> str:
     """CTEs that merge the cells of ``rel`` link by link, nearest first, unless a zone would be wider than 5 km."""
     gap = hav(lat_c("a.cell"), lon_c("a.cell"), lat_c("b.cell"), lon_c("b.cell"))
     cte(f"{name}_near", f"""SELECT city, a, b, row_number() OVER (PARTITION BY city ORDER BY km, a, b) AS n FROM (
-      SELECT a.city, a.cell AS a, b.cell AS b, round_even({gap}, 6) AS km FROM {rel} a JOIN {rel} b ON a.city = b.city AND a.cell < b.cell
+      SELECT a.city, a.cell AS a, b.cell AS b, {gap} AS km FROM {rel} a JOIN {rel} b ON a.city = b.city AND a.cell < b.cell
       WHERE abs({lat_c('a.cell')} - {lat_c('b.cell')}) < 0.03e0 AND {gap} <= 2e0)""")
     own = lambda c: f"list_filter(st, lambda x: x.cell = {c})[1].g"
     far = f"""list_max(list_transform(list_filter(st, lambda x: x.g = ga), lambda x: list_max(list_transform(list_filter(st, lambda y: y.g = gb),

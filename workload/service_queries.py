@@ -61,9 +61,20 @@ def _(f: Feeds) -> DataFrame:
     return priority.max_coverage(f.queue, f.hot, 1, grid=GRID).select("city", "action_id", fx("gain").alias("gain"))
 
 
-@query("r3_max_coverage")
+# Each step takes, in every city, the stop with most burden among cells that no earlier pick covers.
+cte("stops", "SELECT city, list({'id': action_id, 'eps': eps, 'own': own} ORDER BY action_id) AS all_stops FROM (SELECT city, action_id, eps, list({'cell': cell, 'sev': severity, 'b': burden} ORDER BY cell) AS own FROM cover GROUP BY ALL) GROUP BY city")
+cte("picked", """SELECT city, 0 AS pick, NULL::VARCHAR AS action_id, 0e0 AS gain, 0e0 AS covered, []::BIGINT[] AS done FROM stops
+  UNION ALL SELECT city, pick + 1, best.id, best.gain, best.covered, list_concat(done, best.cells) FROM (
+    SELECT p.city, p.pick, p.done, list_sort(list_filter(list_transform(all_stops, lambda s: {'minus': -list_sum(list_transform(list_filter(s.own, lambda c: NOT list_contains(p.done, c.cell)), lambda c: c.b)), 'eps': -s.eps, 'id': s.id,
+        'gain': list_sum(list_transform(list_filter(s.own, lambda c: NOT list_contains(p.done, c.cell)), lambda c: c.b)), 'covered': list_sum(list_transform(list_filter(s.own, lambda c: NOT list_contains(p.done, c.cell)), lambda c: c.sev)),
+        'cells': list_transform(s.own, lambda c: c.cell)}), lambda s: s.gain > 0))[1] AS best
+    FROM picked p JOIN stops USING (city) WHERE p.pick < 10) WHERE best IS NOT NULL""")
+
+
+@query("r3_max_coverage", f"""SELECT city, pick, action_id, {sfx('gain')} AS gain, {rnd('sum(covered) OVER (PARTITION BY city) * 100e0 / nullif(everything, 0)', 1)} AS coverage_pct
+  FROM picked JOIN (SELECT city, sum(severity) AS everything FROM hot GROUP BY ALL) USING (city) WHERE pick > 0""")
 def _(f: Feeds) -> DataFrame:
-    return priority.max_coverage(f.queue, f.hot, 10, grid=GRID)
+    return priority.max_coverage(f.queue, f.hot, 10, grid=GRID).withColumn("gain", fx("gain"))
 
 
 @query("r4_dispatch")
