@@ -85,12 +85,14 @@ def _(f: Feeds) -> DataFrame:
 _leg = hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")
 
 
-@query("r5_route_length", f"""SELECT city, team, count(*) AS n_stops, {rnd('coalesce(sum(leg), 0e0) * 1.4e0', 1)} AS route_km, {rnd(f"{rnd('coalesce(sum(leg), 0e0) * 1.4e0', 1)} / 20e0 * 60e0", 1)} AS route_duration_min
+@query("r5_route_length", f"""SELECT city, team, count(*) AS n_stops, {rnd('coalesce(sum(leg), 0e0) * 1.4e0', 1)} AS route_km, {rnd(f"{rnd('coalesce(sum(leg), 0e0) * 1.4e0', 1)} / 20e0 * 60e0", 1)} AS route_duration_min,
+    CASE WHEN count(*) > 1 THEN string_agg(printf('%.4f %.4f', lon, lat), ';' ORDER BY seq) ELSE '' END AS route_geometry
   FROM (SELECT *, {_leg} AS leg FROM (SELECT city, (substr(action_id, 2)::INTEGER % 4 + 1) AS team, action_id AS seq, lat, lon FROM queue) WINDOW w AS (PARTITION BY city, team ORDER BY seq)) GROUP BY ALL""")
 def _(f: Feeds) -> DataFrame:
     team = (F.substring("action_id", 2, 9).cast("int") % 4 + 1).alias("team")
     stops = f.queue.select("city", team, F.col("action_id").alias("seq"), "centroid.lat", "centroid.lon")
-    return priority.route_length(stops).drop("route_geometry")
+    point = F.transform("route_geometry", lambda p: F.format_string("%.4f %.4f", p[0], p[1]))
+    return priority.route_length(stops).withColumn("route_geometry", F.array_join(point, ";"))
 
 
 @query("r6_zones_from_cells", f"""SELECT *, row_number() OVER (PARTITION BY city, queue ORDER BY severity DESC, zone_id)::INTEGER AS position FROM (SELECT city, zone_id, arg_max(kind, {RANK.format(k='kind')}) AS kind, max(severity) AS severity,
