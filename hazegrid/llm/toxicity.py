@@ -9,7 +9,6 @@ that stand, as good as always, in toxic documents.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -32,14 +31,22 @@ OTHER = SIZE - 1
 #: Costs, in nats, of what the channel may do.
 LOOK_ALIKE_COST, REPEAT_COST, DOUBLE_COST, GAP_COST, KEEP_SYMBOL_COST = 1.0, 0.2, 3.0, 0.2, 3.0
 
-_MARK = re.escape("".join(LOOK_ALIKES))
+#: What may stand between letters set apart.
+GAPS = " \t.-_*/\\,~'"
+
+_RUN = "a-zß-ÿ" + re.escape("".join(LOOK_ALIKES))
+_SINGLE = r"a-zß-ÿ0-9" + re.escape("".join(c for c in LOOK_ALIKES if not c.isdigit()))
+#: Wide on purpose: whether a symbol is a letter in disguise is for the costs of the lattice to decide.
 _SUSPECT = re.compile(
-    # symbols before or between letters; digits or two dollars after letters
-    rf"(?<![a-z{_MARK}])(?:[a-z]*+[{_MARK}]++[a-z][a-z{_MARK}]*|[a-z]{{3,}}+(?:[0-9]{{1,3}}|\$\$)(?![a-z{_MARK}]))"
-    # at least four single letters, set apart
-    rf"|(?<![\w{_MARK}])[^\W_](?:[ .\-_*]{{1,2}}[^\W_]){{3,}}(?![\w{_MARK}])"
+    # at least four single letters or look-alikes, set apart
+    rf"(?<![\w{_SINGLE}])[{_SINGLE}](?:[{re.escape(GAPS)}]{{1,4}}[{_SINGLE}]){{3,}}(?![\w{_SINGLE}])"
+    # a run of letters and look-alikes that has both
+    rf"|(?<![{_RUN}])(?=[^a-zß-ÿ\s]*+[a-zß-ÿ])(?=[a-zß-ÿ]*+[^a-zß-ÿ\s])[{_RUN}]+"
+)
+#: A letter three times running, or three doubled letters in one word.
+_REPEATED = re.compile(
+    r"(?<![^\W\d_])(?=[^\W\d_]*?([^\W\d_])\1\1|(?:[^\W\d_]*?([^\W\d_])\2){3})[^\W\d_]+"
 )
-_TRIPLED = re.compile(r"(?<![^\W\d_])(?=[^\W\d_]*?([^\W\d_])\1\1)[^\W\d_]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,29 +68,32 @@ def _table() -> np.ndarray:
 _TABLE = _table()
 _KINDS = np.where(_TABLE > 0, 1, 0)
 _KINDS[[ord(c) for c in LOOK_ALIKES]] = 2
-#: Marks that end ordinary words too.
-_DULL = np.zeros(128, dtype=bool)
-_DULL[[ord(c) for c in "!|+@"]] = True
 
 
 def oddities(text: str) -> tuple[bool, bool]:
-    """Whether a lower-cased text can hold a suspicious span, or a letter three times running.
+    """Whether a lower-cased text can hold a suspicious span, or a word with repeated letters.
 
     Necessary conditions, seen at all places at once, so that most texts need no pattern search.
     """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if len(points) < 3:
+    if len(points) < 2:
         return False, False
     kind = _KINDS[np.minimum(points, len(_KINDS) - 1)]
     letter, mark = kind == 1, kind == 2
-    same = points[1:] == points[:-1]
-    tripled = bool((same[1:] & same[:-1] & letter[2:]).any())
-    if (mark[:-1] & letter[1:]).any() or (letter[:-1] & mark[1:] & ~_DULL[np.minimum(points[1:], 127)]).any():
-        return True, tripled
-    single = letter.copy()
-    single[1:] &= ~letter[:-1]
-    single[:-1] &= ~letter[1:]
-    return bool((single[:-2] & single[2:]).sum() + (single[:-3] & single[3:]).sum() >= 3), tripled
+    same = (points[1:] == points[:-1]) & letter[1:]
+    doubled = np.flatnonzero(same)
+    word = np.cumsum(~letter)
+    repeated = bool((same[1:] & same[:-1]).any() or (word[doubled[2:]] == word[doubled[:-2]]).any())
+    if (mark[:-1] & letter[1:]).any() or (letter[:-1] & mark[1:]).any():
+        return True, repeated
+    single = letter | mark
+    edge = ~single
+    alone = single.copy()
+    alone[1:] &= edge[:-1]
+    alone[:-1] &= edge[1:]
+    # Four singles, each at most four characters of gap from the one before.
+    at = np.flatnonzero(alone)
+    return bool((at[3:] - at[:-3] <= 15).any()), repeated
 
 
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -119,13 +129,15 @@ def decode_span(span: str, costs: np.ndarray) -> str:
     """The likeliest reading of a suspicious span (lower case): a Viterbi search over its lattice.
 
     A state is the last two letters; each character may stand for itself, for a look-alike's letter,
-    for nothing if it repeats the letter before, or, between letters set apart, for nothing.
+    for nothing if it repeats the letter before, or, if it is a gap between letters set apart, for nothing.
+    Of equal costs the reading offered first stays. Readings are chains of letters, so a long span costs
+    time in proportion to its length.
     """
-    spaced = " " in span or not re.search(r"[^\W_]{2}", span)
+    spaced = any(c in GAPS for c in span)
     number = {c: i for i, c in enumerate(LETTERS)}
     runs = [any(span[max(0, k) : k + 3] == c * 3 for k in (i - 2, i - 1, i)) for i, c in enumerate(span)]
-    # (state) -> (cost, text read)
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # (state) -> (cost, chain of letters, last first)
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, c in enumerate(span):
         choices: list[tuple[float, str]] = []
         if c.isalpha():
@@ -135,26 +147,30 @@ def decode_span(span: str, costs: np.ndarray) -> str:
             choices.append((KEEP_SYMBOL_COST, c))
         else:
             choices.append((KEEP_SYMBOL_COST if spaced else 0.0, c))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def offer(state, cost, text, after=after):
-            if state not in after or (cost, text) < after[state]:
-                after[state] = (cost, text)
+        def offer(state, cost, chain, after=after):
+            if state not in after or cost < after[state][0]:
+                after[state] = (cost, chain)
 
-        for (a, b), (cost, text) in best.items():
+        for (a, b), (cost, chain) in best.items():
             for extra, letter in choices:
                 if letter.isalpha():
                     n = number.get(letter, OTHER)
-                    offer((b, n), cost + extra + float(costs[a, b, n]), text + letter)
-                    if i and text[-1:] == letter:
-                        offer((a, b), cost + extra + (REPEAT_COST if runs[i] else REPEAT_COST + DOUBLE_COST), text)
+                    offer((b, n), cost + extra + float(costs[a, b, n]), (letter, chain))
+                    if chain and chain[0] == letter:
+                        offer((a, b), cost + extra + (REPEAT_COST if runs[i] else REPEAT_COST + DOUBLE_COST), chain)
                 else:
-                    offer((b, 0), cost + extra + float(costs[a, b, 0]), text + letter)
-            if spaced and i and not c.isalnum():
-                offer((a, b), cost + GAP_COST, text)
+                    offer((b, 0), cost + extra + float(costs[a, b, 0]), (letter, chain))
+            if i and c in GAPS:
+                offer((a, b), cost + GAP_COST, chain)
         best = after
-    ended = [(cost + float(costs[a, b, 0]), text) for (a, b), (cost, text) in best.items()]
-    return min(ended)[1]
+    _, chain = min(((cost + float(costs[a, b, 0]), chain) for (a, b), (cost, chain) in best.items()), key=lambda x: x[0])
+    letters = []
+    while chain:
+        letters.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(letters))
 
 
 @dataclass
@@ -168,14 +184,23 @@ class Model:
     def restore(self, text: str) -> str:
         """``text`` in lower case with suspicious spans read anew."""
         text = text.lower()
-        odd, tripled = oddities(text)
+        odd, repeated = oddities(text)
         if odd:
             text = _SUSPECT.sub(lambda m: self._read(m.group()), text)
-        if tripled:
-            text = _TRIPLED.sub(lambda m: self._read(m.group()), text)
+        if repeated:
+            text = _REPEATED.sub(lambda m: self._read(m.group()), text)
         return text
 
+    def words(self, text: str | None) -> set[str]:
+        """Distinct words of ``text`` as it stands and as restored: a misread symbol hides no plain word."""
+        plain = (text or "").lower()
+        restored = self.restore(plain)
+        found = set(_WORDS.findall(plain))
+        return found if restored == plain else found | set(_WORDS.findall(restored))
+
     def _read(self, span: str) -> str:
+        if not any(map(str.isalpha, span)):
+            return span
         if len(self._spans) > 20_000:
             self._spans.clear()
         if span not in self._spans:
@@ -192,7 +217,7 @@ class Model:
     def score(self, text: str | None) -> float:
         """1 - (1 - prior) * product over distinct words of (1 - their evidence)."""
         clean, known = 1.0 - self.prior, self._words.get
-        for word in set(_WORDS.findall(self.restore(text or ""))):
+        for word in self.words(text):
             weight = known(word)
             if weight is None:
                 weight = self._weigh(word)
@@ -212,15 +237,17 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_per_class: int = 4000, min_share: float = 0.02, min_odds: float = 0.995, max_features: int = 20_000, explanations: int = 3,
+    max_per_class: int = 4000, min_docs: int = 6, min_odds: float = 0.985, max_features: int = 20_000, per_document: int = 256,
+    explanations: int = 3, min_gain: int = 3,
 ) -> Model:
     """Model from all texts (characters) and a bounded sample of labelled rows (evidence).
 
     At most ``max_per_class`` rows of each label, by hash, whose id is not held out; equal texts
-    count once. A feature is evidence if it stands in ``min_share`` of the toxic sample at least and
-    its smoothed share of toxic documents is ``min_odds`` or more. Of those, features are taken that
-    explain most toxic documents not yet explained ``explanations`` times by different words, so that
-    what copies of one document share by chance adds little. Without labels there is no evidence and every score is the prior.
+    count once. A feature can be evidence if it stands in ``min_docs`` toxic documents of the sample and
+    its smoothed share of toxic documents is ``min_odds`` or more. Of those, features are taken, down to
+    ``min_gain`` documents, that explain most toxic documents not yet explained ``explanations`` times
+    by different words, so that what copies of one document share by chance adds little. A document
+    of the sample names its ``per_document`` most frequent features, which bounds what the driver gets. Without labels there is no evidence and every score is the prior.
     """
     costs = trigram_costs(trigram_counts(docs, text_col))
     blank = Model(costs, {})
@@ -232,7 +259,7 @@ def fit(
 
     def read(batches):
         for batch in batches:
-            words = [sorted(set(_WORDS.findall(blank.restore(t or "")))) for t in batch["t"]]
+            words = [sorted(blank.words(t)) for t in batch["t"]]
             yield pd.DataFrame({"y": batch["y"], "words": words})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(chosen, "id")
@@ -250,17 +277,17 @@ def fit(
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_toxic or not n_clean:
         return blank
-    floor = max(6, math.ceil(min_share * n_toxic))
     counted = sample.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate_t, rate_c = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.05) / (n_clean + 1)
     odds = rate_t / (rate_t + rate_c)
-    strong = counted.where(F.col("toxic") >= floor).withColumn("p", odds).where(F.col("p") >= min_odds)
+    strong = counted.where(F.col("toxic") >= min_docs).withColumn("p", odds).where(F.col("p") >= min_odds)
     listed = strong.orderBy(F.desc("toxic"), F.desc(F.length("f")), "f").limit(max_features).collect()
     weight = {r.f: (min(r.p, 0.999), r.toxic) for r in listed}
 
     def explain(batches):
         for batch in batches:
-            yield pd.DataFrame({"fs": [sorted({f for w in words for f in features(w)} & weight.keys()) for words in batch["words"]]})
+            named = [{f for w in words for f in features(w)} & weight.keys() for words in batch["words"]]
+            yield pd.DataFrame({"fs": [sorted(fs, key=lambda f: (-weight[f][1], f))[:per_document] for fs in named]})
 
     left = [set(r.fs) for r in sample.where("y = 1").mapInPandas(explain, "fs array<string>").collect()]
     evidence: dict[str, float] = {}
@@ -269,7 +296,7 @@ def fit(
         tally = Counter(f for doc, n in zip(left, wanted, strict=True) if n for f in doc)
         # Most documents first; of equals the longer beginning, which says more.
         f, n = max(tally.items(), key=lambda x: (x[1], not x[0].endswith("$"), len(x[0]), x[0]), default=("", 0))
-        if n < floor:
+        if n < min_gain:
             break
         evidence[f] = weight[f][0]
         stem = f.rstrip("$")
