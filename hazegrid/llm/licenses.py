@@ -23,32 +23,66 @@ from hazegrid.llm.common import small_batches
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 # Wording of public licenses and of the notices that point to them, with markup.
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of "
+    "conditions and the following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright "
+    "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_CLAUSE = (
+    "<<optional>>3<<end>> neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission"
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by <<any 8>> as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 10>> be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods "
+    "or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of "
+    "the possibility of such damage"
+)
+_GNU_NOTICE = "<<optional>>licensed<<end>> <<optional>>under the<<end>> <<optional>>terms of the<<end>> gnu {name} <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version {version}"
+_CC_VERSION = "<<optional>>4 0<<end>> <<optional>>3 0<<end>> <<optional>>international<<end>> <<optional>>unported<<end>> <<optional>>public<<end>> license"
+
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
             "<<optional>>the software<<end>> to deal in the software without restriction including without limitation the rights to use copy "
             "modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
             "furnished to do so subject to the following conditions the above copyright notice and this permission notice "
-            "<<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software"),
+            "<<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
+            "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+            "merchantability fitness for a particular purpose and noninfringement in no event shall <<any 10>> be liable for any claim "
+            "damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+            "software or the use or other dealings in the software"),
     ("mit", "<<optional>>this <<any 3>> is<<end>> <<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> mit license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
-            "that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
-              "conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of "
-              "conditions and the following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright "
-              "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd-3", "neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this "
-              "software without specific prior written permission"),
-    ("apache-2", "licensed under the apache license version 2 0 <<optional>>the license<<end>>"),
-    ("gpl-2", "<<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software "
-              "foundation either<<end>> version 2"),
-    ("gpl-3", "<<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software "
-              "foundation either<<end>> version 3"),
-    ("lgpl", "gnu <<optional>>lesser<<end>> <<optional>>library<<end>> general public license <<optional>>as published by the free software foundation<<end>> lgpl"),
-    ("mpl-2", "subject to the terms of the mozilla public license <<optional>>v<<end>> <<optional>>version<<end>> 2 0"),
+            "that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any 8>> "
+            "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no "
+            "event shall <<any 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting "
+            "from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+            "connection with the use or performance of this software"),
+    ("bsd-2", f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}"),
+    ("bsd-3", f"{_BSD_CONDITIONS} {_BSD_CLAUSE} {_BSD_DISCLAIMER}"),
+    ("apache-2", "licensed under the apache license version 2 0 <<optional>>the license you may not use this file except in compliance with "
+                 "the license<<end>>"),
+    ("gpl-2", _GNU_NOTICE.format(name="general public license", version="2")),
+    ("gpl-3", _GNU_NOTICE.format(name="general public license", version="3")),
+    ("lgpl-2", _GNU_NOTICE.format(name="library general public license", version="2")),
+    ("lgpl-2-1", _GNU_NOTICE.format(name="lesser general public license", version="2 1")),
+    ("lgpl-3", _GNU_NOTICE.format(name="lesser general public license", version="3")),
+    ("agpl-3", _GNU_NOTICE.format(name="affero general public license", version="3")),
+    ("mpl-2", "<<optional>>this source code form is<<end>> subject to the terms of the mozilla public license <<optional>>v<<end>> "
+              "<<optional>>version<<end>> 2 0 <<optional>>if a copy of the mpl was not distributed with this file you can obtain one at<<end>>"),
+    ("epl-1", "eclipse public license <<optional>>v<<end>> <<optional>>version<<end>> 1 0"),
+    ("epl-2", "eclipse public license <<optional>>v<<end>> <<optional>>version<<end>> 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by-nc", "<<optional>>licensed under<<end>> <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by nc <<any 1>> <<optional>>4 0<<end>>"),
-    ("cc-by-nc", "creative commons attribution noncommercial <<any 2>> license"),
-    ("cc-by", "licensed under a creative commons attribution <<optional>>4 0 international<<end>> license"),
+    ("cc-by", f"creative commons attribution {_CC_VERSION}"),
+    ("cc-by-sa", f"creative commons attribution sharealike {_CC_VERSION}"),
+    ("cc-by-nd", f"creative commons attribution noderivatives {_CC_VERSION}"),
+    ("cc-by-nc", f"creative commons attribution noncommercial {_CC_VERSION}"),
+    ("cc-by-nc-sa", f"creative commons attribution noncommercial sharealike {_CC_VERSION}"),
+    ("cc-by-nc-nd", f"creative commons attribution noncommercial noderivatives {_CC_VERSION}"),
     ("all-rights-reserved", "copyright <<any 8>> all rights reserved"),
 ]
 
@@ -182,8 +216,8 @@ def scan(
     """``keep`` columns of ``docs`` (all by default) with ``n_words`` and ``spans``: every accepted run, in words from 0.
 
     A run is the longest from its start; runs of several templates may overlap. A null text has no
-    words and no spans. Repeated rows repeat; columns named n_words or spans are replaced; an empty
-    table gives no rows.
+    words and no spans. Texts of any length are scanned whole. Repeated rows repeat; columns named
+    n_words or spans are replaced; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans")]

@@ -60,3 +60,52 @@ def test_rows_against_plain_search(make):
     assert by[8].labels == ""  # a mandatory word differs
     assert by[10].labels == "all-rights-reserved" and by[10].n_base == 0
     assert licenses.scan(make([])).count() == 0
+
+
+def labels_of(text):
+    return {label for label, base, *_ in licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES).scan(text)[1] if not base}
+
+
+def written(markup, optional, region):
+    """The text a template stands for, with or without its optional regions, and with ``region`` in replaceable ones."""
+    text = re.sub(r"<<any \d+>>", region, markup)
+    while "<<optional>>" in text:
+        text = re.sub(r"<<optional>>((?:(?!<<optional>>).)*?)<<end>>", r"\1" if optional else "", text)
+    return text
+
+
+@pytest.mark.parametrize(("label", "markup"), licenses.TEMPLATES)
+def test_every_template_with_its_regions_and_with_one_word_changed(label, markup):
+    automaton = licenses.Automaton(markup)
+    for optional, region in itertools.product((True, False), ("", "ACME", "the people of ACME")):
+        fill = region if f"<<any {len(region.split())}>>" in markup or re.findall(r"<<any (\d+)>>", markup) and min(map(int, re.findall(r"<<any (\d+)>>", markup))) >= len(region.split()) else ""
+        text = written(markup, optional, fill)
+        assert label in labels_of(f"Before it. {text.upper()}; after it."), text
+    short = written(markup, False, "").split()
+    for i in range(len(short)):
+        changed = [w.encode() for w in short[:i] + ["otherword"] + short[i + 1 :]]
+        # A replaceable region may take a word in, but no mandatory word may be missing.
+        assert all(automaton.accept(changed, at) < 0 for at in range(len(changed))), (label, short[i])
+
+
+@pytest.mark.parametrize(
+    ("notice", "label"),
+    [
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of", "lgpl-2-1"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "lgpl-3"),
+        ("under the terms of the GNU General Public License version 2 as published", "gpl-2"),
+        ("the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of", "agpl-3"),
+        ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("under the terms of the Eclipse Public License v. 2.0 which is available at", "epl-2"),
+        ("subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed", "mpl-2"),
+    ],
+)
+def test_well_known_notices(notice, label):
+    assert labels_of(notice) == {label}
+
+
+def test_added_names_are_replaced(spark):
+    docs = spark.createDataFrame([("x", "under the mit license", 5)], "spans string, text string, n_words int")
+    got = licenses.scan(docs).collect()
+    assert got[0].n_words == 4 and {s.label for s in got[0].spans} == {"mit"}
