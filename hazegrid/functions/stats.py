@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hazegrid.functions.geo import round_to
+from hazegrid.session import cut_lineage, materialise
 
 MAD_SCALE = 1.4826
 TINY = 1e-9
 _ACCURACY = 10_000
 _SMALL_GROUP = 4 * _ACCURACY
 _RANGES = 256
+#: Groups whose statistics are sent to every task; those of more groups travel by shuffle.
+_SENT_GROUPS = 100_000
 #: Rows, or hours, of a series that one task sorts at least.
 _SERIES_BLOCK = 8192
 
@@ -96,7 +99,14 @@ def rolling_medians(
     return spread.groupBy(*by, "_block").applyInArrow(roll, schema)
 
 
-def _select(packed: DataFrame, by: Sequence[str]) -> DataFrame:
+def _settled(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """(statistics of groups computed once, whether they are few); few are sent to every task, so no group's rows gather."""
+    once = cut_lineage(stats)
+    few = once.count() <= _SENT_GROUPS
+    return (F.broadcast(once) if few else once), few
+
+
+def _select(packed: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
     """(by, _i, _pos, _lo, _hi): the values at the two ranks around ``_pos`` among counted values in value ranges.
 
     The counts of the ranges give their first ranks; only the one or two ranges that hold a wanted rank are sorted.
@@ -108,7 +118,9 @@ def _select(packed: DataFrame, by: Sequence[str]) -> DataFrame:
     holds = lambda rank: (F.col("_end") - F.col("_n") <= rank) & ((rank < F.col("_end")) | F.col("_last"))
     wanted = starts.where(holds(F.floor("_at")) | holds(F.ceil("_at"))).select(*key, "_range", (F.col("_end") - F.col("_n")).alias("_first"))
     inside = Window.partitionBy(*key, "_range").orderBy("_v")
-    ranked = packed.join(wanted, [*key, "_range"]).withColumn("_to", F.col("_first") + F.sum("_c").over(inside))
+    # Wanted ranges are hashed by their group: without the broadcast the packed values would gather by group too.
+    sent = F.broadcast(wanted) if few else wanted
+    ranked = packed.join(sent, [*key, "_range"]).withColumn("_to", F.col("_first") + F.sum("_c").over(inside))
     ranked = ranked.withColumn("_from", F.col("_to") - F.col("_c"))
 
     def at(rank: Column) -> Column:
@@ -137,9 +149,13 @@ def exact_quantiles(
     dropped, both before the shuffle. The distinct values of the bracket stay spread by
     value and lie in _RANGES equal ranges, of which only those with a wanted rank are
     sorted: no task sees a bracket whole. Groups of few rows skip the bracket, not the ranges.
+    Brackets are computed at once, and sent to every task unless groups are very many: rows of a group never gather.
     """
     by, names = list(by), list(probs)
-    picked = _select(_packed(df, by, value, list(probs.values()), position), by)
+    rows = _values(df, by, value)
+    brackets, few = _settled(_brackets(rows, by, list(probs.values()), position))
+    # Read for the counts of the ranges and for their values: both must see the same brackets.
+    picked = _select(materialise(_pack(rows, by, brackets)), by, few)
     frac = F.col("_pos") - F.floor("_pos")
     value_at = F.when(frac == 0, F.col("_lo")).otherwise(
         (F.ceil("_pos") - F.col("_pos")) * F.col("_lo") + frac * F.col("_hi")
@@ -151,13 +167,20 @@ def exact_quantiles(
     )
 
 
+def _values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
 def _packed(
     df: DataFrame, by: list[str], value: str, probs: Sequence[float], position: Callable[[Column, float], Column] = _linear
 ) -> DataFrame:
     """(by, _i, _pos, _range, _v, _c): counted distinct values of each quantile's bracket, and what lies below in one row."""
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
+    rows = _values(df, by, value)
+    return _pack(rows, by, _settled(_brackets(rows, by, probs, position))[0])
+
+
+def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], position: Callable[[Column, float], Column]) -> DataFrame:
+    """(by, _b): for each quantile its place and the values around it between which it certainly lies."""
     pad = 2.0 / _ACCURACY
     edges = []
     for p in probs:
@@ -182,8 +205,11 @@ def _packed(
                 pos.alias("pos"),
             )
         )
-    brackets = sketch.select(*by, F.array(*specs).alias("_b"))
-    joined = rows.join(brackets, by) if by else rows.crossJoin(F.broadcast(brackets))  # one row
+    return sketch.select(*by, F.array(*specs).alias("_b"))
+
+
+def _pack(rows: DataFrame, by: Sequence[str], brackets: DataFrame) -> DataFrame:
+    joined = rows.join(brackets, list(by)) if by else rows.crossJoin(brackets)
     spread = joined.select(*by, "_v", F.explode("_b").alias("b"))
     # Range -1 holds all rows below as one count, so a genuine -inf value stays itself.
     below = F.col("_v") < F.col("b.lo")
@@ -220,7 +246,7 @@ def median_and_mad(df: DataFrame, value: str, by: Sequence[str], small: bool = F
     if small:
         med = rows.groupBy(*by).agg(F.median("_x").alias("med"))
         return attach(rows, med, by).groupBy(*by).agg(F.first("med", True).alias("med"), F.median(dev).alias("mad"))
-    med = exact_quantiles(rows, by, "_x", {"med": 0.5})
+    med, _ = _settled(exact_quantiles(rows, by, "_x", {"med": 0.5}))
     spread = attach(rows, med, by).withColumn("_d", dev)
     return attach(med, exact_quantiles(spread, by, "_d", {"mad": 0.5}), by)
 
@@ -235,8 +261,8 @@ def _scaled(value: Column, med: Column, mad: Column, sd: Column) -> Column:
 def robust_z(df: DataFrame, value: str, by: Sequence[str] = ("city",), out: str = "z") -> DataFrame:
     """Outlier-resistant z within groups of any size."""
     by = list(by)
-    stats = attach(
-        median_and_mad(df, value, by), df.groupBy(*by).agg(F.stddev_pop(value).alias("sd")), by
+    stats, _ = _settled(
+        attach(median_and_mad(df, value, by), df.groupBy(*by).agg(F.stddev_pop(value).alias("sd")), by)
     )
     z = _scaled(F.col(value), F.col("med"), F.col("mad"), F.col("sd"))
     return attach(df, stats, by).withColumn(out, z).drop("med", "mad", "sd")

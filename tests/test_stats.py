@@ -117,3 +117,18 @@ def test_no_range_of_a_hot_group_is_large(spark, monkeypatch, accuracy):
         at = p * (n - 1)
         low, high = np.floor(at) ** 1.5, np.ceil(at) ** 1.5
         assert row[name] == pytest.approx(low + (at - np.floor(at)) * (high - low), rel=1e-12)
+
+
+def test_rows_of_one_group_stay_spread(spark, monkeypatch):
+    """One city holds all rows: neither its values nor its scored rows may end in one task."""
+    monkeypatch.setattr(stats, "_SMALL_GROUP", 1_000_000)  # every value is counted
+    df = spark.range(0, 200_000, 1, 4).select(F.lit("hot").alias("city"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    packed = stats._packed(df, ["city"], "v", [0.5])
+    assert packed.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
+    scored = stats.robust_z(df, "v")
+    assert scored.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
+    x = df.toPandas().v.to_numpy()
+    med = np.median(x)
+    row = stats.median_and_mad(df, "v", ["city"]).first()
+    assert (row.med, row.mad) == (med, np.median(np.abs(x - med)))
+    assert scored.agg(F.max("z")).first()[0] == pytest.approx((x.max() - med) / (1.4826 * row.mad))
