@@ -132,3 +132,14 @@ def test_rows_of_one_group_stay_spread(spark, monkeypatch):
     row = stats.median_and_mad(df, "v", ["city"]).first()
     assert (row.med, row.mad) == (med, np.median(np.abs(x - med)))
     assert scored.agg(F.max("z")).first()[0] == pytest.approx((x.max() - med) / (1.4826 * row.mad))
+
+
+def test_deviations_of_one_group_stay_spread(spark, monkeypatch):
+    """The second quantile of a MAD reads deviations: they too are stored from several tasks."""
+    monkeypatch.setattr(stats, "_SMALL_GROUP", 1_000_000)
+    stored = []
+    keep = getattr(stats, "materialise", None)
+    monkeypatch.setattr(stats, "materialise", lambda t: stored.append(keep(t)) or stored[-1], raising=False)
+    df = spark.range(0, 100_000, 1, 4).select(F.lit("hot").alias("city"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    stats.median_and_mad(df, "v", ["city"]).collect()
+    assert [t.select(F.input_file_name().alias("f")).distinct().count() > 1 for t in stored] == [True, True]
