@@ -89,9 +89,10 @@ def wind_alignment(
 
 
 def circular_mean_deg(bearing: Column) -> Column:
-    """Aggregate: mean direction on the circle, in [0, 360)."""
+    """Aggregate: mean direction on the circle, in [0, 360); null where bearings cancel out and only rounding noise is left."""
     rad = F.radians(bearing)
-    return F.pmod(F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))) + 360.0, F.lit(360.0))
+    east, north = F.avg(F.sin(rad)), F.avg(F.cos(rad))
+    return F.when(east * east + north * north > 1e-18, F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0)))
 
 
 def equirect_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, mean_lat: Column) -> Column:

@@ -91,3 +91,10 @@ def test_aqi_edges(spark):
 def test_half_even_rounding(spark):
     row = spark.range(1).select(geo.round_to(F.lit(12.25), 1), geo.round_to(F.lit(2.675), 2), geo.round_to(F.lit(0.5), 0)).first()
     assert tuple(row) == (np.round(12.25, 1), np.round(2.675, 2), np.round(0.5))
+
+
+def test_winds_of_full_circles_have_no_mean_direction(spark):
+    """720 hours that turn by 37 degrees an hour cancel out; a sum of their sines is rounding noise."""
+    wind = spark.range(720).select((F.col("id") * 37 % 360).cast("double").alias("w"))
+    assert wind.agg(geo.circular_mean_deg(F.col("w"))).first()[0] is None
+    assert wind.where("w < 180").agg(geo.circular_mean_deg(F.col("w"))).first()[0] == pytest.approx(89.5)
