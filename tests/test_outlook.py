@@ -1,10 +1,12 @@
 """Local grids, neighbour means along the wind, decayed means, error bands, realised effects and equity, against plain loops."""
 
 import math
+import os
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,39 @@ def test_bands_are_order_statistics(spark, n):
     assert (r.n, r.low, r.high) == (n, low, high)
 
 
+def dealt_anew(df, parts):
+    """Rows that come in another order, and from other tasks, each time they are read: as shuffled blocks do on a cluster."""
+
+    def deal(batches):
+        rng = np.random.default_rng(int.from_bytes(os.urandom(8), "little"))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rng.integers(0, 1000, b.num_rows))], names=[*b.schema.names, "_r"])
+
+    return df.mapInArrow(deal, df.withColumn("_r", F.lit(0).cast("long")).schema).repartition(parts, "_r").drop("_r")
+
+
+@pytest.fixture
+def every_reading_computed(spark):
+    """Spark would hide a second reading by sharing the shuffled rows of the first."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    yield
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+@pytest.mark.parametrize("n", [3_000, 15_000, 60_000])
+def test_bands_hold_when_rows_arrive_in_another_order(spark, every_reading_computed, n):
+    """Sketches of over 10,000 rows depend on the order of merging: the counts of ranges and their values must see one of them."""
+    base = spark.range(0, 3 * n, 1, 8).select(
+        F.lit("c").alias("city"), (F.col("id") % 3).cast("int").alias("horizon"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("y"), F.lit(0.0).alias("guess")
+    )
+    got = {r.horizon: (r.n, r.low, r.high) for r in intervals.error_bands(dealt_anew(base, 8), "y", "guess").collect()}
+    want = {}
+    for h, rows in base.toPandas().groupby("horizon"):
+        s = np.sort(rows.y.to_numpy())
+        want[h] = (n, s[int(np.floor((n + 1) * 0.1)) - 1], s[int(np.ceil((n + 1) * 0.9)) - 1])
+    assert got == want
+
+
 def test_effects_of_overlapping_actions(spark):
     t = datetime(2024, 1, 1)
     hour = lambda h: t + timedelta(hours=h)
