@@ -188,7 +188,7 @@ def every_reading_computed(spark):
 
 @pytest.mark.parametrize("n", [3_000, 15_000, 60_000])
 def test_bands_hold_when_rows_arrive_in_another_order(spark, every_reading_computed, n):
-    """Sketches of over 10,000 rows depend on the order of merging: the counts of ranges and their values must see one of them."""
+    """Merged sketches of large groups depend on the order of merging: the counts of ranges and their values must see one of them."""
     base = spark.range(0, 3 * n, 1, 8).select(
         F.lit("c").alias("city"), (F.col("id") % 3).cast("int").alias("horizon"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("y"), F.lit(0.0).alias("guess")
     )
@@ -200,6 +200,23 @@ def test_bands_hold_when_rows_arrive_in_another_order(spark, every_reading_compu
     assert got == want
 
 
+def test_coverage_holds_when_rows_arrive_in_another_order(spark, every_reading_computed):
+    n = 15_000
+    base = spark.range(0, 6 * n, 1, 8).select(
+        F.lit("c").alias("city"), (F.col("id") % 3).cast("int").alias("horizon"), (F.col("id") >= 3 * n).alias("later"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("y"), F.lit(0.0).alias("guess"),
+    )
+    bands = intervals.error_bands(dealt_anew(base.where("NOT later"), 8), "y", "guess")
+    rows = intervals.interval_coverage(intervals.with_bands(base.where("later"), bands, "guess"), "y").collect()
+    got = {r.horizon: (r.n_rows, r.coverage, r.mean_width) for r in rows}
+    want = {}
+    for h, part in base.toPandas().groupby("horizon"):
+        s = np.sort(part.y[~part.later].to_numpy())
+        low, high = s[int(np.floor((n + 1) * 0.1)) - 1], s[int(np.ceil((n + 1) * 0.9)) - 1]
+        want[h] = (n, round(float(part.y[part.later].between(low, high).mean()), 4), high - low)
+    assert got == want
+
+
 def test_effects_of_overlapping_actions(spark):
     t = datetime(2024, 1, 1)
     hour = lambda h: t + timedelta(hours=h)
