@@ -2,10 +2,10 @@
 
 A shard is a bounded number of documents with its own postings, built where the documents are read.
 Document counts, lengths and document frequencies are global, so scores of all shards compare and the
-merge of their top k is exact. Within a shard, a scheme like MaxScore, not WAND, skips what cannot enter the top k: the
-short lists are added up first, the best of what they name are scored in full for a threshold, and
-another document is looked at only if its score so far and the block maxima of the long lists, at its
-place, can reach that threshold. A part of the shards answers first and hands its thresholds on.
+merge of their top k is exact. Within a shard, queries run side by side: their long lists are one rough matrix product, their
+short lists are added up exactly, and only documents whose sum, with what the rough part may be off, reaches the threshold of the
+top k are scored in full. Nothing is skipped by pivots as in WAND: with whole texts as queries, bounds prune next to nothing.
+A part of the shards answers first and hands its thresholds on.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +28,14 @@ K1, B = 1.2, 0.75
 SHARD_DOCS = 4096
 #: Postings after which a shard ends, however few its documents.
 SHARD_POSTINGS = 3_000_000
-#: Documents of a block, for the block maxima.
-BLOCK = 64
+#: Queries that meet the long lists of a shard in one product.
+QUERIES = 256
+#: Queries whose short lists are added up at once, and their postings if that is less.
+ROWS, POSTINGS = 8, 1_000_000
 #: Lists longer than this share of a shard are long.
 LONG = 1 / 16
 #: Query terms of a block of queries; a block is what every task gets at once.
-BLOCK_TERMS = 400_000
+BLOCK_TERMS = 750_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -90,55 +94,90 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Shard:
-    """Postings of one shard with impacts under global statistics."""
+    """Postings of one shard that a block of queries asks for, as what each adds to a score.
 
-    def __init__(self, ids, lens, dfs, docs: bytes, tfs: bytes, mean_len: float):
+    A query is a set of words and a word weighs the same in each, so scores are sums of stored numbers.
+    ``numbers`` has the number of each term of the shard among the words of the block, or -1.
+    """
+
+    def __init__(self, ids, lens, dfs, docs: bytes, tfs: bytes, mean_len: float, numbers: np.ndarray, weights: np.ndarray):
         self.ids = np.asarray(ids, dtype=np.int64)
-        self.docs = np.frombuffer(docs, dtype=np.int32)
-        tf = np.frombuffer(tfs, dtype=np.int32).astype(np.float64)
-        norm = K1 * (1 - B + B * np.asarray(lens, dtype=np.float64) / mean_len)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        self.df = np.asarray(dfs, dtype=np.int64)
+        n, df, asked = len(self.ids), np.asarray(dfs, dtype=np.int64), numbers >= 0
+        wanted = np.repeat(asked, df)
+        self.docs = np.frombuffer(docs, dtype=np.int32)[wanted]
+        tf = np.frombuffer(tfs, dtype=np.int32)[wanted].astype(np.float64)
+        self.df = df[asked]
         self.start = np.cumsum(self.df) - self.df
-        n = len(self.ids)
+        self.place = np.full(len(weights), -1)
+        self.place[numbers[asked]] = np.arange(len(self.df))
+        norm = K1 * (1 - B + B * np.asarray(lens, dtype=np.float64) / mean_len)
+        self.adds = np.repeat(weights[numbers[asked]], self.df) * (tf * (K1 + 1) / (tf + norm[self.docs]))
         long_terms = np.flatnonzero(self.df > max(1, n * LONG))
         self.row = np.full(len(self.df), -1)
         self.row[long_terms] = np.arange(len(long_terms))
-        self.dense = np.zeros((len(long_terms), n))
+        self.dense = np.zeros((n, len(long_terms)))
         for r, t in enumerate(long_terms):
             own = slice(self.start[t], self.start[t] + self.df[t])
-            self.dense[r, self.docs[own]] = self.impact[own]
-        edges = np.arange(0, n, BLOCK)
-        self.block_max = np.maximum.reduceat(self.dense, edges, axis=1) if n and len(long_terms) else np.zeros((len(long_terms), len(edges)))
-        self.block = np.arange(n) // BLOCK
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents with a score above 0 and not below ``floor``; of equals the smaller ids."""
-        row = self.row[terms]
-        short, w = terms[row < 0], weights[row < 0]
-        size = self.df[short]
-        at = np.repeat(self.start[short] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        so_far = np.bincount(self.docs[at], np.repeat(w, size) * self.impact[at], minlength=len(self.ids))
-        row, w = row[row >= 0], weights[row >= 0]
-        if len(row):
-            # A threshold: the full scores of the documents that look best by the short lists.
-            k_ = min(k, len(so_far))
-            first = np.argpartition(so_far, len(so_far) - k_)[len(so_far) - k_ :]
-            threshold = max((so_far[first] + w @ self.dense[np.ix_(row, first)]).min(), floor) - 1e-6
-            bound = so_far + (w @ self.block_max[row])[self.block]
-            left = np.flatnonzero(bound >= threshold)
-            full = so_far[left] + w @ self.dense[np.ix_(row, left)]
-        else:
-            left = np.flatnonzero(so_far >= max(floor - 1e-6, 1e-300))
-            full = so_far[left]
-        full = np.round(full, 6)
-        some = (full > 0) & (full >= floor)
-        left, full = left[some], full[some]
-        if len(full) > k:
-            near = full >= np.partition(full, len(full) - k)[len(full) - k]
-            left, full = left[near], full[near]
-        best = np.lexsort((self.ids[left], -full))[:k]
-        return self.ids[left[best]], full[best]
+            self.dense[self.docs[own], r] = self.adds[own]
+        self.rough = self.dense.astype(np.float32).T
+        # Nothing is negative, so a rough sum is off by a share of itself.
+        self.off = (len(long_terms) + 8) * 2.0**-23
+
+    def top(self, first: np.ndarray, terms: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score): the k best documents of each query with a score above 0 and not below its floor; of equals the smaller ids.
+
+        Query i has the words ``terms[first[i] : first[i + 1]]``.
+        """
+        place = self.place[terms]
+        here = place >= 0
+        query, place = np.repeat(np.arange(len(floors)), np.diff(first))[here], place[here]
+        is_long = self.row[place] >= 0
+        long_q, long_r = query[is_long], self.row[place[is_long]]
+        query, place = query[~is_long], place[~is_long]
+        held = np.append(0, np.cumsum(np.bincount(query, self.df[place], minlength=len(floors))))
+        n, found = len(self.ids), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for begin in range(0, len(floors), QUERIES):
+            end = min(begin + QUERIES, len(floors))
+            has = np.zeros((end - begin, len(self.rough)), dtype=np.float32)
+            own = slice(*np.searchsorted(long_q, [begin, end]))
+            has[long_q[own] - begin, long_r[own]] = 1
+            of_long = has @ self.rough
+            a = begin
+            while a < end:
+                # One query at least, then as many as hold few postings together.
+                b = min(max(a + 1, int(np.searchsorted(held, held[a] + POSTINGS, "right")) - 1), a + ROWS, end)
+                own = slice(*np.searchsorted(query, [a, b]))
+                size = self.df[place[own]]
+                at = np.repeat(self.start[place[own]] - (np.cumsum(size) - size), size)
+                at += np.arange(len(at))
+                cell = np.repeat((query[own] - a) * n, size)
+                cell += self.docs.take(at, mode="clip")
+                of_short = np.bincount(cell, self.adds.take(at, mode="clip"), minlength=(b - a) * n).reshape(b - a, n)
+                sums = of_short + of_long[a - begin : b - begin]
+                least = floors[a:b] - 1e-6
+                open_ = np.flatnonzero(floors[a:b] <= 0)
+                if len(open_):
+                    last = n - min(k, n)
+                    least[open_] = np.partition(sums[open_], last, axis=1)[:, last] * (1 - 2 * self.off) - 1e-6
+                q, d = np.nonzero(sums >= np.maximum(least * (1 - 2 * self.off), 1e-300)[:, None])
+                if len(q):
+                    q, ids, score = self._best(q, d, of_short[q, d], has[a - begin : b - begin], floors[a:b], k)
+                    found.append((q + a, ids, score))
+                a = b
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _best(self, q, d, score, has, floors, k):
+        """The k best of the documents ``d`` named for queries ``q``, by exact scores; ``score`` has the short lists' part."""
+        for i in range(0, len(q), 1024):
+            own = slice(i, i + 1024)
+            score[own] += np.einsum("ij,ij->i", self.dense[d[own]], has[q[own]])
+        score = np.round(score, 6)
+        some = (score > 0) & (score >= floors[q])
+        q, ids, score = q[some], self.ids[d[some]], score[some]
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[best], ids[best], score[best]
 
 
 def search(
@@ -166,9 +205,8 @@ def search(
     pairs = store(asked.mapInPandas(split, "q bigint, terms array<string>").select("q", F.explode("terms").alias("term")).distinct())
     in_shards = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("e")).select(F.col("e.terms").alias("term"), F.col("e.dfs").alias("df"))
     known = in_shards.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    weight = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = pairs.join(known, "term").select("q", F.struct("term", weight.alias("w")).alias("e"))
-    listed = weighted.groupBy("q").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    known = pairs.join(known, "term").select("q", F.struct("term", F.col("df").cast("int").alias("df")).alias("e"))
+    listed = known.groupBy("q").agg(F.sort_array(F.collect_list("e")).alias("e"))
     total = pairs.count()
     blocks = max(1, -(-total // block_terms))
     ready = store(listed.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
@@ -179,45 +217,43 @@ def search(
     stride = max(1, round(n_shards**0.5))
     early = F.pmod(F.xxhash64("shard"), F.lit(stride)) == 0
 
-    def answers(shards: DataFrame, names: list[str], packed: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((names, packed))
+    def answers(shards: DataFrame, *block) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            names, block = sent.value
+            names, weights, ids, first, terms, floors = sent.value
             for batch in batches:
-                for r in batch.itertuples(index=False):
-                    shard = Shard(r.ids, r.lens, r.dfs, r.docs, r.tfs, mean_len)
-                    place = dict(zip(r.terms, count()))
-                    local = np.array([place.get(t, -1) for t in names])
-                    out = []
-                    for q, terms, w, floor in block:
-                        own = local[terms]
-                        here = own >= 0
-                        if here.any():
-                            ids, scores = shard.top(own[here], w[here], k, floor)
-                            if len(ids):
-                                out.append(pd.DataFrame({id_col: np.full(len(ids), q), "doc_id": ids, "score": scores}))
-                    if out:
-                        yield pd.concat(out, ignore_index=True)
-
-        part = store(shards.select("ids", "lens", "terms", "dfs", "docs", "tfs").mapInPandas(run, schema))
+                for r in batch.to_struct_array():
+                    own = {c: r[c].values for c in ("ids", "lens", "terms", "dfs")}
+                    numbers = pc.index_in(own.pop("terms"), value_set=names).fill_null(-1).to_numpy()
+                    arrays = [x.to_numpy() for x in own.values()]
+                    shard = Shard(*arrays, r["docs"].as_buffer(), r["tfs"].as_buffer(), mean_len, numbers, weights)
+                    q, docs, scores = shard.top(first, terms, floors, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs), pa.array(scores)], [id_col, "doc_id", "score"])
+
+        part = store(shards.select("ids", "lens", "terms", "dfs", "docs", "tfs").mapInArrow(run, schema))
         sent.unpersist()
         return part
 
-    found = None
+    found = spark.createDataFrame([], schema)
     for b in range(blocks):
         # A block is bounded: about block_terms words, and a threshold for each query.
-        rows = ready.where(F.col("block") == b).select("q", "e.term", "e.w").collect()
-        names = list({t for r in rows for t in r.term})
-        number = {t: i for i, t in enumerate(names)}
-        packed = [(r.q, np.array([number[t] for t in r.term]), np.array(r.w), 0.0) for r in rows]
-        part = answers(index.where(early), names, packed)
+        rows = ready.where(F.col("block") == b).select("q", "e.term", "e.df").toArrow()
+        if not rows.num_rows:
+            continue
+        ids, lists = rows["q"].to_numpy(), rows["term"].combine_chunks()
+        words_of = pc.dictionary_encode(lists.flatten().cast(pa.string()))
+        terms = words_of.indices.to_numpy()
+        df = np.empty(len(words_of.dictionary))
+        df[terms] = rows["df"].combine_chunks().flatten().to_numpy()
+        first = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        block = [words_of.dictionary, np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), ids, first, terms]
+        part = answers(index.where(early), *block, np.zeros(len(ids)))
         if stride > 1:
             best = F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1)
             floors = {q: f[0] for q, f in part.groupBy(id_col).agg(best).collect() if f}
-            packed = [(q, t, w, floors.get(q, 0.0)) for q, t, w, _ in packed]
-            part = part.unionByName(answers(index.where(~early), names, packed))
-        found = part if found is None else found.unionByName(part)
+            part = part.unionByName(answers(index.where(~early), *block, np.array([floors.get(q, 0.0) for q in ids.tolist()])))
+        found = found.unionByName(part)
     # Each shard gives k rows for a query at most.
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "rank", "doc_id", "score")

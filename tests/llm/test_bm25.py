@@ -43,3 +43,30 @@ def test_empty_sides(make):
     nothing = make([]).withColumnRenamed("doc_id", "query_id")
     assert bm25.search(index, nothing).count() == 0
     assert bm25.search(store(bm25.build_index(make([]))), make([(1, "a")]).withColumnRenamed("doc_id", "query_id")).count() == 0
+
+
+def test_a_shard_answers_a_block_of_queries_at_once():
+    """Long and short lists, words no shard has, floors and none: as plain sums say, though long lists are added up roughly first."""
+    rng = np.random.default_rng(8)
+    n, n_terms, k = 700, 300, 5
+    tf = rng.integers(1, 9, (n_terms, n)) * (rng.random((n_terms, n)) < rng.choice([0.005, 0.02, 0.1, 0.6], n_terms)[:, None])
+    tf[:, 50] = tf[:, 40]  # equal documents
+    term, doc = np.nonzero(tf)
+    lens, ids = tf.sum(axis=0), rng.permutation(n) + 1000
+    weights = rng.random(n_terms + 20) * 8
+    numbers = np.where(np.arange(n_terms) % 7 == 0, -1, rng.permutation(n_terms))
+    shard = bm25.Shard(ids, lens, (tf > 0).sum(axis=1), doc.astype(np.int32).tobytes(), tf[term, doc].astype(np.int32).tobytes(), 90.0, numbers, weights)
+    asked = [rng.choice(n_terms + 20, int(rng.integers(0, 200)), replace=False) for _ in range(bm25.QUERIES + 30)]
+    first = np.append(0, np.cumsum([len(x) for x in asked]))
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens / 90.0))
+    plain = []
+    for own in asked:
+        sums = np.round(sum((weights[numbers[t]] * impact[t] for t in range(n_terms) if numbers[t] in own), np.zeros(n)), 6)
+        best = sorted(zip(-sums, ids.tolist(), strict=True))[:k]
+        plain.append([(i, -s) for s, i in best if s < 0])
+    kth = np.array([p[2][1] if q % 2 and len(p) > 2 else 0.0 for q, p in enumerate(plain)])
+    for floors, allowed in ((np.zeros(len(asked)), plain), (kth, [[x for x in p if x[1] >= f - 5e-7] for p, f in zip(plain, kth, strict=True)])):
+        q, docs, scores = shard.top(first, np.concatenate(asked), floors, k)
+        want = [(i, d, s) for i, p in enumerate(allowed) for d, s in p]
+        assert list(zip(q.tolist(), docs.tolist(), strict=True)) == [x[:2] for x in want]
+        assert np.allclose(scores, [x[2] for x in want], atol=2e-6)
