@@ -89,9 +89,14 @@ def wind_alignment(
 
 
 def circular_mean_deg(bearing: Column) -> Column:
-    """Aggregate: mean direction on the circle, in [0, 360); null where bearings cancel out and only rounding noise is left."""
+    """Aggregate: mean direction on the circle, in [0, 360); null where bearings cancel out and only rounding noise is left.
+
+    Sums are exact, so the order of rows does not reach the last bit: bearings at even steps have their mean halfway between
+    two whole degrees.
+    """
     rad = F.radians(bearing)
-    east, north = F.avg(F.sin(rad)), F.avg(F.cos(rad))
+    n = F.count(bearing)
+    east, north = (F.sum(part.cast("decimal(28,20)")).cast("double") / n for part in (F.sin(rad), F.cos(rad)))
     return F.when(east * east + north * north > 1e-18, F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0)))
 
 

@@ -149,3 +149,21 @@ def test_stacked_sites_are_cut_at_their_place_before_zones_join(spark):
     assert whole.count() == 2000 and rows(cut) == rows(whole.where("rank <= 8"))
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # at the place, then in the zone
+
+
+def test_a_mean_direction_does_not_depend_on_the_order_of_rows(spark):
+    """A day of winds 37 degrees apart has its mean halfway between two degrees, where the last bit decides the rounding."""
+    hours = [h * 37 % 360 for h in range(4, 28)]
+    got = set()
+    for seed in range(8):
+        rows = [("c", "z", float(w), 1.0, 300.0) for w in np.random.default_rng(seed).permutation(hours * 2)]
+        zp = spark.createDataFrame(rows, "city string, zone_id string, wind_from_deg double, wind_ms double, blh_m double").coalesce(1)
+        got |= {tuple(r) for r in attribution.zone_meteorology(zp).collect()}
+    assert len(got) == 1 and got.pop()[2] in (213, 214)
+
+
+def test_zones_without_winds_or_with_winds_that_cancel_keep_their_row(spark):
+    rows = [("c", "none", None, 1.0, 300.0), ("c", "both", 90.0, 1.0, 300.0), ("c", "both", 270.0, 3.0, 700.0)]
+    zp = spark.createDataFrame(rows, "city string, zone_id string, wind_from_deg double, wind_ms double, blh_m double")
+    got = {r.zone_id: tuple(r)[2:] for r in attribution.zone_meteorology(zp).collect()}
+    assert got == {"none": (None, 1.0, 300, True), "both": (None, 2.0, 500, False)}
