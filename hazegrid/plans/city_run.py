@@ -48,9 +48,12 @@ def run_reported(
 
 def stages(
     issued_at: str, grid: Grid = Grid(), teams: int = 4, budget: int = 10, store: Callable[..., DataFrame] = materialise,
-    top_cells: int | None = 100, candidates: int | None = 8, blind: int | None = 40,
+    top_cells: int | None = None, candidates: int | None = None, blind: int | None = None,
 ) -> list[Stage]:
-    """The chain as stages; ``top_cells`` cells with ``candidates`` sites each are attributed, ``blind`` blind spots listed."""
+    """The chain as stages, over all zones, sites and blind spots.
+
+    Only if asked, the zones of ``top_cells`` cells are attributed, by ``candidates`` sites each, and ``blind`` blind spots listed.
+    """
 
     def ground(t: Tables) -> Tables:
         cells = store(city_cells(t["cities"], grid))
