@@ -2,9 +2,10 @@
 
 A shard is a bounded number of documents with its own postings, built where the documents are read.
 Document counts, lengths and document frequencies are global, so scores of all shards compare and the
-merge of their top k is exact. Within a shard, queries run side by side: their long lists are one rough matrix product, their
-short lists are added up exactly, and only documents whose sum, with what the rough part may be off, reaches the threshold of the
-top k are scored in full. Nothing is skipped by pivots as in WAND: with whole texts as queries, bounds prune next to nothing.
+merge of their top k is exact. Within a shard, a scheme like MaxScore, not WAND, skips what cannot enter the top k, for a block of
+queries side by side: the short lists are added up first, and a block of documents is looked at only if its best sum so far and its
+maxima of the long lists can reach the threshold. There the long lists are a rough matrix product, and documents whose sum, with
+what the product may be off, reaches the threshold are scored in full.
 A part of the shards answers first and hands its thresholds on.
 """
 
@@ -28,6 +29,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS = 4096
 #: Postings after which a shard ends, however few its documents.
 SHARD_POSTINGS = 3_000_000
+#: Documents of a block, for the block maxima.
+BLOCK = 64
 #: Queries that meet the long lists of a shard in one product.
 QUERIES = 256
 #: Queries whose short lists are added up at once, and their postings if that is less.
@@ -101,16 +104,18 @@ class Shard:
     """
 
     def __init__(self, ids, lens, dfs, docs: bytes, tfs: bytes, mean_len: float, numbers: np.ndarray, weights: np.ndarray):
-        self.ids = np.asarray(ids, dtype=np.int64)
+        # Documents of like length stand together, so that a block's maxima are not those of one long document.
+        order = np.argsort(lens, kind="stable")
+        self.ids, lens = np.asarray(ids, dtype=np.int64)[order], np.asarray(lens, dtype=np.float64)[order]
         n, df, asked = len(self.ids), np.asarray(dfs, dtype=np.int64), numbers >= 0
         wanted = np.repeat(asked, df)
-        self.docs = np.frombuffer(docs, dtype=np.int32)[wanted]
+        self.docs = np.argsort(order).astype(np.int32)[np.frombuffer(docs, dtype=np.int32)[wanted]]
         tf = np.frombuffer(tfs, dtype=np.int32)[wanted].astype(np.float64)
         self.df = df[asked]
         self.start = np.cumsum(self.df) - self.df
         self.place = np.full(len(weights), -1)
         self.place[numbers[asked]] = np.arange(len(self.df))
-        norm = K1 * (1 - B + B * np.asarray(lens, dtype=np.float64) / mean_len)
+        norm = K1 * (1 - B + B * lens / mean_len)
         self.adds = np.repeat(weights[numbers[asked]], self.df) * (tf * (K1 + 1) / (tf + norm[self.docs]))
         long_terms = np.flatnonzero(self.df > max(1, n * LONG))
         self.row = np.full(len(self.df), -1)
@@ -120,6 +125,8 @@ class Shard:
             own = slice(self.start[t], self.start[t] + self.df[t])
             self.dense[self.docs[own], r] = self.adds[own]
         self.rough = self.dense.astype(np.float32).T
+        self.edges = np.arange(0, n, BLOCK)
+        self.block_max = np.maximum.reduceat(self.rough, self.edges, axis=1)
         # Nothing is negative, so a rough sum is off by a share of itself.
         self.off = (len(long_terms) + 8) * 2.0**-23
 
@@ -141,7 +148,7 @@ class Shard:
             has = np.zeros((end - begin, len(self.rough)), dtype=np.float32)
             own = slice(*np.searchsorted(long_q, [begin, end]))
             has[long_q[own] - begin, long_r[own]] = 1
-            of_long = has @ self.rough
+            of_short = np.empty((end - begin, n))
             a = begin
             while a < end:
                 # One query at least, then as many as hold few postings together.
@@ -152,18 +159,30 @@ class Shard:
                 at += np.arange(len(at))
                 cell = np.repeat((query[own] - a) * n, size)
                 cell += self.docs.take(at, mode="clip")
-                of_short = np.bincount(cell, self.adds.take(at, mode="clip"), minlength=(b - a) * n).reshape(b - a, n)
-                sums = of_short + of_long[a - begin : b - begin]
-                least = floors[a:b] - 1e-6
-                open_ = np.flatnonzero(floors[a:b] <= 0)
-                if len(open_):
-                    last = n - min(k, n)
-                    least[open_] = np.partition(sums[open_], last, axis=1)[:, last] * (1 - 2 * self.off) - 1e-6
-                q, d = np.nonzero(sums >= np.maximum(least * (1 - 2 * self.off), 1e-300)[:, None])
-                if len(q):
-                    q, ids, score = self._best(q, d, of_short[q, d], has[a - begin : b - begin], floors[a:b], k)
-                    found.append((q + a, ids, score))
+                of_short[a - begin : b - begin] = np.bincount(cell, self.adds.take(at, mode="clip"), minlength=(b - a) * n).reshape(b - a, n)
                 a = b
+            floor = floors[begin:end]
+            least = floor - 1e-6
+            open_ = np.flatnonzero(floor <= 0)
+            if len(open_):
+                # Without a threshold from other shards, the k-th of this one.
+                last = n - min(k, n)
+                sums = has[open_] @ self.rough + of_short[open_]
+                least[open_] = np.partition(sums, last, axis=1)[:, last] * (1 - 2 * self.off) - 1e-6
+            least = np.maximum(least * (1 - 2 * self.off), 1e-300)[:, None]
+            # Only blocks that can reach the threshold by the maxima of their long lists are looked at.
+            alive = np.maximum.reduceat(of_short, self.edges, axis=1) + has @ self.block_max >= least
+            named = []
+            for j, lo in enumerate(self.edges):
+                q = np.flatnonzero(alive[:, j])
+                if len(q):
+                    sums = has[q] @ self.rough[:, lo : lo + BLOCK] + of_short[q, lo : lo + BLOCK]
+                    i, d = np.nonzero(sums >= least[q])
+                    named.append((q[i], d + lo))
+            if named:
+                q, d = map(np.concatenate, zip(*named, strict=True))
+                q, ids, score = self._best(q, d, of_short[q, d], has, floor, k)
+                found.append((q + begin, ids, score))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def _best(self, q, d, score, has, floors, k):
